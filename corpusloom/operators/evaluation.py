@@ -254,10 +254,10 @@ def summary_hits(refs: list[list[str]], cans: list[list[str]]) -> int:
     return hits
 
 
-def score_lines(p_lines, r_lines) -> tuple[float, float]:
-    """ROUGE-L and ROUGE-Lsum of one pair given as tokens per line."""
-    p_lines = [list(s) for s in p_lines if len(s)]
-    r_lines = [list(s) for s in r_lines if len(s)]
+def score_lines(prediction: str, reference: str) -> tuple[float, float]:
+    """ROUGE-L and ROUGE-Lsum of one pair of normalized texts, one sentence per line."""
+    p_lines = [w for w in map(str.split, prediction.split("\n")) if w]
+    r_lines = [w for w in map(str.split, reference.split("\n")) if w]
     p = [t for s in p_lines for t in s]
     r = [t for s in r_lines for t in s]
     lcs = lcs_length(r, p)
@@ -270,7 +270,7 @@ def _rouge_l_udf():
     @F.pandas_udf("struct<rouge_l:double,rouge_lsum:double>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for predictions, references in batches:
-            rows = [score_lines(p, r) for p, r in zip(predictions, references)]
+            rows = [score_lines(p or "", r or "") for p, r in zip(predictions, references)]
             yield pd.DataFrame(rows, columns=["rouge_l", "rouge_lsum"])
 
     return score.asNondeterministic()
@@ -279,7 +279,7 @@ def _rouge_l_udf():
 def rouge_l(pairs: DataFrame, key: str, prediction: Column, reference: Column) -> DataFrame:
     """``(key, rouge_l, rouge_lsum)`` per pair; each pair is one row, nothing moves."""
     def lines(text: Column) -> Column:
-        return F.transform(F.split(text, "\n"), tokens_rouge)
+        return F.regexp_replace(F.lower(text), "[^a-z0-9\\n]+", " ")
 
     scored = pairs.select(key, _rouge_l_udf()(lines(prediction), lines(reference)).alias("s"))
     return scored.select(key, "s.rouge_l", "s.rouge_lsum")

@@ -83,47 +83,63 @@ def distances(counts: DataFrame) -> DataFrame:
 # -- chunking ---------------------------------------------------------------
 
 
-def bag_distances(contexts: list[str]) -> np.ndarray:
-    """Consecutive distances of one document's contexts under the word-count encoder."""
-    bags = [Counter(_WORD.findall(c)) for c in contexts]
+def bag_distances(units_: list[str], radius: int = 1) -> np.ndarray:
+    """Consecutive distances of one document's buffered units under the word-count encoder."""
+    own = [Counter(_WORD.findall(u.lower())) for u in units_]
+    bags = []
+    for i in range(len(own)):
+        bag: Counter = Counter()
+        for near in own[max(i - radius, 0):i + radius + 1]:
+            bag.update(near)
+        bags.append(bag)
     norms = [sum(n * n for n in b.values()) for b in bags]
     out = np.empty(max(len(bags) - 1, 0))
     for i in range(len(out)):
         a, b = bags[i], bags[i + 1]
-        if len(b) < len(a):
-            a, b = b, a
         dot = sum(n * b[w] for w, n in a.items() if w in b)
         out[i] = 1 - dot / np.sqrt(norms[i] * float(norms[i + 1])) if norms[i] and norms[i + 1] else 0.0
     return np.round(out, DIGITS)
 
 
+def encoder_distances(encode: Callable[[list[str]], np.ndarray], radius: int = 1):
+    """Distance function for ``chunk_starts`` from any encoder of texts to vectors."""
+    def distances_of(units_: list[str]) -> np.ndarray:
+        contexts = [" ".join(units_[max(i - radius, 0):i + radius + 1]) for i in range(len(units_))]
+        v = np.asarray(encode(contexts), dtype=np.float64)
+        norms = np.linalg.norm(v, axis=1)
+        scale = norms[:-1] * norms[1:]
+        dots = np.einsum("ij,ij->i", v[:-1], v[1:])
+        return np.round(1 - np.divide(dots, scale, out=np.ones_like(dots), where=scale > 0), DIGITS)
+
+    return distances_of
+
+
 def chunk_starts(distance_fn: Callable[[list[str]], np.ndarray] = bag_distances, percentile: float = PERCENTILE):
-    """Pandas UDF: array of contexts to the positions where chunks start.
+    """Pandas UDF: array of units to the positions where chunks start.
 
     A break follows a unit whose distance to the next is strictly over the document's
-    percentile. One Arrow pass per document; no shuffle.
+    percentile. One Arrow pass per document; no shuffle. Pass it a plain column.
     """
-    def starts(contexts) -> list[int] | None:
-        contexts = list(contexts)
-        if not contexts:
+    def starts(found: list[str]) -> list[int]:
+        if not found:
             return []
-        d = distance_fn(contexts)
+        d = distance_fn(found)
         if not len(d):
             return [0]
         limit = np.round(np.quantile(d, percentile), DIGITS)
         return [0, *(np.flatnonzero(d > limit) + 1).tolist()]
 
-    def guarded(contexts) -> list[int] | None:
+    def guarded(found) -> list[int] | None:
         """NULL for a document the encoder fails on; the other documents go on."""
         try:
-            return None if contexts is None else starts(contexts)
+            return None if found is None else starts(list(found))
         except Exception:
             return None
 
     @F.pandas_udf("array<int>")
     def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for contexts in batches:
-            yield contexts.map(guarded)
+        for found in batches:
+            yield found.map(guarded)
 
     # Declared non-deterministic so that the optimizer never copies the call.
     return assign.asNondeterministic()
@@ -147,7 +163,7 @@ def semantic_chunks(docs: DataFrame, mode: str = "sentence", assign=None, bounde
     """
     assign = assign or chunk_starts()
     split = docs.withColumn("_units", units(F.col("text"), mode))
-    numbered = split.withColumn("_starts", assign(buffered(F.transform("_units", F.lower))))
+    numbered = split.withColumn("_starts", assign("_units"))
     out = numbered.withColumn("chunks", join_units("_units", "_starts"))
     if bounded:
         sized = bound_sizes(F.transform("chunks", words), minimum, maximum)
