@@ -1,0 +1,65 @@
+"""Calls to a text model, with the stand-in clients."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.catalog import query
+from corpusloom.catalog.base import INSTRUCTION_ROWS, MODEL, TEMPLATES, WINDOWS, instruction_rows, sql_choice, sql_words, turns
+from corpusloom.catalog.instructions import _CHUNK_KEY, window_chunks
+from corpusloom.functions.payloads import chat_payload, completion_payload, message
+from corpusloom.functions.prompts import SYSTEM_TEXT, test_prompt
+from corpusloom.functions.text import words
+from corpusloom.operators.generation import call_model, multi_turn, per_model, with_answer
+from corpusloom.plans.instruction_build import build_instructions
+from corpusloom.plans.model_eval import held_out_predictions
+
+_PROMPT = "'<s>[INST] ' || instruction || chr(10) || input || ' [/INST]'"
+
+
+def _first20(x: str) -> str:
+    return f"array_to_string({sql_words(x)}[1:20], ' ')"
+
+
+@query("gen_completion", f"WITH {INSTRUCTION_ROWS} SELECT doc_id, 200 AS http_status, 'ok' AS status, {_first20(_PROMPT)} AS generated_text FROM rows")
+def gen_completion(spark: SparkSession, sf: str) -> DataFrame:
+    prompt = test_prompt(F.col("instruction"), F.col("input"))
+    rows = instruction_rows(spark, sf).select("doc_id", completion_payload(prompt, F.lit(MODEL)).alias("payload"))
+    return with_answer(call_model(rows, "payload"), "completion").select("doc_id", "http_status", "status", "generated_text")
+
+
+@query("gen_instruct", f"WITH {TEMPLATES}, {WINDOWS} SELECT w.doc_id, w.chunk_no, t.instruction, w.chunk AS input, "
+                       f"{_first20(chr(40) + 't.instruction || chr(32) || w.chunk' + chr(41))} AS output, 'ok' AS status FROM windows w "
+                       f"JOIN templates t ON t.template_id = {sql_choice(_CHUNK_KEY, 3)}")
+def gen_instruct(spark: SparkSession, sf: str) -> DataFrame:
+    rows = build_instructions(window_chunks(spark, sf), F.concat_ws("/", "doc_id", "chunk_no"), MODEL)
+    return rows.select("doc_id", "chunk_no", "instruction", "input", "output", "status")
+
+
+@query("gen_batch", f"WITH {INSTRUCTION_ROWS}, ranked AS (SELECT *, row_number() OVER (ORDER BY md5('3:' || doc_id::VARCHAR), doc_id) AS r, "
+                    f"count(*) OVER () AS n FROM rows) SELECT doc_id, {_PROMPT} AS prompt, {_first20(_PROMPT)} AS generated_text, "
+                    "output AS reference_text, 'ok' AS status FROM ranked WHERE r <= ceil(round(n * 0.05, 9))")
+def gen_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return held_out_predictions(instruction_rows(spark, sf), "doc_id", MODEL)
+
+
+@query("gen_multi_turn", "WITH asked AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations "
+                         "WHERE role = 'user') SELECT conv_id, turn, (2 * rn)::INT AS n_messages, 200 AS http_status, "
+                         f"(2 * rn)::VARCHAR || ': ' || {_first20('text')} AS answer, NULL::VARCHAR AS error FROM asked")
+def gen_multi_turn(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_turn(turns(spark, sf).where("role = 'user'"), MODEL, system=SYSTEM_TEXT)
+
+
+MODELS = ["base-model", "tuned-model"]
+
+
+@query("gen_compare", "SELECT m.model, count(*) AS n_prompts, sum(len(" + sql_words("text") + "[1:20]))::BIGINT AS answer_words FROM conversations, "
+                      "(VALUES ('base-model'), ('tuned-model')) m(model) WHERE role = 'user' GROUP BY m.model")
+def gen_compare(spark: SparkSession, sf: str) -> DataFrame:
+    asked = per_model(turns(spark, sf).where("role = 'user'"), MODELS)
+    body = chat_payload(F.array(message(F.lit("user"), F.col("text"))), F.col("model"))
+    answered = with_answer(call_model(asked.withColumn("payload", body).select("model", "payload"), "payload"))
+    return answered.groupBy("model").agg(
+        F.count("*").alias("n_prompts"), F.sum(F.size(words(F.col("generated_text")))).cast("long").alias("answer_words")
+    )

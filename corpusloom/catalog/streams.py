@@ -1,0 +1,44 @@
+"""Structured Streaming jobs, run over everything present and read back as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.catalog import query
+from corpusloom.catalog.base import WINDOWS, sql_words, turns
+from corpusloom.operators.splitting import explode_chunks, window_units
+from corpusloom.session import scratch_path
+from corpusloom.sources.documents import table
+from corpusloom.streaming import chat_state
+from corpusloom.streaming.ingest import ingest, ingested
+
+
+@query("str_ingest_chunks", f"WITH {WINDOWS} SELECT doc_id, chunk_no, chunk FROM windows")
+def str_ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    landing, out, offsets = (scratch_path(spark, name) for name in ("landing", "stream", "offsets"))
+    raw = table(spark, sf, "documents").select("doc_id", "text")
+    raw.repartition(6).write.parquet(landing)
+
+    def chunk(batch: DataFrame) -> DataFrame:
+        return explode_chunks(batch, window_units(F.col("text")))
+
+    # The second run finds nothing new; it must not add rows.
+    for _ in range(2):
+        ingest(spark, landing, raw.schema, chunk, out, offsets, files_per_batch=2).awaitTermination()
+    return ingested(spark, out).select("doc_id", "chunk_no", "chunk")
+
+
+@query("str_chat_state", f"WITH sized AS (SELECT conv_id, turn, role, len({sql_words('text')}) AS n FROM conversations), "
+                         "state AS (SELECT *, row_number() OVER w AS n_messages, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn "
+                         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS context_tokens FROM sized "
+                         "WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
+                         "SELECT conv_id, turn, n_messages, context_tokens::BIGINT AS context_tokens FROM state WHERE role = 'user'")
+def str_chat_state(spark: SparkSession, sf: str) -> DataFrame:
+    landing, out, offsets = (scratch_path(spark, name) for name in ("turns", "requests", "offsets"))
+    raw = turns(spark, sf)
+    # Early turns land first; files are read in the order they arrive.
+    raw.where("turn < 3").repartition(4).write.mode("append").parquet(landing)
+    raw.where("turn >= 3").repartition(4).write.mode("append").parquet(landing)
+    chat_state.run(spark, landing, raw.schema, out, offsets, files_per_batch=4).awaitTermination()
+    return spark.read.schema(chat_state.OUTPUT).parquet(out)

@@ -35,18 +35,23 @@ def bigram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
 def perplexity(train: DataFrame, test: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, n_bigrams, perplexity)``; the first token of a text has no bigram.
 
-    Test bigrams are counted per text first, then looked up: common words on the map
-    side, rare ones through a shuffle.
+    ln p splits into ln(c_ab + 1) - ln(c_a + V), so bigrams and their first words are
+    looked up side by side: common ones on the map side, rare ones through a shuffle.
+    A bigram that training never saw adds ln 1 = 0 to the first part.
     """
     unigrams = unigram_counts(train, text)
     size = unigrams.agg(F.count("*").alias("v")).scalar()
     seen = test.select(key, F.explode(_bigrams(model_tokens(F.col(text)))).alias("g")).groupBy(
         key, F.col("g.a").alias("a"), F.col("g.b").alias("b")
     ).agg(F.count("*").alias("k"))
-    scored = lookup(seen, bigram_counts(train, text), ["a", "b"], "c_ab")
-    scored = lookup(scored, unigrams, ["a"], "c_a")
-    p = (F.coalesce("c_ab", F.lit(0)) + 1) / (F.coalesce("c_a", F.lit(0)) + size)
-    return scored.groupBy(key).agg(
+    pairs = lookup(seen, bigram_counts(train, text), ["a", "b"], "c_ab").groupBy(key).agg(
         F.sum("k").cast("long").alias("n_bigrams"),
-        F.exp(-F.sum(F.col("k") * F.ln(p)) / F.sum("k")).alias("perplexity"),
+        F.sum(F.col("k") * F.ln(F.coalesce("c_ab", F.lit(0)) + 1)).alias("_up"),
+    )
+    firsts = seen.groupBy(key, "a").agg(F.sum("k").alias("k"))
+    firsts = lookup(firsts, unigrams, ["a"], "c_a").groupBy(key).agg(
+        F.sum(F.col("k") * F.ln(F.coalesce("c_a", F.lit(0)) + size)).alias("_down")
+    )
+    return pairs.join(firsts, key).select(
+        key, "n_bigrams", F.exp((F.col("_down") - F.col("_up")) / F.col("n_bigrams")).alias("perplexity")
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import elements
-from corpusloom.functions.text import BOS, EOS, INST_CLOSE, INST_OPEN, words
+from corpusloom.functions.text import BOS, EOS, INST_CLOSE, words
 from corpusloom.plans.ranking import with_rank
 from corpusloom.plans.skew import lookup
 
@@ -16,6 +19,9 @@ FIRST_ID = 3
 IGNORE = -100
 MAX_GENERATED = 1000
 SPECIALS = (BOS, EOS)
+
+#: Largest vocabulary that is sent to every task.
+MAP_SIDE_ROWS = 500_000
 _MARKERS = r"(<s>|</s>|\[INST\]|\[/INST\])"
 
 
@@ -36,12 +42,45 @@ def special_id(token: Column) -> Column:
     return F.when(token == BOS, F.lit(BOS_ID)).when(token == EOS, F.lit(EOS_ID))
 
 
-def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end: bool = False) -> DataFrame:
+def fits_map_side(vocab: DataFrame, bound: int) -> bool:
+    """Whether a vocabulary has at most ``bound`` rows; reads no more than that."""
+    return vocab.limit(bound + 1).count() <= bound
+
+
+def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end: bool = False,
+           map_side_rows: int = MAP_SIDE_ROWS) -> DataFrame:
     """``(key, input_ids)`` of rows with a token array; unknown tokens become 0.
 
-    Frequent tokens are looked up on the map side, the long tail by a shuffle. Ids
-    come back per row as arrays that were already collected before the shuffle.
+    A vocabulary of checked size is sent to the tasks and nothing shuffles. A larger
+    one is joined: frequent tokens on the map side, the long tail by a shuffle.
     """
+    if fits_map_side(vocab, map_side_rows):
+        out = _encode_map_side(rows, key, tokens, vocab)
+    else:
+        out = _encode_joined(rows, key, tokens, vocab)
+    if append_end:
+        out = out.withColumn("input_ids", F.concat("input_ids", F.array(F.lit(EOS_ID))))
+    return out
+
+
+def _encode_map_side(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
+    found = vocab.select("token", "token_id").toPandas()
+    ids = dict(zip(found["token"].tolist(), found["token_id"].tolist()))
+    ids.update({BOS: BOS_ID, EOS: EOS_ID})
+    shared = rows.sparkSession.sparkContext.broadcast(ids)
+
+    @F.pandas_udf("array<int>")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared.value
+        for texts in batches:
+            yield texts.map(lambda t: [known.get(w, UNK_ID) for w in t.split(" ")] if t else [])
+
+    # Declared non-deterministic so that the optimizer never copies the call.
+    joined = rows.select(key, F.array_join(tokens, " ").alias("_t"))
+    return joined.select(key, code.asNondeterministic()("_t").alias("input_ids"))
+
+
+def _encode_joined(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
     occurrences = rows.select(key, F.posexplode(elements(tokens)).alias("pos", "token"))
     coded = lookup(occurrences, vocab.select("token", "n", "token_id"), ["token"], "n")
     numbered = coded.select(
@@ -51,10 +90,7 @@ def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end:
     found = rows_ids.select(key, F.col("p.id").alias("input_ids"))
     # Rows without any token have no occurrence; they keep an empty array.
     empty = rows.where(F.size(tokens) == 0).select(key, F.array().cast("array<int>").alias("input_ids"))
-    out = found.unionByName(empty)
-    if append_end:
-        out = out.withColumn("input_ids", F.concat("input_ids", F.array(F.lit(EOS_ID))))
-    return out
+    return found.unionByName(empty)
 
 
 def pad_batches(rows: DataFrame, batch: str = "batch", ids: str = "input_ids") -> DataFrame:
@@ -89,15 +125,34 @@ def trained_share(labels: Column) -> Column:
     return F.when(F.size(labels) > 0, kept / F.size(labels)).otherwise(F.lit(0.0))
 
 
-def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
+def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame, map_side_rows: int = MAP_SIDE_ROWS) -> DataFrame:
     """``(key, text)``: -100 and special ids are skipped, other ids become words."""
+    if fits_map_side(vocab, map_side_rows):
+        return _decode_map_side(rows, key, labels, vocab)
+    return _decode_joined(rows, key, labels, vocab)
+
+
+def _decode_map_side(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
+    found = vocab.select("token_id", "token").toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(found["token_id"].tolist(), found["token"].tolist())))
+
+    @F.pandas_udf("string")
+    def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared.value
+        for arrays in batches:
+            yield arrays.map(lambda ids: " ".join(known[i] for i in ids if i in known))
+
+    kept = rows.select(key, F.col(labels).alias("_ids"), F.size(labels).alias("_n"))
+    return kept.select(key, name.asNondeterministic()("_ids").alias("text"))
+
+
+def _decode_joined(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
     wanted = rows.select(key, F.posexplode(elements(labels)).alias("pos", "token_id")).where(F.col("token_id") >= FIRST_ID)
     named = lookup(wanted, vocab.select("token_id", "token", "n"), ["token_id"], "n")
+    named = named.where(F.col("token").isNotNull())
     texts = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p"))
     texts = texts.select(key, F.array_join(F.col("p.token"), " ").alias("text"))
-    kept = F.size(F.filter(labels, lambda x: x >= FIRST_ID))
-    empty = rows.where(kept == 0).select(key, F.lit("").alias("text"))
-    return texts.unionByName(empty)
+    return rows.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def truncate(text: Column, longest: int = MAX_GENERATED) -> Column:

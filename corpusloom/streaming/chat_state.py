@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 MESSAGE = T.StructType([
@@ -23,47 +24,60 @@ OUTPUT = T.StructType([
 ])
 
 
-class ConversationState(StatefulProcessor):
-    """Appends every message; for a user message reports the request it would send.
+def conversation_processor() -> StatefulProcessor:
+    """The stateful operator. It is a local class so that it travels by value to every worker."""
 
-    Messages go to a list state one by one. The running totals sit in a value state,
-    so a long history is not read back for every batch.
-    """
+    class ConversationState(StatefulProcessor):
+        """Appends every message; for a user message reports the request it would send.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getListState("history", MESSAGE)
-        self.totals = handle.getValueState("totals", "messages long, tokens long")
+        Messages go to a list state one by one. The running totals sit in a value state,
+        so a long history is not read back for every batch.
+        """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("turn")
-        messages, tokens = self.totals.get() if self.totals.exists() else (0, 0)
-        out = []
-        for turn, role, text in zip(batch["turn"], batch["role"], batch["text"]):
-            if role == "user":
-                out.append((key[0], turn, messages + 1, tokens))
-            self.history.appendValue((role, text))
-            messages, tokens = messages + 1, tokens + len(text.split())
-        self.totals.update((messages, tokens))
-        yield pd.DataFrame(out, columns=OUTPUT.names)
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.history = handle.getListState("history", MESSAGE)
+            self.totals = handle.getValueState("totals", "messages long, tokens long")
 
-    def close(self) -> None:
-        pass
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values("turn")
+            messages, tokens = self.totals.get() if self.totals.exists() else (0, 0)
+            out = []
+            for turn, role, text in zip(batch["turn"], batch["role"], batch["text"]):
+                if role == "user":
+                    out.append((key[0], turn, messages + 1, tokens))
+                self.history.appendValue((role, text))
+                messages, tokens = messages + 1, tokens + len(text.split())
+            self.totals.update((messages, tokens))
+            yield pd.DataFrame(out, columns=OUTPUT.names)
+
+        def close(self) -> None:
+            pass
+
+    return ConversationState()
 
 
 def replay(turns: DataFrame) -> DataFrame:
     """Streaming frame of turns to the size of each user request."""
     return turns.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=ConversationState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=conversation_processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
 
 
 def run(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
         files_per_batch: int = 1000) -> StreamingQuery:
     """Replay what is in ``source`` now; batches must arrive in turn order."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return (
-        replay(stream).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    # A query keeps the settings it was started with; the caller's session gets its own back.
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (
+            replay(stream).writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
