@@ -69,7 +69,7 @@ def emb_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chunk_distances", f"WITH {SENTENCES}, {DISTANCES} SELECT doc_id, pos, distance FROM dist")
 def chunk_distances(spark: SparkSession, sf: str) -> DataFrame:
-    return semantic.distances(semantic.word_counts(semantic.unit_rows(docs(spark, sf))))
+    return semantic.distance_rows(docs(spark, sf).select("doc_id", "text"))
 
 
 @query("chunk_semantic", f"WITH {SENTENCES}, {SEMANTIC} SELECT doc_id, chunk_no, chunk FROM chunks")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,28 +54,49 @@ def unpaired(predictions: DataFrame, references: DataFrame, key: str) -> DataFra
 # -- n-gram counts ----------------------------------------------------------
 
 
-def _grams(tokens: list[str], order: int) -> Counter:
-    if order == 1:
-        return Counter(tokens)
-    return Counter(zip(*(tokens[i:] for i in range(order))))
+def clipped_matches(texts: Sequence[Sequence[str]], orders: Sequence[int]) -> np.ndarray:
+    """Clipped n-gram matches per pair (rows) and order (columns).
+
+    ``texts`` alternates prediction and reference tokens of one pair after the other.
+    N-grams are numbered from the numbers of shorter ones, so equal numbers mean equal
+    n-grams; a match counts as often as both sides have it.
+    """
+    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    pairs = len(texts) // 2
+    out = np.zeros((pairs, len(orders)), dtype=np.int64)
+    words_, vocabulary = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+    text_of = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words_))  # words up to the text's end
+    grams = words_.astype(np.int64)
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            grams = pd.factorize(grams[:-1] * (len(vocabulary) + 1) + words_[n - 1:])[0]
+        if n not in orders or not len(grams):
+            continue
+        inside = left[:len(grams)] >= n
+        text = text_of[:len(grams)][inside]
+        width = int(grams.max()) + 1
+        found, keys = pd.factorize((text // 2) * width + grams[inside])
+        predicted = np.bincount(found[text % 2 == 0], minlength=len(keys))
+        referred = np.bincount(found[text % 2 == 1], minlength=len(keys))
+        out[:, orders.index(n)] = np.bincount(keys // width, np.minimum(predicted, referred), minlength=pairs)[:pairs]
+    return out
 
 
-def clipped_matches(prediction: list[str], reference: list[str], order: int) -> int:
-    """N-grams of the prediction that the reference also has, each as often as it has it."""
-    p, r = _grams(prediction, order), _grams(reference, order)
-    if len(r) < len(p):
-        p, r = r, p
-    return sum(min(n, r[g]) for g, n in p.items() if g in r)
+PAIRS_AT_ONCE = 256
 
 
 def _match_udf(orders: Sequence[int]):
+    orders = list(orders)
+
     @F.pandas_udf("array<long>")
     def matches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for predictions, references in batches:
-            rows = []
-            for p, r in zip(predictions, references):
-                p, r = p.split(" ") if p else [], r.split(" ") if r else []
-                rows.append([clipped_matches(p, r, n) for n in orders])
+            rows: list[np.ndarray] = []
+            for first in range(0, len(predictions), PAIRS_AT_ONCE):
+                part = slice(first, first + PAIRS_AT_ONCE)
+                texts = [t.split(" ") if t else [] for pair_ in zip(predictions[part], references[part]) for t in pair_]
+                rows.extend(clipped_matches(texts, orders))
             yield pd.Series(rows)
 
     # Declared non-deterministic so that the optimizer never copies the call.
@@ -196,7 +218,8 @@ def _lcs_rows(ref: list[str], can: list[str]) -> list[int]:
     v, rows = full, [full]
     for token in can:
         u = v & places.get(token, 0)
-        v = ((v + u) | (v - u)) & full
+        if u:
+            v = ((v + u) | (v - u)) & full
         rows.append(v)
     return rows
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.arrays import let
 from corpusloom.functions.text import words
 from corpusloom.plans.skew import lookup
+from corpusloom.session import materialize
 
 
 def model_tokens(text: Column) -> Column:
@@ -39,12 +40,14 @@ def perplexity(train: DataFrame, test: DataFrame, key: str, text: str = "text")
     looked up side by side: common ones on the map side, rare ones through a shuffle.
     A bigram that training never saw adds ln 1 = 0 to the first part.
     """
-    unigrams = unigram_counts(train, text)
+    # Both count tables are read more than once; they are written first.
+    unigrams = materialize(unigram_counts(train, text), "unigrams")
+    bigrams = materialize(bigram_counts(train, text), "bigrams")
     size = unigrams.agg(F.count("*").alias("v")).scalar()
     seen = test.select(key, F.explode(_bigrams(model_tokens(F.col(text)))).alias("g")).groupBy(
         key, F.col("g.a").alias("a"), F.col("g.b").alias("b")
     ).agg(F.count("*").alias("k"))
-    pairs = lookup(seen, bigram_counts(train, text), ["a", "b"], "c_ab").groupBy(key).agg(
+    pairs = lookup(seen, bigrams, ["a", "b"], "c_ab").groupBy(key).agg(
         F.sum("k").cast("long").alias("n_bigrams"),
         F.sum(F.col("k") * F.ln(F.coalesce("c_ab", F.lit(0)) + 1)).alias("_up"),
     )

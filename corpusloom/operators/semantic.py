@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.arrays import elements
 from corpusloom.functions.text import words
 from corpusloom.operators.splitting import bound_sizes, buffered, runs, units
 
@@ -145,6 +146,20 @@ def chunk_starts(distance_fn: Callable[[list[str]], np.ndarray] = bag_distances,
     return assign.asNondeterministic()
 
 
+def distance_rows(docs: DataFrame, mode: str = "sentence",
+                  distance_fn: Callable[[list[str]], np.ndarray] = bag_distances) -> DataFrame:
+    """``(doc_id, pos, distance)`` between neighbouring units, one Arrow pass per document."""
+    @F.pandas_udf("array<double>")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in batches:
+            yield found.map(lambda u: distance_fn(list(u)))
+
+    # A UDF reads a plain column; using it twice keeps the projection below the call.
+    split = docs.select("doc_id", units(F.col("text"), mode).alias("_units")).withColumn("_n", F.size("_units"))
+    measured = split.withColumn("_d", measure.asNondeterministic()("_units"))
+    return measured.select("doc_id", F.posexplode(elements("_d")).alias("pos", "distance"))
+
+
 def join_units(units_: str, starts: str) -> Column:
     """Array of chunk texts from a column of units and a column of chunk starts.
 

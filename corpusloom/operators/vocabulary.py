@@ -81,13 +81,13 @@ def _encode_map_side(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -
 
 
 def _encode_joined(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    occurrences = rows.select(key, F.posexplode(elements(tokens)).alias("pos", "token"))
+    occurrences = rows.select(key, F.posexplode(elements(tokens)).alias("_pos", "token"))
     coded = lookup(occurrences, vocab.select("token", "n", "token_id"), ["token"], "n")
     numbered = coded.select(
-        key, "pos", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK_ID)).alias("id")
+        key, "_pos", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK_ID)).alias("_id")
     )
-    rows_ids = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
-    found = rows_ids.select(key, F.col("p.id").alias("input_ids"))
+    collected = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
+    found = collected.select(key, F.col("_p._id").alias("input_ids"))
     # Rows without any token have no occurrence; they keep an empty array.
     empty = rows.where(F.size(tokens) == 0).select(key, F.array().cast("array<int>").alias("input_ids"))
     return found.unionByName(empty)

@@ -11,10 +11,10 @@ from corpusloom.functions.arrays import elements
 def read_text_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """One row per file: ``(file_name, folder, text)``."""
     files = (
-        spark.read.option("wholetext", "true")
+        spark.read
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     return files.select(
