@@ -15,6 +15,7 @@ from corpusloom.operators.instructions import all_templates, assign_template, re
 from corpusloom.operators.sampling import length_batches, shuffled, with_split
 from corpusloom.operators.splitting import explode_chunks, window_units
 from corpusloom.operators.vocabulary import prompt_tokens
+from corpusloom.session import materialize
 
 SYSTEM = sql_text(prompts.SYSTEM_TEXT)
 
@@ -139,7 +140,9 @@ def batch_by_length(spark: SparkSession, sf: str) -> DataFrame:
        "SELECT CASE WHEN r <= ceil(round(n * 0.05, 9)) THEN 'test' ELSE 'train' END AS split, task, count(*) AS n_rows, "
        "sum(len(" + sql_words("regexp_replace(prompt, '(<s>|</s>|\\[INST\\]|\\[/INST\\])', ' \\1 ', 'g')") + "))::BIGINT AS n_tokens FROM rows GROUP BY ALL")
 def corpus_split_summary(spark: SparkSession, sf: str) -> DataFrame:
+    # The split looks at the keys several times; chunks are written once and only keys re-read.
     chunks = window_chunks(spark, sf).withColumn("k", F.concat_ws("/", "doc_id", "chunk_no"))
+    chunks = materialize(chunks, "chunks")
     rows = with_split(assign_template(chunks, F.col("k")), "k")
     output = F.array_join(F.slice(words(F.col("input")), 1, 20), " ")
     prompt = prompts.train_prompt(F.col("instruction"), F.col("input"), output)

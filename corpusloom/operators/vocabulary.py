@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import elements
@@ -95,10 +95,11 @@ def _encode_joined(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) ->
 
 def pad_batches(rows: DataFrame, batch: str = "batch", ids: str = "input_ids") -> DataFrame:
     """Right-pad with the unknown id to the longest row of the batch."""
-    longest = rows.groupBy(batch).agg(F.max(F.size(ids)).alias("padded_len"))
-    joined = rows.join(longest, batch)
+    # A batch is a handful of rows, so this window is small however many batches there are.
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    wide = rows.withColumn("padded_len", longest)
     pad = F.array_repeat(F.lit(UNK_ID), F.col("padded_len") - F.size(ids))
-    return joined.withColumn("padded_ids", F.concat(ids, pad))
+    return wide.withColumn("padded_ids", F.concat(ids, pad))
 
 
 def completion_labels(prompt: Column, ids: Column) -> Column:
