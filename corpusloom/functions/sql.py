@@ -29,7 +29,7 @@ SCALARS = {
     "text_words(x STRING) RETURNS ARRAY<STRING>": r"filter(split(x, r'\s+'), w -> w <> '')",
     "extract_response(decoded STRING) RETURNS STRING":
         f"CASE WHEN contains({_LAST}, '{INST_CLOSE}') THEN " + _STRIP.format(x=f"replace({_ANSWER}, '{EOS}', '')") + " END",
-    # For posexplode in a lateral view; the tokens are made once per row.
+    # Explode its result in an outer query; the tokens are made once per row.
     "window_units(x STRING) RETURNS ARRAY<STRING>":
         r"get(transform(array(filter(split(x, r'\s+'), w -> w <> '')), t -> filter(transform(sequence(0, "
         f"greatest(0, CAST(ceil((size(t) - {WINDOW}) / {_STRIDE}) AS INT))), "
