@@ -9,7 +9,6 @@ from corpusloom.functions.prompts import TASK_TEMPLATES
 from corpusloom.functions.text import words
 from corpusloom.operators.instructions import assign_template, requests
 from corpusloom.plans.parallelism import spread
-from corpusloom.session import ship_package
 from corpusloom.sources import documents as src
 
 SHARD_BYTES = 100_000
@@ -18,7 +17,6 @@ MODEL = "base-model"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     return spread(src.documents(spark, sf))
 
 
@@ -27,7 +25,6 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     return src.table(spark, sf, "conversations")
 
 

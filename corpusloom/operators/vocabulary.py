@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,16 +65,20 @@ def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end:
 
 
 def _encode_map_side(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    found = vocab.select("token", "token_id").toPandas()
-    ids = dict(zip(found["token"].tolist(), found["token_id"].tolist()))
+    found = vocab.select("token", "token_id").toArrow()
+    ids = dict(zip(found["token"].to_pylist(), found["token_id"].to_pylist()))
     ids.update({BOS: BOS_ID, EOS: EOS_ID})
     shared = rows.sparkSession.sparkContext.broadcast(ids)
 
     @F.pandas_udf("array<int>")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value
+
+        def coded(found: list[str]) -> np.ndarray:
+            return np.fromiter((known.get(w, UNK_ID) for w in found), np.int32, len(found))
+
         for texts in batches:
-            yield texts.map(lambda t: [known.get(w, UNK_ID) for w in t.split(" ")] if t else [])
+            yield texts.map(lambda t: coded(t.split(" ") if t else []))
 
     # Declared non-deterministic so that the optimizer never copies the call.
     joined = rows.select(key, F.array_join(tokens, " ").alias("_t"))
@@ -134,8 +139,9 @@ def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame, map_side_ro
 
 
 def _decode_map_side(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
-    found = vocab.select("token_id", "token").toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(found["token_id"].tolist(), found["token"].tolist())))
+    found = vocab.select("token_id", "token").toArrow()
+    names = dict(zip(found["token_id"].to_pylist(), found["token"].to_pylist()))
+    shared = rows.sparkSession.sparkContext.broadcast(names)
 
     @F.pandas_udf("string")
     def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
