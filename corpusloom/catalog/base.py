@@ -93,15 +93,16 @@ BUFFER = (
 )
 BAGS = (
     f"{BUFFER}, bags AS (SELECT doc_id, pos, word, count(*) AS n FROM (SELECT doc_id, pos, "
-    f"unnest({sql_words('lower(context)')}) AS word FROM buffered) GROUP BY ALL), "
+    "unnest(regexp_extract_all(lower(context), '[\\p{L}\\p{N}_]+')) AS word FROM buffered) GROUP BY ALL), "
     "norms AS (SELECT doc_id, pos, sum(n * n)::DOUBLE AS nn FROM bags GROUP BY ALL)"
 )
 DISTANCES = (
     f"{BAGS}, dots AS (SELECT a.doc_id, a.pos, sum(a.n * b.n)::DOUBLE AS dot FROM bags a JOIN bags b "
     "ON a.doc_id = b.doc_id AND a.word = b.word AND b.pos = a.pos + 1 GROUP BY ALL), "
-    "dist AS (SELECT x.doc_id, x.pos, round(1 - coalesce(d.dot, 0) / sqrt(x.nn * y.nn), 9) AS distance "
-    "FROM norms x JOIN norms y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 "
-    "LEFT JOIN dots d ON d.doc_id = x.doc_id AND d.pos = x.pos)"
+    "dist AS (SELECT u.doc_id, u.pos - 1 AS pos, round(1 - coalesce(d.dot / nullif(sqrt(x.nn * y.nn), 0), 0), 9) AS distance "
+    "FROM buffered u LEFT JOIN norms x ON x.doc_id = u.doc_id AND x.pos = u.pos - 1 "
+    "LEFT JOIN norms y ON y.doc_id = u.doc_id AND y.pos = u.pos "
+    "LEFT JOIN dots d ON d.doc_id = u.doc_id AND d.pos = u.pos - 1 WHERE u.pos > 0)"
 )
 SEMANTIC = (
     f"{DISTANCES}, lim AS (SELECT doc_id, round(quantile_cont(distance, 0.9), 9) AS q FROM dist GROUP BY doc_id), "

@@ -16,7 +16,8 @@ from corpusloom.functions.arrays import elements
 from corpusloom.functions.text import words
 from corpusloom.operators.splitting import bound_sizes, buffered, runs, units
 
-_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+_WORD = re.compile(r"\w+")  # letters, digits, underscore; the same set as BAG_WORD
+BAG_WORD = r"[\p{L}\p{N}_]+"
 
 PERCENTILE = 0.9
 DIGITS = 9
@@ -45,6 +46,10 @@ def encode_batches(rows: DataFrame, text: str, make_encoder: Callable[[], Callab
     return rows.mapInPandas(run, schema)
 
 
+def bag_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(BAG_WORD), 0)
+
+
 def word_counts(contexts: DataFrame) -> DataFrame:
     """Default encoder: ``(doc_id, pos, word, n)``.
 
@@ -52,14 +57,15 @@ def word_counts(contexts: DataFrame) -> DataFrame:
     by document stays in its partition.
     """
     spread = contexts.repartition("doc_id")
-    exploded = spread.select("doc_id", "pos", F.explode(words(F.lower("context"))).alias("word"))
+    exploded = spread.select("doc_id", "pos", F.explode(bag_words(F.col("context"))).alias("word"))
     return exploded.groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n"))
 
 
-def distances(counts: DataFrame) -> DataFrame:
+def distances(counts: DataFrame, contexts: DataFrame) -> DataFrame:
     """``(doc_id, pos, distance)`` between unit ``pos`` and the next: 1 - cosine.
 
-    Each count is listed for the pair on its left and on its right; grouping by word
+    The relational form, for counts that are already a table; contexts without words
+    are at distance 1. Each count is listed for the pair on its left and on its right; grouping by word
     puts the two sides together, so no self-join is needed.
     """
     sides = counts.select(
@@ -75,9 +81,10 @@ def distances(counts: DataFrame) -> DataFrame:
         F.sum(F.col("l") * F.col("l")).alias("ll"),
         F.sum(F.col("r") * F.col("r")).alias("rr"),
     )
-    return per_pair.where("ll > 0 and rr > 0").select(
-        "doc_id", F.col("pair").alias("pos"),
-        F.round(1 - F.col("dot") / F.sqrt(F.col("ll") * F.col("rr").cast("double")), DIGITS).alias("distance"),
+    pairs = contexts.where("pos > 0").select("doc_id", (F.col("pos") - 1).alias("pair"))
+    cosine = F.col("dot") / F.nullif(F.sqrt(F.col("ll") * F.col("rr").cast("double")), F.lit(0.0))
+    return pairs.join(per_pair, ["doc_id", "pair"], "left").select(
+        "doc_id", F.col("pair").alias("pos"), F.round(1 - F.coalesce(cosine, F.lit(0.0)), DIGITS).alias("distance")
     )
 
 
@@ -98,7 +105,7 @@ def bag_distances(units_: list[str], radius: int = 1) -> np.ndarray:
     for i in range(len(out)):
         a, b = bags[i], bags[i + 1]
         dot = sum(n * b[w] for w, n in a.items() if w in b)
-        out[i] = 1 - dot / np.sqrt(norms[i] * float(norms[i + 1])) if norms[i] and norms[i + 1] else 0.0
+        out[i] = 1 - dot / np.sqrt(norms[i] * float(norms[i + 1])) if norms[i] and norms[i + 1] else 1.0
     return np.round(out, DIGITS)
 
 

@@ -99,7 +99,8 @@ def test_vector_encoder_distances():
 def test_sql_and_udf_distances_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     fast = semantic.distance_rows(docs)
-    slow = semantic.distances(semantic.word_counts(semantic.unit_rows(docs)))
+    contexts = semantic.unit_rows(docs)
+    slow = semantic.distances(semantic.word_counts(contexts), contexts)
     both = fast.join(slow.withColumnRenamed("distance", "other"), ["doc_id", "pos"], "full")
     assert both.where("distance is null or other is null or abs(distance - other) > 1e-9").count() == 0
 
@@ -116,3 +117,11 @@ def test_partitioning_does_not_matter(spark):
     one = {tuple(r) for r in explode_chunks(semantic.semantic_chunks(docs.coalesce(1)), "chunks").collect()}
     many = {tuple(r) for r in explode_chunks(semantic.semantic_chunks(docs.repartition(7)), "chunks").collect()}
     assert one == many
+
+
+def test_units_without_words(spark):
+    docs = spark.createDataFrame([(1, "a b. -- ! -- ! -- ! a b. c.")], "doc_id long, text string")
+    contexts = semantic.unit_rows(docs)
+    slow = {r.pos: r.distance for r in semantic.distances(semantic.word_counts(contexts), contexts).collect()}
+    assert slow == {r.pos: r.distance for r in semantic.distance_rows(docs).collect()}
+    assert slow[1] == 1.0
