@@ -23,8 +23,12 @@ ORDERS = range(1, MAX_ORDER + 1)
 
 def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as reference; the prediction misses each seventh word."""
+    return as_pairs(docs(spark, sf))
+
+
+def as_pairs(rows: DataFrame) -> DataFrame:
     kept = F.filter(words(F.col("text")), lambda w, i: i % 7 != 3)
-    return docs(spark, sf).select(
+    return rows.select(
         "doc_id", F.array_join(kept, " ").alias("generated_text"), F.col("text").alias("reference_text")
     )
 
@@ -200,8 +204,9 @@ def met_combined(spark: SparkSession, sf: str) -> DataFrame:
 # Contains ROUGE-L, which has no SQL form; every other part is checked above.
 @query("met_suites")
 def met_suites(spark: SparkSession, sf: str) -> DataFrame:
-    rows = text_pairs(spark, sf)
-    return rounded(metric_suites(rows, "doc_id"), 6)
+    rows = materialize(with_split(docs(spark, sf).select("doc_id", "text"), "doc_id"), "split")
+    test = as_pairs(rows.where("split = 'test'"))
+    return rounded(metric_suites(test, "doc_id", training=rows.where("split = 'train'")), 6)
 
 
 @query("met_history", f"WITH {_BLEU_STATS}, one AS ({_COMBINED}) SELECT suite, metric, value, 'run' AS run, s.step::INT AS step "

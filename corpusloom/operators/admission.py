@@ -38,6 +38,11 @@ def assign_batches(manifest: DataFrame, size: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("int")).drop("rank")
 
 
+def row_with(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one key, for inspection."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
 def first_n(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Small subset for a trial run: the ``n`` smallest keys, the same on every run."""
     return rows.orderBy(key).limit(n)

@@ -153,6 +153,8 @@ def test_combined_names(spark):
 
 def test_suites(spark):
     rows = pairs(spark, [("a b c d e", "a b c d e")]).withColumnsRenamed({"p": "generated_text", "r": "reference_text"})
-    got = {r.metric: r.value for r in metric_suites(rows, "id").collect()}
+    training = spark.createDataFrame([("a b c d e",)], "text string")
+    got = {r.metric: r.value for r in metric_suites(rows, "id", training=training).collect()}
+    assert got["perplexity_mean_perplexity"] == pytest.approx(3.0)  # p = 2 / 6 for every bigram
     assert got["bleu_bleu"] == pytest.approx(1) and got["sacrebleu_score"] == pytest.approx(100)
     assert got["rouge_rougeL"] == got["rouge_rougeLsum"] == got["rouge_rouge1"] == 1

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from corpusloom.operators.sampling import length_batches, shuffled, with_split
-from corpusloom.operators.admission import first_n
+from corpusloom.operators.admission import first_n, row_with
 
 
 def test_split_sizes(spark):
@@ -40,4 +40,6 @@ def test_batches_have_equal_rows_and_close_lengths(spark):
 
 
 def test_first_n_is_stable(spark):
-    assert [r.id for r in first_n(spark.range(100).repartition(5), "id", 3).collect()] == [0, 1, 2]
+    rows = spark.range(100).repartition(5)
+    assert [r.id for r in first_n(rows, "id", 3).collect()] == [0, 1, 2]
+    assert [r.id for r in row_with(rows, "id", 9).collect()] == [9]
