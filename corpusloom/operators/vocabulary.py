@@ -44,8 +44,8 @@ def special_id(token: Column) -> Column:
 
 
 def fits_map_side(vocab: DataFrame, bound: int) -> bool:
-    """Whether a vocabulary has at most ``bound`` rows; reads no more than that."""
-    return vocab.limit(bound + 1).count() <= bound
+    """Whether a vocabulary has at most ``bound`` rows."""
+    return vocab.count() <= bound
 
 
 def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end: bool = False,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows of a lookup table that are ever broadcast.
+#: Bound on the rows of a lookup table that are broadcast.
 HEAD_ROWS = 20_000
 
 
@@ -16,12 +16,13 @@ def lookup(
 ) -> DataFrame:
     """Left join of ``facts`` with a table that has unique keys and a frequency.
 
-    The ``head_rows`` most frequent keys are broadcast, a fixed bound whatever the
-    table's size; they take the rows that would overload one shuffle partition.
-    All other rows are joined by an ordinary shuffle, where no key can be hot.
+    A key is broadcast if it makes up at least one ``head_rows``-th of all occurrences.
+    No more than ``head_rows`` keys can, whatever the table's size. All other rows are
+    joined by an ordinary shuffle, where no key can be hot.
     """
     on = list(on)
-    head = table.orderBy(F.col(frequency).desc(), *on).limit(head_rows).withColumn("_hit", F.lit(True))
+    total = table.agg(F.sum(frequency)).scalar()
+    head = table.where(F.col(frequency) * head_rows >= total).withColumn("_hit", F.lit(True))
     tried = facts.join(F.broadcast(head), on, "left")
     hits = tried.where(F.col("_hit")).drop("_hit")
     misses = tried.where(F.col("_hit").isNull()).select(*facts.columns)

@@ -135,6 +135,7 @@ def test_lookup_beyond_the_head(spark):
     facts = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     dim = facts.groupBy("k").agg(F.count("*").alias("n")).where("k < 900")
     got = lookup(facts, dim, ["k"], "n", head_rows=10)
+    assert dim.where(F.col("n") * 10 >= dim.agg(F.sum("n")).scalar()).count() == 1
     assert got.count() == 1000
     want = facts.join(dim, "k", "left")
     assert got.select("id", "k", "n").exceptAll(want.select("id", "k", "n")).count() == 0
