@@ -123,7 +123,7 @@ def encoder_distances(encode: Callable[[list[str]], np.ndarray], radius: int = 1
 
 
 def chunk_starts(distance_fn: Callable[[list[str]], np.ndarray] = bag_distances, percentile: float = PERCENTILE):
-    """Pandas UDF: array of units to the positions where chunks start.
+    """Pandas UDF: array of units to ``(starts, error)``, the positions where chunks start.
 
     A break follows a unit whose distance to the next is strictly over the document's
     percentile. One Arrow pass per document; no shuffle. Pass it a plain column.
@@ -137,17 +137,17 @@ def chunk_starts(distance_fn: Callable[[list[str]], np.ndarray] = bag_distances,
         limit = np.round(np.quantile(d, percentile), DIGITS)
         return [0, *(np.flatnonzero(d > limit) + 1).tolist()]
 
-    def guarded(found) -> list[int] | None:
-        """NULL for a document the encoder fails on; the other documents go on."""
+    def guarded(found) -> tuple[list[int] | None, str | None]:
+        """A document the encoder fails on carries the error; the other documents go on."""
         try:
-            return None if found is None else starts(list(found))
-        except Exception:
-            return None
+            return (None if found is None else starts(list(found))), None
+        except Exception as exc:
+            return None, f"{type(exc).__name__}: {exc}"
 
-    @F.pandas_udf("array<int>")
-    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<starts:array<int>,error:string>")
+    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for found in batches:
-            yield found.map(guarded)
+            yield pd.DataFrame([guarded(u) for u in found], columns=["starts", "error"], dtype=object)
 
     # Declared non-deterministic so that the optimizer never copies the call.
     return assign.asNondeterministic()
@@ -178,16 +178,19 @@ def join_units(units_: str, starts: str) -> Column:
 
 
 def semantic_chunks(docs: DataFrame, mode: str = "sentence", assign=None, bounded: bool = False,
-                    minimum: int = 100, maximum: int = 256) -> DataFrame:
+                    minimum: int = 100, maximum: int = 256, errors: bool = False) -> DataFrame:
     """Documents with ``chunks``, the array of their chunk texts.
 
+    ``errors`` adds ``chunk_error``, the reason why a document has none.
     ``assign`` may be another ``chunk_starts(...)`` with a real encoder's distances.
     """
     assign = assign or chunk_starts()
     split = docs.withColumn("_units", units(F.col("text"), mode))
-    numbered = split.withColumn("_starts", assign("_units"))
-    out = numbered.withColumn("chunks", join_units("_units", "_starts"))
+    numbered = split.withColumn("_s", assign("_units"))
+    out = numbered.withColumn("chunks", join_units("_units", "_s.starts"))
+    if errors:
+        out = out.withColumn("chunk_error", F.col("_s.error"))
     if bounded:
         sized = bound_sizes(F.transform("chunks", words), minimum, maximum)
         out = out.withColumn("chunks", F.transform(sized, lambda t: F.array_join(t, " ")))
-    return out.drop("_units", "_starts")
+    return out.drop("_units", "_s")

@@ -36,18 +36,18 @@ def chunk_table(docs: DataFrame, options: BuildOptions) -> DataFrame:
     A file that could not be split keeps one row with status ``failed``.
     """
     clean = docs.withColumn("text", clean_utf8(F.col("text")))
-    split = semantic_chunks(clean, options.unit_mode, options.assign, options.bounded)
+    split = semantic_chunks(clean, options.unit_mode, options.assign, options.bounded, errors=True)
     ok = F.coalesce(F.size("chunks"), F.lit(0)) > 0
     kept = split.withColumn("_c", F.when(ok, F.col("chunks")).otherwise(F.array(F.lit(None).cast("string"))))
     rows = kept.select(
-        F.col("file_name").alias("path"), "folder", "folder_ord", "doc_id", "file_name",
+        F.col("file_name").alias("path"), "folder", "folder_ord", "doc_id", "file_name", "chunk_error",
         F.posexplode(elements("_c")).alias("chunk_no", "text"),
     )
     return rows.select(
         "path", "folder", "folder_ord", "chunk_no", "text", "file_name",
         node_id(F.col("doc_id"), F.col("chunk_no")).alias("node_id"),
         F.when(F.col("text").isNull(), "failed").otherwise("done").alias("status"),
-        F.when(F.col("text").isNull(), "no chunk").alias("error"),
+        F.when(F.col("text").isNull(), F.coalesce("chunk_error", F.lit("no chunk"))).alias("error"),
     )
 
 

@@ -31,6 +31,8 @@ def test_failed_file_is_retried_and_rows_land_once(spark):
     build_corpus(spark, manifest, docs, out, ledger, first)
     status = {r.path: r.status for r in read_ledger(spark, ledger).collect()}
     assert status == {"pdf/A/0": "done", "pdf/A/1": "failed", "pdf/B/2": "done"}
+    failed = read_ledger(spark, ledger).where("status = 'failed'").first()
+    assert failed.error == "ValueError: bad" and failed.shard is None
     before = read_dataset(spark, out).count()
 
     second = BuildOptions(shard_bytes=10, unit_mode="sentence", bounded=False, base_shard=10)
