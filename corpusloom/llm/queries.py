@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.exact_dedup import EXACT_SQL, exact_groups
+from corpusloom.llm.minhash import near_duplicates
+from corpusloom.llm.quality import quality
 from corpusloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +43,14 @@ def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontamination")
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_minhash_near_dedup")
+def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
