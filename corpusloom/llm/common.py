@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,33 @@ ROWS_AT_ONCE = 256
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Words whose hashes a task remembers.
+_KNOWN_WORDS = 300_000
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_hash_of = _WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A fixed permutation of the 64-bit numbers."""
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, map_batches
+from corpusloom.llm.common import LOWER, map_batches, scramble, word_hashes
 from corpusloom.llm.components import components
 from corpusloom.session import materialize
 
@@ -38,40 +38,22 @@ MIN_AGREE = 78
 BLOCK = 1024
 
 _BAND_BYTES = 2 * COORDINATES // BANDS
-_KNOWN_WORDS = 300_000
 _U = np.uint64
 _MULTIPLIERS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hash_of = _WordHashes()
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(29))
-    x *= _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
-
-
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, no words give none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    hashes = np.fromiter(map(_hash_of.__getitem__, words), _U, len(words))
+    hashes = word_hashes(words)
     if not words:
         return hashes
     span = min(width, len(words))
     n = len(words) - span + 1
-    out = np.full(n, _U(0x5851F42D4C957F2D) * _U(span) if span < width else _U(0))
+    out = np.full(n, span if span < width else 0, _U)
     for k in range(span):
-        out += _scramble(hashes[k : k + n] * _MULTIPLIERS[k % 4] + _U(k))
-    return np.unique(_scramble(out))
+        out += scramble(hashes[k : k + n] * _MULTIPLIERS[k % 4] + _U(k))
+    return np.unique(scramble(out))
 
 
 def _permute(x: np.ndarray) -> np.ndarray:

@@ -6,12 +6,14 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.exact_dedup import EXACT_SQL, exact_groups
 from corpusloom.llm.minhash import near_duplicates
 from corpusloom.llm.quality import quality
+from corpusloom.llm.substring_dedup import without_repeats
 from corpusloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +56,9 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_substring_dedup")
+def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
