@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.exact_dedup import EXACT_SQL, exact_groups
+from corpusloom.llm.merge_dropout import encode
 from corpusloom.llm.minhash import near_duplicates
+from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
 from corpusloom.session import ship_package
@@ -62,3 +64,14 @@ def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_merge_dropout")
+def _merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), "lossless")
+
+
+@query("op2_pii")
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(personal_data(table(spark, sf_dir, "documents")))
