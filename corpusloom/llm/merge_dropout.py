@@ -35,7 +35,7 @@ _MASK = (1 << 64) - 1
 _NONE = 1 << 40
 #: Characters up to which a segment's agenda is scanned rather than kept in a heap.
 _SHORT = 64
-_KNOWN_SEGMENTS = 200_000
+_KNOWN_SEGMENTS = 100_000
 _SEGMENT = re.compile(f"\n| +[^ \n{_MARK}]*|[^ \n{_MARK}]+|{_MARK}")
 
 
@@ -166,6 +166,16 @@ class Encoder:
         return [i for i in range(n) if alive[i]]
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(shared, *key) -> Encoder:
+    """One encoder for all tasks of a Python worker, with what it remembers."""
+    if key not in _encoders:
+        _encoders[key] = Encoder(shared.value, *key[1:])
+    return _encoders[key]
+
+
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``(doc_id, n_pieces, ids, lossless)`` for each row of ``docs``.
 
@@ -173,11 +183,10 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     texts have no pieces. Equal texts have equal ids. A vocabulary is read by the driver and sent to the tasks (its file bounds
     its size). Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary.load(model), dropout, seed))
-    encoders: dict[int, Encoder] = {}
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def work(ids, texts):
-        encoder = encoders.get(0) or encoders.setdefault(0, Encoder(*shared.value))
+        encoder = _encoder(shared, model, dropout, seed)
         packed = [encoder.encode(text or "") for text in texts]
         same = [encoder.decode(p) == (t or "") for p, t in zip(packed, texts, strict=True)]
         return ids, [len(p) // 4 for p in packed], packed, same

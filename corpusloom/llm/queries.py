@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.exact_dedup import EXACT_SQL, exact_groups
+from corpusloom.llm.licenses import document_files, scan
 from corpusloom.llm.merge_dropout import encode
 from corpusloom.llm.minhash import near_duplicates
 from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
+from corpusloom.llm.token_rollup import maintained_totals
+from corpusloom.llm.url_filter import verdicts
 from corpusloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +78,18 @@ def _merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_pii")
 def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op3_license_scan")
+def _license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(document_files(table(spark, sf_dir, "documents")).select("path", "text"))
+
+
+@query("op5_token_rollup")
+def _token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintained_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_url_filter")
+def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(table(spark, sf_dir, "pages"))
