@@ -61,7 +61,8 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     ``docs`` are not read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    local = source.mapInArrow(_merge_locally(salts), _LOCAL)
+    # Dealt out once for both uses below: their plans agree up to here, so Spark reuses the exchange.
+    local = source.mapInArrow(_merge_locally(salts), _LOCAL).repartition("digest", "salt", "text")
     best = F.array_max("ids")
     within = Window.partitionBy("digest", "salt", "text").orderBy(F.col("best").desc_nulls_last())
     whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -81,7 +82,7 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
     w, s = combined.alias("w"), salted.drop("text").alias("s")
     joined = s.join(
-        w, (F.col("s.digest") == F.col("w.digest")) & (F.col("s.salt") == F.col("w.salt"))
+        w, F.col("s.digest").eqNullSafe(F.col("w.digest")) & F.col("s.salt").eqNullSafe(F.col("w.salt"))
         & F.col("s.salt_best").eqNullSafe(F.col("w.salt_best")),
     )
     rows = joined.select(
