@@ -32,24 +32,19 @@ VARIANTS = 4
 _MARK = "▁"
 _MASK = (1 << 64) - 1
 #: Rank of two symbols that make no piece.
-_NONE = 1 << 40
-#: Characters up to which a segment's agenda is scanned rather than kept in a heap.
-_SHORT = 64
-_KNOWN_SEGMENTS = 100_000
+_NONE = 1 << 30
+#: Characters up to which new segments are merged together; each round of that goes over all of them.
+_TOGETHER = 48
+_KNOWN_SEGMENTS = 400_000
 _SEGMENT = re.compile(f"\n| +[^ \n{_MARK}]*|[^ \n{_MARK}]+|{_MARK}")
 
 
-class _Ranks(dict):
-    def __missing__(self, piece: str) -> int:
-        return _NONE
-
-
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces as text, and what each id stands for in bytes."""
+    """Pieces as text, their ranks in the agenda, and what each id stands for in bytes."""
 
     ids: dict[str, int]
-    ranks: _Ranks
+    ranks: dict[str, int]
     byte_ids: tuple[int, ...]
     content: tuple[bytes, ...]
 
@@ -69,84 +64,127 @@ class Vocabulary:
                 scores[piece] = model.get_score(i)
                 content.append(piece.replace(_MARK, " ").encode())
         order = sorted(ids, key=lambda p: (-scores[p], ids[p]))
-        ranks = _Ranks((p, k) for k, p in enumerate(order) if len(p) > 1)
         crossing = next((p for p in ids if "\n" in p or _MARK in p.lstrip(_MARK)), None)
         if crossing is not None:
             raise ValueError(f"piece {crossing!r} spans segments")
-        return Vocabulary(ids, ranks, tuple(byte_ids), tuple(content))
+        return Vocabulary(ids, {p: k for k, p in enumerate(order) if len(p) > 1}, tuple(byte_ids), tuple(content))
 
 
 class Encoder:
+    """Encodes texts; remembers segments. What is new in a slice of texts is merged for all segments together."""
+
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> None:
         self.vocabulary, self.seed, self.variants = vocabulary, seed, variants
         self.limit = int(dropout * (1 << 32))
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        ids, size = vocabulary.ids, len(vocabulary.content)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for piece, code in ids.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = code
+        self.symbol_of[ord(" ")] = self.symbol_of[ord(_MARK)]
+        pairs = sorted(
+            (ids[piece[:k]] * size + ids[piece[k:]], rank, ids[piece])
+            for piece, rank in vocabulary.ranks.items() for k in range(1, len(piece)) if piece[:k] in ids and piece[k:] in ids
+        )
+        self.pair_keys, self.pair_ranks, self.pair_ids = (np.array(column, np.int64) for column in zip(*pairs, strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as packed 32-bit integers."""
+        known = self.known
+        cut = [self._segments(text) for text in texts]
+        found = [[known[v].get(s) for s, v in zip(parts, which, strict=True)] for parts, which in cut]
+        new = [i for i, ids in enumerate(found) if None in ids]
+        missing = {pair for i in new for pair, ids in zip(zip(*cut[i], strict=True), found[i], strict=True) if ids is None}
+        if missing:
+            if sum(map(len, known)) + len(missing) > _KNOWN_SEGMENTS:
+                for part in known:
+                    part.clear()
+                missing.update(pair for i in new for pair in zip(*cut[i], strict=True))
+            self._learn(list(missing))
+            for i in new:
+                found[i] = [known[v][s] for s, v in zip(*cut[i], strict=True)]
+        return [b"".join(ids) for ids in found]
 
     def encode(self, text: str) -> bytes:
-        """Ids as packed 32-bit integers."""
-        segments = _SEGMENT.findall(" " + text) if text else []
-        key = np.uint64(xxhash.xxh3_64_intdigest(text.encode(), seed=self.seed))
-        places = np.arange(len(segments), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        variants = (scramble(places + key) >> np.uint64(40)) % np.uint64(self.variants)
-        return b"".join([self._segment(s, v) for s, v in zip(segments, variants.tolist(), strict=True)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         content = self.vocabulary.content
         return b"".join([content[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode()[1:]
 
-    def _segment(self, segment: str, variant: int) -> bytes:
-        known = self.known[variant]
-        found = known.get(segment)
-        if found is None:
-            if len(known) >= _KNOWN_SEGMENTS:
-                known.clear()
-            found = known[segment] = array("i", self._merge(segment, variant)).tobytes()
-        return found
-
-    def _merge(self, segment: str, variant: int) -> list[int]:
-        v = self.vocabulary
+    def _segments(self, text: str) -> tuple[list[str], list[int]]:
+        """Segments of a text and the variant of each, by keyed hash of the text and the place."""
+        parts = _SEGMENT.findall(" " + text) if text else []
+        key = np.uint64(xxhash.xxh3_64_intdigest(text.encode(), seed=self.seed))
+        places = np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return parts, ((scramble(places + key) >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+
+    def _key(self, segment: str, variant: int) -> int:
+        return xxhash.xxh3_64_intdigest(segment.encode(), seed=self.seed + 1 + variant) | 1
+
+    def _learn(self, missing: list[tuple[str, int]]) -> None:
+        joined = "".join([s for s, _ in missing])
+        symbols = self.symbol_of[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        lengths = np.fromiter((len(s) for s, _ in missing), np.int64, len(missing))
+        odd = np.minimum.reduceat(symbols, np.cumsum(lengths) - lengths) < 0
+        alone = odd | (lengths > _TOGETHER) | np.fromiter((s == _MARK for s, _ in missing), bool, len(missing))
+        for i in np.flatnonzero(alone).tolist():
+            segment, variant = missing[i]
+            self.known[variant][segment] = array("i", self.merge(segment, self._key(segment, variant))).tobytes()
+        rest = [missing[i] for i in np.flatnonzero(~alone).tolist()]
+        if rest:
+            keys = np.array([self._key(s, v) for s, v in rest], np.uint64)
+            merged = self.merge_together(symbols[~np.repeat(alone, lengths)].astype(np.int64), lengths[~alone], keys)
+            for (segment, variant), ids in zip(rest, merged, strict=True):
+                self.known[variant][segment] = ids
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of neighbours (``_NONE`` if they make no piece) and the piece."""
+        keys = left * len(self.vocabulary.content) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NONE), self.pair_ids[at]
+
+    def merge_together(self, symbol: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> list[bytes]:
+        """Packed ids of many segments, given as their symbols in a row; each round takes the best candidate of every segment."""
+        segment = np.repeat(np.arange(len(lengths)), lengths)
+        begin = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        stop = begin + 1
+        rank, piece = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int64)
+        within = np.flatnonzero(segment[1:] == segment[:-1])
+        rank[within], piece[within] = self._ranks(symbol[within], symbol[within + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), edge)
+            live = (best >> 32) < _NONE
+            going = np.repeat(live, np.diff(np.r_[edge, len(symbol)]))
+            done.append((segment[~going], symbol[~going]))
+            at = best[live] & 0xFFFFFFFF
+            mix = (begin[at] + (stop[at] << 21) + (stop[at + 1] << 42) | 1).astype(np.uint64) if len(at) else np.empty(0, np.uint64)
+            skipped = (keys[segment[at]] * mix) >> np.uint64(32) < np.uint64(self.limit)
+            rank[at[skipped]] = _NONE
+            at = at[~skipped]
+            symbol[at], stop[at] = piece[at], stop[at + 1]
+            going[at + 1] = False
+            moved = np.cumsum(going) - 1
+            at = moved[at]
+            segment, symbol, begin, stop, rank, piece = (x[going] for x in (segment, symbol, begin, stop, rank, piece))
+            rank[at] = _NONE
+            for left in (at[at > 0] - 1, at[at + 1 < len(symbol)]):
+                left = left[segment[left] == segment[left + 1]]
+                rank[left], piece[left] = self._ranks(symbol[left], symbol[left + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        packed = ids[np.argsort(owner, kind="stable")].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(lengths)))).tolist()
+        return [packed[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def merge(self, segment: str, key: int) -> list[int]:
+        """Ids of one segment, with a heap as agenda; the same as :meth:`merge_together`, for long or unusual ones."""
+        v, text = self.vocabulary, segment.replace(" ", _MARK)
         if segment == _MARK:
             return [v.byte_ids[b] for b in segment.encode()]
-        text = segment.replace(" ", _MARK)
-        key = xxhash.xxh3_64_intdigest(text.encode(), seed=self.seed + 1 + variant) | 1
-        cuts = self._short(text, key) if len(text) <= _SHORT else self._long(text, key)
-        pieces = [text[first:stop] for first, stop in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-        codes = list(map(v.ids.get, pieces))
-        if None in codes:
-            spelled = ([v.byte_ids[b] for b in piece.encode()] if code is None else [code]
-                       for piece, code in zip(pieces, codes, strict=True))
-            return [code for part in spelled for code in part]
-        return codes
-
-    def _skips(self, key: int, first: int, middle: int, stop: int) -> bool:
-        """Keyed hash of a candidate: the symbols from ``first`` to ``middle`` and from there to ``stop``."""
-        return (key * (first + (middle << 21) + (stop << 42) | 1) & _MASK) >> 32 < self.limit
-
-    def _short(self, text: str, key: int) -> list[int]:
-        """Where the symbols begin; the agenda is the list of ranks of neighbouring symbols, which short segments scan."""
-        rank_of, limit = self.vocabulary.ranks.__getitem__, self.limit
-        cuts = list(range(len(text) + 1))
-        agenda = list(map(rank_of, map(str.__add__, text, text[1:])))
-        while agenda:
-            best = min(agenda)
-            if best == _NONE:
-                break
-            k = agenda.index(best)
-            first, middle, stop = cuts[k : k + 3]
-            if (key * (first + (middle << 21) + (stop << 42) | 1) & _MASK) >> 32 < limit:
-                agenda[k] = _NONE
-                continue
-            del cuts[k + 1], agenda[k]
-            if k:
-                agenda[k - 1] = rank_of(text[cuts[k - 1] : stop])
-            if k < len(agenda):
-                agenda[k] = rank_of(text[first : cuts[k + 2]])
-        cuts.pop()
-        return cuts
-
-    def _long(self, text: str, key: int) -> list[int]:
-        """As :meth:`_short`, with a heap as agenda and linked symbols."""
-        rank_of, n = self.vocabulary.ranks.get, len(text)
+        rank_of, n = v.ranks.get, len(text)
         # The symbol that begins at i ends at stop[i]; before[j] is where the symbol that ends at j begins.
         stop, before, alive = list(range(1, n + 1)), [i - 1 for i in range(n + 1)], [True] * n
         agenda = [(rank, i, i + 1, i + 2) for i in range(n - 1) if (rank := rank_of(text[i : i + 2])) is not None]
@@ -155,7 +193,7 @@ class Encoder:
             _, i, middle, end = heapq.heappop(agenda)
             if not alive[i] or stop[i] != middle or not alive[middle] or stop[middle] != end:
                 continue
-            if self._skips(key, i, middle, end):
+            if (key * (i + (middle << 21) + (end << 42) | 1) & _MASK) >> 32 < self.limit:
                 continue
             alive[middle] = False
             stop[i], before[end] = end, i
@@ -163,7 +201,12 @@ class Encoder:
                 heapq.heappush(agenda, (rank, before[i], i, end))
             if end < n and (rank := rank_of(text[i : stop[end]])) is not None:
                 heapq.heappush(agenda, (rank, i, end, stop[end]))
-        return [i for i in range(n) if alive[i]]
+        out: list[int] = []
+        for i in range(n):
+            if alive[i]:
+                code = v.ids.get(text[i : stop[i]])
+                out += [v.byte_ids[b] for b in text[i : stop[i]].encode()] if code is None else [code]
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -187,7 +230,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
 
     def work(ids, texts):
         encoder = _encoder(shared, model, dropout, seed)
-        packed = [encoder.encode(text or "") for text in texts]
+        packed = encoder.encode_all([text or "" for text in texts])
         same = [encoder.decode(p) == (t or "") for p, t in zip(packed, texts, strict=True)]
         return ids, [len(p) // 4 for p in packed], packed, same
 
