@@ -243,11 +243,22 @@ def resumed(spark: SparkSession, sf: str) -> tuple[str, str]:
     out, ledger = scratch_path(spark, "corpus"), scratch_path(spark, "ledger")
     append_ledger(labelled_ledger(spark, sf), ledger)
     files = manifest(spark, sf).drop("doc_id")
-    options = BuildOptions(shard_bytes=SHARD_BYTES, base_shard=1, bounded=False)
+    options = BuildOptions(shard_bytes=SHARD_BYTES, bounded=False)
     build_corpus(spark, files, docs(spark, sf), out, ledger, options)
     return out, ledger
 
 
+@query("agg_run_summary_retried", f"WITH {DOCS} SELECT CASE WHEN bytes > 1000 THEN 'done' WHEN doc_id IN (SELECT doc_id FROM labels) "
+                                  "THEN 'failed' ELSE 'pending' END AS status, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM docs GROUP BY 1")
+def agg_run_summary_retried(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled files failed first; long files were then published twice, as after a lost ledger write."""
+    tried = labelled_ledger(spark, sf).select("path", F.lit(None).cast("int").alias("shard"), F.lit("failed").alias("status"), "error")
+    published = manifest(spark, sf).where("bytes > 1000").select(
+        "path", F.lit(0).alias("shard"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error")
+    )
+    return run_summary(manifest(spark, sf), tried.unionByName(published).unionByName(published))
+
+
 @query("ckpt_resume", f"WITH RECURSIVE {_TODO_CHUNKS} SELECT path, shard, 'done' AS status FROM fresh "
                       "UNION ALL SELECT file_name, 0, 'done' FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)")
 def ckpt_resume(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,3 +270,60 @@ def ckpt_resume(spark: SparkSession, sf: str) -> DataFrame:
                        "JOIN fresh f ON f.path = d.file_name")
 def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
     return read_dataset(spark, resumed(spark, sf)[0]).select("shard", "file_name", "text", "node_id")
+
+
+def two_runs(spark: SparkSession, sf: str, docs_of, per_folder: int) -> tuple[str, str]:
+    """Two default runs, each limited to ``per_folder`` files of every folder; returns shard and ledger paths."""
+    out, ledger = scratch_path(spark, "corpus"), scratch_path(spark, "ledger")
+    files, rows = manifest(spark, sf).drop("doc_id"), docs_of(spark, sf)
+    for _ in range(2):
+        build_corpus(spark, files, rows, out, ledger, BuildOptions(shard_bytes=SHARD_BYTES, per_folder=per_folder, bounded=False))
+    return out, ledger
+
+
+def _sql_run(n: int, chosen: str) -> str:
+    """Packing of one run over files f(folder, folder_ord, path, bytes) named by ``chosen``."""
+    files = (f"SELECT folder AS scope, folder_ord, row_number() OVER (PARTITION BY folder ORDER BY path) AS rn, path, bytes FROM sizes WHERE {chosen}")
+    return (
+        sql_pack(files, SHARD_BYTES).replace("f AS (", f"f{n} AS (").replace("packed AS", f"packed{n} AS")
+        .replace("FROM f WHERE", f"FROM f{n} f WHERE").replace("FROM packed p JOIN f ON", f"FROM packed{n} p JOIN f{n} f ON")
+        + f", run{n} AS (SELECT p.path, p.bytes, p.shard + base AS shard FROM packed{n} p JOIN (SELECT scope, coalesce(sum(k) OVER "
+        "(ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM (SELECT p.scope, max(p.shard) + 1 AS k, "
+        f"min(f.folder_ord) AS o FROM packed{n} p JOIN f{n} f USING (path) GROUP BY p.scope)) USING (scope))"
+    )
+
+
+_TWO_RUNS = (
+    f"{DOCS}, {WINDOW_UNITS}, {SEMANTIC}, sizes AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS turn FROM "
+    "(SELECT d.file_name AS path, d.folder, d.folder_ord, count(*) AS n, sum(strlen(c.chunk))::BIGINT AS bytes "
+    "FROM chunks c JOIN docs d USING (doc_id) GROUP BY ALL)), "
+    + _sql_run(1, "turn <= 12") + ", " + _sql_run(2, "turn > 12 AND turn <= 24")
+    + ", both_runs AS (SELECT path, shard FROM run1 UNION ALL SELECT path, shard + (SELECT max(shard) + 1 FROM run1) FROM run2)"
+)
+
+
+@query("corpus_two_runs", f"WITH RECURSIVE {_TWO_RUNS} SELECT b.shard::INT AS shard, count(*) AS files, sum(s.n)::BIGINT AS chunks, "
+                          "sum(s.bytes)::BIGINT AS bytes FROM both_runs b JOIN sizes s USING (path) GROUP BY b.shard")
+def corpus_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Limits are the feature here: the second run must go on where the first one stopped, in files and in shard numbers."""
+    out, _ = two_runs(spark, sf, docs, 12)
+    return read_dataset(spark, out).groupBy("shard").agg(
+        F.count_distinct("file_name").alias("files"), F.count("*").alias("chunks"),
+        F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes"),
+    )
+
+
+def blanked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents; those labelled low in quality have only white space."""
+    low = src.table(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(True).alias("low")).distinct()
+    rows = docs(spark, sf).join(low, "doc_id", "left")
+    return rows.withColumn("text", F.when(F.col("low"), F.lit(" \n")).otherwise(F.col("text"))).drop("low")
+
+
+@query("ckpt_empty_files", f"WITH {DOCS}, low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), turns AS (SELECT doc_id, file_name, "
+                           "row_number() OVER (PARTITION BY folder ORDER BY file_name) AS turn FROM docs) SELECT file_name AS path, "
+                           "CASE WHEN doc_id IN (SELECT doc_id FROM low) THEN 'empty' ELSE 'done' END AS status FROM turns WHERE turn <= 24")
+def ckpt_empty_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Blank files are finished once; the second limited run gets to new files."""
+    _, ledger = two_runs(spark, sf, blanked, 12)
+    return read_ledger(spark, ledger).select("path", "status")

@@ -13,9 +13,8 @@ from corpusloom.operators.admission import admit
 from corpusloom.operators.packing import global_numbers, pack
 from corpusloom.operators.semantic import semantic_chunks
 from corpusloom.operators.splitting import node_id
-from corpusloom.plans.parallelism import spread
 from corpusloom.session import materialize
-from corpusloom.sources.ledger import append_ledger, read_ledger, unprocessed
+from corpusloom.sources.ledger import append_ledger, failed, latest, next_shard, read_ledger, unprocessed
 from corpusloom.sources.shards import write_shards
 
 
@@ -24,16 +23,16 @@ class BuildOptions:
     shard_bytes: int = 100_000_000
     per_folder: int | None = None
     total: int | None = None
-    base_shard: int = 0
+    base_shard: int | None = None
     unit_mode: str = "window"
     bounded: bool = True
     assign: object = None
 
 
 def chunk_table(docs: DataFrame, options: BuildOptions) -> DataFrame:
-    """``(path, folder, folder_ord, chunk_no, text, file_name, node_id, status, error)``.
+    """``(path, folder, folder_ord, chunk_no, text, bytes, file_name, node_id, status, error)``.
 
-    A file that could not be split keeps one row with status ``failed``.
+    A file without any chunk keeps one row: ``failed`` if splitting raised an error, ``empty`` if there was nothing to split.
     """
     clean = docs.withColumn("text", clean_utf8(F.col("text")))
     split = semantic_chunks(clean, options.unit_mode, options.assign, options.bounded, errors=True)
@@ -44,10 +43,10 @@ def chunk_table(docs: DataFrame, options: BuildOptions) -> DataFrame:
         F.posexplode(elements("_c")).alias("chunk_no", "text"),
     )
     return rows.select(
-        "path", "folder", "folder_ord", "chunk_no", "text", "file_name",
+        "path", "folder", "folder_ord", "chunk_no", "text", utf8_bytes(F.col("text")).alias("bytes"), "file_name",
         node_id(F.col("doc_id"), F.col("chunk_no")).alias("node_id"),
-        F.when(F.col("text").isNull(), "failed").otherwise("done").alias("status"),
-        F.when(F.col("text").isNull(), F.coalesce("chunk_error", F.lit("no chunk"))).alias("error"),
+        F.when(F.col("text").isNotNull(), "done").when(F.col("chunk_error").isNull(), "empty").otherwise("failed").alias("status"),
+        F.when(F.col("text").isNull(), F.col("chunk_error")).alias("error"),
     )
 
 
@@ -55,30 +54,44 @@ def build_corpus(spark: SparkSession, manifest: DataFrame, docs: DataFrame, out:
                  options: BuildOptions = BuildOptions()) -> None:
     """One resumable run.
 
-    Order of effects: shards first, ledger last. A crash in between repeats the same
-    shards (their numbers follow from the data) and then completes the ledger.
+    Shards are numbered after those the ledger knows, unless ``base_shard`` is given; a base that would replace a published
+    shard is refused. Order of effects: shards first, ledger last. A crash in between repeats the same shards (their numbers
+    follow from ledger and data) and then completes the ledger.
     """
-    todo = admit(unprocessed(manifest, read_ledger(spark, ledger_path)), options.per_folder, options.total)
+    # The ledger grows only at the end of a run, so all readings below see the same rows.
+    ledger = read_ledger(spark, ledger_path)
+    todo = admit(unprocessed(manifest, ledger), options.per_folder, options.total, failed(ledger))
     wanted = docs.join(todo.select(F.col("path").alias("file_name")), "file_name", "left_semi")
     # Chunks are used twice (sizes, then rows), so they are computed once and written.
-    chunks = materialize(chunk_table(spread(wanted), options), "chunks")
-    done = chunks.where("status = 'done'")
-    sizes = done.groupBy("path", "folder", "folder_ord").agg(F.sum(utf8_bytes(F.col("text"))).alias("bytes"))
+    chunks = materialize(chunk_table(wanted, options), "chunks")
+    published = chunks.where("status = 'done'")
+    sizes = published.groupBy("path", "folder", "folder_ord").agg(F.sum("bytes").alias("bytes"))
     packed = global_numbers(pack(sizes, options.shard_bytes, "folder"), "folder", "folder_ord")
     packed = materialize(packed.select("path", "shard"), "packed")
-    rows = done.join(packed, "path").select("text", "file_name", "node_id", "shard")
-    write_shards(rows, out, base=options.base_shard)
+    base = next_shard(ledger) if options.base_shard is None else options.base_shard
+    _refuse_collision(ledger, packed, base)
+    rows = published.join(packed, "path").select("text", "file_name", "node_id", "shard")
+    write_shards(rows, out, base=base)
     finished = packed.select(
-        "path", (F.col("shard") + options.base_shard).cast("int").alias("shard"),
+        "path", (F.col("shard") + base).cast("int").alias("shard"),
         F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"),
     )
-    failed = chunks.where("status = 'failed'").select("path", F.lit(None).cast("int").alias("shard"), "status", "error")
-    append_ledger(finished.unionByName(failed), ledger_path)
+    others = chunks.where("status <> 'done'").select("path", F.lit(None).cast("int").alias("shard"), "status", "error")
+    append_ledger(finished.unionByName(others), ledger_path)
+
+
+def _refuse_collision(ledger: DataFrame, packed: DataFrame, base: int) -> None:
+    last = packed.agg(F.max("shard").alias("last")).first()["last"]
+    if last is None:
+        return
+    taken = ledger.where((F.col("status") == "done") & F.col("shard").between(base, base + last))
+    if not taken.isEmpty():
+        raise ValueError(f"shards {base} to {base + last} would replace published ones")
 
 
 def run_summary(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Counters of a run: files and bytes by status, files without an entry are ``pending``."""
-    joined = manifest.join(ledger.select("path", "status"), "path", "left")
+    """Counters over all runs: each file of the manifest once, by its final status; files without an entry are ``pending``."""
+    joined = manifest.join(latest(ledger).select("path", "status"), "path", "left")
     return joined.groupBy(F.coalesce("status", F.lit("pending")).alias("status")).agg(
         F.count("*").alias("files"), F.sum("bytes").cast("long").alias("bytes")
     )

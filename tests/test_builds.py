@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.prompts import SUMMARIZE
@@ -59,6 +60,39 @@ def test_limits_ignore_finished_files(spark):
     assert counts == {"done": 4}
 
 
+def test_second_default_run_adds_shards(spark):
+    docs, manifest = corpus(spark, [("A", 0, f"text {i}.") for i in range(6)])
+    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
+    for run in range(3):
+        build_corpus(spark, manifest, docs, out, ledger, BuildOptions(shard_bytes=8, total=2))
+    published = read_dataset(spark, out).select(F.col("file_name").alias("path"), "shard").distinct()
+    entries = read_ledger(spark, ledger).select("path", "shard")
+    assert published.count() == entries.count() == 6
+    assert published.exceptAll(entries).count() == entries.exceptAll(published).count() == 0
+    more, _ = corpus(spark, [("A", 0, f"text {i}.") for i in range(7)])
+    with pytest.raises(ValueError, match="replace published"):
+        build_corpus(spark, manifest.unionByName(manifest.limit(1).withColumn("path", F.lit("pdf/A/6"))), more, out, ledger,
+                     BuildOptions(base_shard=1))
+    assert read_dataset(spark, out).count() == 6
+
+
+def test_blank_files_are_finished_and_failed_ones_come_last(spark):
+    docs, manifest = corpus(spark, [("A", 0, " "), ("A", 0, "poison here."), ("A", 0, "good."), ("A", 0, "better.")])
+    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
+
+    def picky(units):
+        if any("poison" in u for u in units):
+            raise ValueError("bad")
+        return semantic.bag_distances(units)
+
+    options = BuildOptions(total=1, unit_mode="sentence", bounded=False, assign=semantic.chunk_starts(picky))
+    for _ in range(5):
+        build_corpus(spark, manifest, docs, out, ledger, options)
+    rows = [(r.path[-1], r.status) for r in read_ledger(spark, ledger).collect()]
+    assert sorted(rows) == [("0", "empty"), ("1", "failed"), ("1", "failed"), ("2", "done"), ("3", "done")]
+    assert {r.status: r.files for r in run_summary(manifest, read_ledger(spark, ledger)).collect()} == {"done": 2, "empty": 1, "failed": 1}
+
+
 def test_hot_folder_keeps_every_row(spark):
     texts = [("hot" if i % 3 == 0 else f"f{i}", i, f"w{i} " * (i % 7 + 1)) for i in range(300)]
     docs, manifest = corpus(spark, texts)
