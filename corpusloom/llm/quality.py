@@ -217,8 +217,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     return net
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with ``__held_out`` (boolean) and ``__score`` (double, higher: label 1 likelier).
+def with_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (all columns, or those named beside doc_id) with ``__held_out`` (boolean) and ``__score`` (double, higher: label 1 likelier).
 
     Labels are learnt only where crc32 of the id, as text, leaves a remainder other than 0 by 5; ``train_rows`` bounds how
     many. Empty and null texts have a zero vector and are scored like any. A null id is not held out and has no label.
@@ -226,7 +226,8 @@ def with_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     share of label 1, or 0.5 without any. Of ``docs`` only text and doc_id are read; other columns pass through.
     """
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(1))
-    vectors = materialize(pooled(docs, word_vectors(docs)), "quality")
+    columns = docs.columns if columns is None else ["doc_id", *columns]
+    vectors = materialize(pooled(docs, word_vectors(docs)).select(*columns, "__vector"), "quality")
     wanted = labels.where(F.col("quality").isNotNull()).select(
         F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("__y")
     )
@@ -255,7 +256,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``; see :func:`with_scores`."""
-    return with_scores(docs.select("doc_id", "text"), labels).select(
+    return with_scores(docs.select("doc_id", "text"), labels, columns=[]).select(
         "doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= threshold).cast("int").alias("predicted"),
     )
