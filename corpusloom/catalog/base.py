@@ -14,6 +14,8 @@ from corpusloom.sources import documents as src
 SHARD_BYTES = 100_000
 SEED = 3
 MODEL = "base-model"
+#: An arbitrary system message of more than one line.
+SYSTEM_TEXT = "Reply in plain words.\nName the part of the text that you rely on."
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.catalog.base import (
-    INSTRUCTION_ROWS, SEED, TEMPLATES, WINDOWS, docs, instruction_rows, sql_choice, sql_strip, sql_text, sql_words,
+    INSTRUCTION_ROWS, SEED, SYSTEM_TEXT, TEMPLATES, WINDOWS, docs, instruction_rows, sql_choice, sql_strip, sql_text, sql_words,
 )
 from corpusloom.functions import prompts
 from corpusloom.functions.text import cut_at_stop, extract_response, response_status, strip, words
@@ -17,7 +17,7 @@ from corpusloom.operators.splitting import explode_chunks, window_units
 from corpusloom.operators.vocabulary import prompt_tokens
 from corpusloom.session import materialize
 
-SYSTEM = sql_text(prompts.SYSTEM_TEXT)
+SYSTEM = sql_text(SYSTEM_TEXT)
 
 
 @query("ins_templates", f"WITH {TEMPLATES} SELECT d.doc_id, t.template_id, t.task, t.instruction, d.text AS input, "
@@ -61,9 +61,9 @@ _prompt_query("prm_test_plain", "'<s>[INST] ' || instruction || chr(10) || input
               lambda i, x, o: prompts.test_prompt(i, x))
 _prompt_query("prm_train_sys", f"'<s>[INST]<<SYS>> ' || {SYSTEM} || ' <</SYS>>' || {_PAD} || instruction || {_PAD} || input || "
                                f"' [/INST]' || {_PAD} || output || ' </s>'",
-              lambda i, x, o: prompts.train_prompt(i, x, o, prompts.SYSTEM_TEXT))
+              lambda i, x, o: prompts.train_prompt(i, x, o, SYSTEM_TEXT))
 _prompt_query("prm_test_sys", f"'<s>[INST]<<SYS>> ' || {SYSTEM} || ' <</SYS>>' || {_PAD} || instruction || {_PAD} || input || ' [/INST]'",
-              lambda i, x, o: prompts.test_prompt(i, x, prompts.SYSTEM_TEXT))
+              lambda i, x, o: prompts.test_prompt(i, x, SYSTEM_TEXT))
 _prompt_query("prm_completion", "chr(10) || '  <s>[INST] ' || instruction || chr(10) || '  ' || input || ' [/INST]' || chr(10) || '  '",
               lambda i, x, o: prompts.completion_prompt(i, x))
 

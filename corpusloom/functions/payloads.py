@@ -2,75 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import CHAT_STOPS, COMPLETION_STOPS
 
-# Sampling parameters sent with each kind of request.
-TEMPERATURE = 0.7
-TOP_P = 0.7
-TOP_K = 50
-MAX_TOKENS = 1000
-MIN_TOKENS = 1
-REPETITION_PENALTY = 1
-SERVING_TEMPERATURE = 0.9
-SERVING_TOP_P = 0.95
+# Sampling options sent with each kind of request, in the order in which they are sent.
+CHAT_SAMPLING = {
+    "temperature": 0.7, "max_tokens": 1000, "top_p": 0.7, "frequency_penalty": 0.0, "presence_penalty": 0.0, "stop": CHAT_STOPS,
+    "repetition_penalty": 1, "top_k": 50,
+}
+COMPLETION_SAMPLING = {
+    "temperature": 0.7, "max_tokens": 1000, "top_p": 0.7, "stop": COMPLETION_STOPS, "repetition_penalty": 1, "top_k": 50,
+}
+BATCH_SAMPLING = {
+    "max_tokens": 1000, "min_tokens": 1, "temperature": 0.9, "top_k": 50, "top_p": 0.95, "skip_special_tokens": True,
+}
+INSTRUCTION_SAMPLING = {"max_tokens": 1000}
+SERVING_SAMPLING = {"temperature": 0.9, "max_tokens": 1000, "min_tokens": 1}
+SERVING_EXTRA = {"min_tokens": 1, "skip_special_tokens": True, "top_k": 50}
 
 
 def message(role: Column, content: Column) -> Column:
     return F.struct(role.alias("role"), content.alias("content"))
 
 
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _options(values: Mapping[str, object]) -> list[Column]:
+    """Columns of sampling options; lists become arrays."""
+    return [
+        (F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)).alias(name) for name, v in values.items()
+    ]
 
 
-def chat_payload(messages: Column, model: Column) -> Column:
-    return F.to_json(F.struct(
-        model.alias("model"),
-        messages.alias("messages"),
-        F.lit(TEMPERATURE).alias("temperature"),
-        F.lit(MAX_TOKENS).alias("max_tokens"),
-        F.lit(TOP_P).alias("top_p"),
-        F.lit(0.0).alias("frequency_penalty"),
-        F.lit(0.0).alias("presence_penalty"),
-        _strings(CHAT_STOPS).alias("stop"),
-        F.lit(REPETITION_PENALTY).alias("repetition_penalty"),
-        F.lit(TOP_K).alias("top_k"),
-    ))
+def chat_payload(messages: Column, model: Column, sampling: Mapping[str, object] = CHAT_SAMPLING) -> Column:
+    return F.to_json(F.struct(model.alias("model"), messages.alias("messages"), *_options(sampling)))
 
 
-def completion_payload(prompt: Column, model: Column) -> Column:
-    return F.to_json(F.struct(
-        model.alias("model"),
-        prompt.alias("prompt"),
-        F.lit(TEMPERATURE).alias("temperature"),
-        F.lit(MAX_TOKENS).alias("max_tokens"),
-        F.lit(TOP_P).alias("top_p"),
-        _strings(COMPLETION_STOPS).alias("stop"),
-        F.lit(REPETITION_PENALTY).alias("repetition_penalty"),
-        F.lit(TOP_K).alias("top_k"),
-    ))
+def completion_payload(prompt: Column, model: Column, sampling: Mapping[str, object] = COMPLETION_SAMPLING) -> Column:
+    return F.to_json(F.struct(model.alias("model"), prompt.alias("prompt"), *_options(sampling)))
 
 
-def serving_payload(prompt: Column, model: Column, n: int = 1) -> Column:
+def serving_payload(prompt: Column, model: Column, n: int = 1, sampling: Mapping[str, object] = SERVING_SAMPLING,
+                    extra: Mapping[str, object] = SERVING_EXTRA) -> Column:
     """Body for a served model: ``n`` choices and nested extra parameters."""
-    extra = F.struct(
-        F.lit(MIN_TOKENS).alias("min_tokens"),
-        F.lit(True).alias("skip_special_tokens"),
-        F.lit(TOP_K).alias("top_k"),
-    )
+    outer = {name: extra[name] for name in ("skip_special_tokens", "top_k") if name in extra}
     return F.to_json(F.struct(
-        F.array(message(F.lit("user"), prompt)).alias("messages"),
-        F.lit(n).alias("n"),
-        F.lit(SERVING_TEMPERATURE).alias("temperature"),
-        F.lit(MAX_TOKENS).alias("max_tokens"),
-        F.lit(MIN_TOKENS).alias("min_tokens"),
-        model.alias("model"),
-        F.lit(True).alias("skip_special_tokens"),
-        F.lit(TOP_K).alias("top_k"),
-        extra.alias("SamplingParams"),
+        F.array(message(F.lit("user"), prompt)).alias("messages"), F.lit(n).alias("n"), *_options(sampling),
+        model.alias("model"), *_options(outer), F.struct(*_options(extra)).alias("SamplingParams"),
     ))
 
 

@@ -16,17 +16,11 @@ TRAIN_SYSTEM = "<s>[INST]<<SYS>> {system} <</SYS>>\n    {instruction}\n    {inpu
 TEST_SYSTEM = "<s>[INST]<<SYS>> {system} <</SYS>>\n    {instruction}\n    {input} [/INST]"
 COMPLETION = "\n  <s>[INST] {instruction}\n  {input} [/INST]\n  "
 
-#: (template_id, task, instruction, placeholder output); callers may pass their own list.
+#: (template_id, task, instruction, output until one is generated); callers may pass their own list.
 TASK_TEMPLATES = (
-    (0, "summarization", SUMMARIZE, "summary of the chunk"),
-    (1, "question_answering", f"{ANSWER} {QUESTION}", "answer to the question"),
-    (2, "information_extraction", EXTRACT, "information extracted from the chunk"),
-)
-
-#: Neutral default; every formatter takes its own.
-SYSTEM_TEXT = (
-    "You are an assistant for scientific papers. Answer in detail, in a clear structure,\n"
-    "greet the user in the first message only and ask at the end whether more help is needed."
+    (0, "summarization", SUMMARIZE, ""),
+    (1, "question_answering", f"{ANSWER} {QUESTION}", ""),
+    (2, "information_extraction", EXTRACT, ""),
 )
 
 

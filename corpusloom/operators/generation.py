@@ -5,92 +5,74 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as CallTimeout
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions.payloads import first_chat_choice, first_text_choice
 from corpusloom.functions.text import strip
 
 TIMEOUT = 30.0
-STUB_WORDS = 20
+_ANSWER = "struct<http_status: int, response: string, error: string>"
 
 #: A client takes a request body (JSON text) and returns ``(http_status, body)``.
 Client = Callable[[str], tuple[int, str]]
-
-
-def echo_client() -> Client:
-    """Stand-in without a network: answers with the first words of the last message."""
-    def call(request: str) -> tuple[int, str]:
-        body = json.loads(request)
-        if "messages" in body:
-            text = " ".join(body["messages"][-1]["content"].split()[:STUB_WORDS])
-            return 200, json.dumps({"choices": [{"message": {"role": "assistant", "content": text}}]})
-        text = " ".join(body["prompt"].split()[:STUB_WORDS])
-        return 200, json.dumps({"choices": [{"text": text}]})
-
-    return call
-
-
-def counting_client() -> Client:
-    """Stand-in whose answer shows how many messages the request carried."""
-    def call(request: str) -> tuple[int, str]:
-        messages = json.loads(request)["messages"]
-        text = " ".join([f"{len(messages)}:", *messages[-1]["content"].split()[:STUB_WORDS]])
-        return 200, json.dumps({"choices": [{"message": {"role": "assistant", "content": text}}]})
-
-    return call
+Answer = tuple[int, str | None, str | None]
 
 
 class Caller:
-    """One client per task; calls of a batch run side by side, each with a time limit."""
+    """One client per task; calls run side by side, each with its own time limit."""
 
     def __init__(self, make_client: Callable[[], Client], timeout: float | None, attempts: int, parallel: int):
         self.client, self.timeout = make_client(), timeout
         self.attempts, self.parallel = attempts, parallel
         self.pool: ThreadPoolExecutor | None = None
 
-    def one(self, request: str) -> tuple[int, str | None, str | None]:
-        error = None
+    def one(self, request: str) -> Answer:
+        failure: Answer = (0, None, "not called")
         for _ in range(self.attempts):
             try:
                 code, body = self.client(request)
             except Exception as exc:  # the row carries the failure, the job goes on
-                error = f"{type(exc).__name__}: {exc}"
+                failure = (0, None, f"{type(exc).__name__}: {exc}")
                 continue
             if code == 200:
                 return code, body, None
-            error = f"Error {code}: {body}"
-        return (0, None, error) if error is None or not error.startswith("Error ") else (code, None, error)
+            failure = (code, None, f"Error {code}: {body}")
+        return failure
 
-    def many(self, requests: Sequence[str]) -> list[tuple[int, str | None, str | None]]:
+    def many(self, requests: Sequence[str]) -> list[Answer]:
+        """Answers in the order of the requests; a slot takes the next request as soon as it is free."""
         if self.parallel <= 1 and self.timeout is None:
             return [self.one(r) for r in requests]
-        out = []
-        # Waves, so that the clock of a call starts when it gets its slot.
-        for first in range(0, len(requests), self.parallel):
-            out.extend(self._wave(requests[first:first + self.parallel]))
-        return out
-
-    def _wave(self, requests: Sequence[str]) -> list[tuple[int, str | None, str | None]]:
-        if self.pool is None:
-            self.pool = ThreadPoolExecutor(max_workers=self.parallel)
-        deadline = None if self.timeout is None else time.monotonic() + self.timeout
-        running = [self.pool.submit(self.one, r) for r in requests]
-        out = []
-        for future in running:
-            try:
-                left = None if deadline is None else max(deadline - time.monotonic(), 0)
-                out.append(future.result(timeout=left))
-            except CallTimeout:
-                out.append((0, None, "timeout"))
-        if any(answer[2] == "timeout" for answer in out):
-            self.close()  # a hung call keeps its thread; later waves get fresh ones
-        return out
+        answers: list[Answer] = [(0, None, "timeout")] * len(requests)
+        running: dict[Future, tuple[int, float]] = {}
+        waiting = iter(enumerate(requests))
+        hung = 0
+        while True:
+            while len(running) < self.parallel and (item := next(waiting, None)) is not None:
+                if self.pool is None:
+                    self.pool = ThreadPoolExecutor(max_workers=self.parallel)
+                running[self.pool.submit(self.one, item[1])] = (item[0], time.monotonic())
+            if not running:
+                return answers
+            limit = None
+            if self.timeout is not None:
+                limit = max(0.0, min(begun for _, begun in running.values()) + self.timeout - time.monotonic())
+            finished, _ = wait(running, timeout=limit, return_when=FIRST_COMPLETED)
+            for future in finished:
+                answers[running.pop(future)[0]] = future.result()
+            if self.timeout is not None:
+                late = [f for f, (_, begun) in running.items() if time.monotonic() - begun >= self.timeout and not f.done()]
+                for future in late:
+                    running.pop(future)
+                hung += len(late)
+                # A hung call keeps its thread. Once no thread of the pool is free, later calls get a new pool.
+                if hung >= self.parallel - len(running) and late:
+                    self.pool.shutdown(wait=False)
+                    self.pool, hung = None, 0
 
     def close(self) -> None:
         if self.pool is not None:
@@ -98,30 +80,26 @@ class Caller:
             self.pool = None
 
 
-def call_model(rows: DataFrame, request: str, make_client: Callable[[], Client] = echo_client,
-               timeout: float | None = TIMEOUT, attempts: int = 1, parallel: int = 8) -> DataFrame:
+def call_model(rows: DataFrame, request: str, make_client: Callable[[], Client], timeout: float | None = TIMEOUT,
+               attempts: int = 1, parallel: int = 8) -> DataFrame:
     """Add ``http_status``, ``response`` (JSON) and ``error``; one row in, one row out.
 
-    ``timeout=None`` with ``parallel=1`` calls in the task's own thread.
+    Only the request goes to Python. ``timeout=None`` with ``parallel=1`` calls in the task's own thread.
     """
-    schema = T.StructType([
-        *rows.schema.fields,
-        T.StructField("http_status", T.IntegerType()),
-        T.StructField("response", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(_ANSWER)
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         caller = Caller(make_client, timeout, attempts, parallel)
         try:
-            for batch in batches:
-                answers = caller.many(batch[request].tolist())
-                columns = list(zip(*answers)) if answers else [(), (), ()]
-                yield batch.assign(http_status=columns[0], response=columns[1], error=columns[2])
+            for requests in batches:
+                answers = caller.many(requests.tolist())
+                columns = list(zip(*answers, strict=True)) if answers else [(), (), ()]
+                yield pd.DataFrame({"http_status": columns[0], "response": columns[1], "error": columns[2]}, dtype=object)
         finally:
             caller.close()
 
-    return rows.mapInPandas(run, schema)
+    # Declared non-deterministic so that the optimizer never repeats a call.
+    answered = rows.withColumn("_answer", call.asNondeterministic()(F.col(request)))
+    return answered.select(*rows.columns, "_answer.http_status", "_answer.response", "_answer.error")
 
 
 def with_answer(answered: DataFrame, kind: str = "chat") -> DataFrame:
@@ -155,35 +133,47 @@ def per_model(prompts: DataFrame, models: Sequence[str]) -> DataFrame:
     return prompts.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
-def multi_turn(prompts: DataFrame, model: str, make_client: Callable[[], Client] = counting_client,
-               conv: str = "conv_id", turn: str = "turn", system: str | None = None) -> DataFrame:
+def _content(body: str) -> str | None:
+    """Text of the first choice; None if the answer is not of that form."""
+    try:
+        text = json.loads(body)["choices"][0]["message"]["content"]
+    except (ValueError, TypeError, KeyError, IndexError):
+        return None
+    return text if isinstance(text, str) else None
+
+
+def multi_turn(prompts: DataFrame, model: str, make_client: Callable[[], Client], conv: str = "conv_id", turn: str = "turn",
+               system: str | None = None, timeout: float | None = TIMEOUT, attempts: int = 1) -> DataFrame:
     """Run conversations: every answer enters the history of the next request.
 
     Conversations are spread by id and streamed in turn order; a task keeps only the
-    history of the conversation it is in, never a whole group of rows. A failed call
-    leaves the history as it was.
+    history of the conversation it is in, never a whole group of rows. A call that fails, takes
+    too long or brings an answer without text leaves the history as it was.
     """
     schema = f"{conv} long, {turn} long, n_messages int, http_status int, answer string, error string"
     ordered = prompts.select(conv, turn, "text").repartition(conv).sortWithinPartitions(conv, turn)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller = Caller(make_client, None, 1, 1)
+        caller = Caller(make_client, timeout, attempts, 1)
         current, history = None, []
-        for batch in batches:
-            out = []
-            for key, at, text in batch.itertuples(index=False, name=None):
-                lead = []
-                if key != current:
-                    current, history = key, []
-                    lead = [{"role": "system", "content": system}] if system else []
-                user = {"role": "user", "content": text}
-                messages = lead + history + [user]
-                code, body, error = caller.one(json.dumps({"model": model, "messages": messages}))
-                answer = None
-                if code == 200:
-                    answer = json.loads(body)["choices"][0]["message"]["content"]
-                    history += [*lead, user, {"role": "assistant", "content": answer}]
-                out.append((key, at, len(messages), code, answer, error))
-            yield pd.DataFrame(out, columns=[conv, turn, "n_messages", "http_status", "answer", "error"])
+        try:
+            for batch in batches:
+                out = []
+                for key, at, text in batch.itertuples(index=False, name=None):
+                    if key != current:
+                        current, history = key, []
+                    lead = [{"role": "system", "content": system}] if system and not history else []
+                    user = {"role": "user", "content": text}
+                    messages = lead + history + [user]
+                    code, body, error = caller.many([json.dumps({"model": model, "messages": messages})])[0]
+                    answer = _content(body) if code == 200 else None
+                    if code == 200 and answer is None:
+                        error = "malformed answer"
+                    if answer is not None:
+                        history += [*lead, user, {"role": "assistant", "content": answer}]
+                    out.append((key, at, len(messages), code, answer, error))
+                yield pd.DataFrame(out, columns=[conv, turn, "n_messages", "http_status", "answer", "error"])
+        finally:
+            caller.close()
 
     return ordered.mapInPandas(run, schema)

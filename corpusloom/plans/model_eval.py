@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.payloads import completion_payload
+from corpusloom.functions.payloads import BATCH_SAMPLING, completion_payload
 from corpusloom.functions.prompts import test_prompt
 from corpusloom.operators.evaluation import (
     MAX_ORDER, bleu, combine, corpus_stats, gram_stats, rouge_l, rouge_n, sacrebleu, tokens_13a, tokens_rouge,
 )
-from corpusloom.operators.generation import call_model, echo_client, with_answer
+from corpusloom.operators.generation import call_model, with_answer
 from corpusloom.operators.language_model import perplexity
 from corpusloom.operators.sampling import with_split
 from corpusloom.session import materialize
 
 
-def held_out_predictions(rows: DataFrame, key: str, model: str, make_client=echo_client, **split) -> DataFrame:
+def held_out_predictions(rows: DataFrame, key: str, model: str, make_client,
+                         sampling: Mapping[str, object] = BATCH_SAMPLING, **split) -> DataFrame:
     """``(key, prompt, generated_text, reference_text, status)`` for the test split."""
     test = with_split(rows, key, **split).where("split = 'test'")
     prompts = test.select(
         key, test_prompt(F.col("instruction"), F.col("input")).alias("prompt"), F.col("output").alias("reference_text")
     )
-    body = completion_payload(F.col("prompt"), F.lit(model))
+    body = completion_payload(F.col("prompt"), F.lit(model), sampling)
     answered = with_answer(call_model(prompts.withColumn("payload", body), "payload", make_client), "completion")
     return answered.select(key, "prompt", "generated_text", "reference_text", "status")
 

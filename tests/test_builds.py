@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.catalog.generation import echo_client
 from corpusloom.functions.prompts import SUMMARIZE
 from corpusloom.operators import semantic
 from corpusloom.plans.corpus_build import BuildOptions, build_corpus, run_summary
@@ -106,7 +107,7 @@ def test_hot_folder_keeps_every_row(spark):
 
 def test_instructions_end_to_end(spark):
     chunks = spark.createDataFrame([(i, f"chunk {i}") for i in range(30)], "id long, text string")
-    rows = build_instructions(chunks, F.col("id"), "m")
+    rows = build_instructions(chunks, F.col("id"), "m", echo_client)
     got = rows.collect()
     assert len(got) == 30 and {r.status for r in got} == {"ok"}
     assert all(r.output == f"{r.instruction} {r.input}"[:200].strip() or len(r.output.split()) == 20 for r in got)
