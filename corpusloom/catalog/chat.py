@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
-from corpusloom.catalog.base import INSTRUCTION_ROWS, MODEL, docs, instruction_rows, sql_text, sql_words, turns
+from corpusloom.catalog.base import INSTRUCTION_ROWS, MODEL, SYSTEM_TEXT, docs, instruction_rows, sql_text, sql_words, turns
 from corpusloom.functions.payloads import (
     all_choices, chat_payload, completion_payload, first_chat_choice, first_text_choice, message, serving_payload,
 )
-from corpusloom.functions.prompts import SYSTEM_TEXT, test_prompt
+from corpusloom.functions.prompts import test_prompt
 from corpusloom.operators.conversation import request_messages, successful, with_context_size, with_first_system, with_history
 from corpusloom.operators.generation import status_column
 from corpusloom.sources.documents import table
@@ -27,6 +27,17 @@ def chat_history(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.size("history").alias("n_messages"), F.to_json("history").alias("history"))
 
 
+#: Turns as sparse numbers that begin below zero.
+SPARSE = "(turn * 1000003 - 3000000)"
+
+
+@query("chat_history_sparse", f"WITH {_HISTORY} SELECT conv_id, {SPARSE} AS turn, len(history)::INT AS n_messages, "
+                              "to_json(history)::VARCHAR AS history FROM hist")
+def chat_history_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = with_history(turns(spark, sf).withColumn("turn", F.expr(SPARSE)))
+    return rows.select("conv_id", "turn", F.size("history").alias("n_messages"), F.to_json("history").alias("history"))
+
+
 # Exchanges of an assistant turn longer than 1,000 characters count as failed here.
 @query("chat_history_failed", "WITH kept AS (SELECT * FROM conversations WHERE NOT (role = 'assistant' AND len(text) > 1000)), "
        "hist AS (SELECT conv_id, turn, coalesce(list({'role': role, 'content': text}) OVER (PARTITION BY conv_id ORDER BY turn "
@@ -42,9 +53,14 @@ def chat_history_failed(spark: SparkSession, sf: str) -> DataFrame:
 _TAIL = "'frequency_penalty': 0.0::DOUBLE, 'presence_penalty': 0.0::DOUBLE, 'stop': ['[/INST]', '</s>'], 'repetition_penalty': 1, 'top_k': 50"
 
 
-@query("chat_payload_json", f"WITH {_HISTORY} SELECT conv_id, turn, to_json({{'model': '{MODEL}', 'messages': "
-                            "list_append(history, {'role': 'user', 'content': text}), 'temperature': 0.7::DOUBLE, 'max_tokens': 1000, "
-                            f"'top_p': 0.7::DOUBLE, {_TAIL}}})::VARCHAR AS payload FROM hist WHERE role = 'user'")
+#: Request body of a user turn, from its history.
+SQL_REQUEST = (
+    f"to_json({{'model': '{MODEL}', 'messages': list_append(history, {{'role': 'user', 'content': text}}), "
+    f"'temperature': 0.7::DOUBLE, 'max_tokens': 1000, 'top_p': 0.7::DOUBLE, {_TAIL}}})::VARCHAR"
+)
+
+
+@query("chat_payload_json", f"WITH {_HISTORY} SELECT conv_id, turn, {SQL_REQUEST} AS payload FROM hist WHERE role = 'user'")
 def chat_payload_json(spark: SparkSession, sf: str) -> DataFrame:
     users = with_history(turns(spark, sf)).where("role = 'user'")
     body = chat_payload(request_messages(F.col("history"), F.col("text")), F.lit(MODEL))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.payloads import message
 from corpusloom.functions.text import words
+from corpusloom.plans.ranking import with_rank
 
 SEGMENT = 64
 
@@ -21,17 +22,19 @@ def successful(turns: DataFrame, status: str = "status") -> DataFrame:
 
 
 def with_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", segment: int = SEGMENT) -> DataFrame:
-    """Add ``history``: all earlier messages of the conversation, in turn order."""
-    rows = turns.withColumn("_seg", F.floor(F.col(turn) / segment))
+    """Add ``history``: all earlier messages of the conversation, in turn order.
+
+    A turn is a number that is unique in its conversation; only its order counts, so gaps, negative numbers and time stamps do.
+    """
+    ranks = with_rank(turns.select(conv, turn), [turn], [conv], "_rank")
+    rows = turns.join(ranks, [conv, turn]).withColumn("_seg", F.floor((F.col("_rank") - 1) / segment)).drop("_rank")
     inside = Window.partitionBy(conv, "_seg").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.collect_list(message(F.col("role"), F.col("text"))).over(inside))
+    near = rows.withColumn("_near", F.collect_list(message(F.col("role"), F.col("text"))).over(inside))
 
     # Whole earlier segments are only collected where a conversation has several.
     last = rows.groupBy(conv).agg(F.max("_seg").alias("_last")).where("_last > 0")
-    early = last.select(conv, "_last", F.explode(F.sequence(F.lit(0), F.col("_last") - 1)).alias("_seg"))
     blocks = (
-        turns.withColumn("_seg", F.floor(F.col(turn) / segment))
-        .join(early, [conv, "_seg"])
+        rows.join(last, conv).where("_seg < _last")
         .groupBy(conv, "_seg", "_last")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), message(F.col("role"), F.col("text")).alias("m")))).alias("b"))
     )
@@ -42,11 +45,11 @@ def with_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", se
     far = copies.groupBy(conv, "_seg").agg(F.array_sort(F.collect_list(F.struct("_from", "m"))).alias("f"))
     far = far.select(conv, "_seg", F.flatten(F.col("f.m")).alias("_far"))
 
-    joined = rows.join(far, [conv, "_seg"], "left")
+    joined = near.join(far, [conv, "_seg"], "left")
     none = F.array().cast("array<struct<role:string,content:string>>")
     return joined.withColumn(
         "history", F.concat(F.coalesce("_far", none), F.col("_near"))
-    ).drop("_seg", "_near", "_far")
+    ).select(*turns.columns, "history")
 
 
 def with_context_size(turns: DataFrame, size: Column | None = None, conv: str = "conv_id", turn: str = "turn",

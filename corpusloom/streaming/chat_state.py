@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,34 +22,53 @@ OUTPUT = T.StructType([
     T.StructField("turn", T.LongType()),
     T.StructField("n_messages", T.LongType()),
     T.StructField("context_tokens", T.LongType()),
+    T.StructField("messages", T.StringType()),
+    T.StructField("status", T.StringType()),
 ])
+#: Role of a row that makes its conversation forget what was said before.
+RESET = "reset"
 
 
 def conversation_processor() -> StatefulProcessor:
     """The stateful operator. It is a local class so that it travels by value to every worker."""
 
     class ConversationState(StatefulProcessor):
-        """Appends every message; for a user message reports the request it would send.
+        """Appends every message; for a user message emits the request it sends: all messages so far, as JSON.
 
-        Messages go to a list state one by one. The running totals sit in a value state,
-        so a long history is not read back for every batch.
+        The history is read back only in batches with a user message. A row that comes after a later turn of its
+        conversation is reported as ``late`` and changes nothing.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.history = handle.getListState("history", MESSAGE)
-            self.totals = handle.getValueState("totals", "messages long, tokens long")
+            self.totals = handle.getValueState("totals", "last long, messages long, tokens long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows)).sort_values("turn")
-            messages, tokens = self.totals.get() if self.totals.exists() else (0, 0)
+            batch = pd.concat(list(rows)).sort_values("turn", kind="stable")
+            last, messages, tokens = self.totals.get() if self.totals.exists() else (None, 0, 0)
+            said = None
             out = []
-            for turn, role, text in zip(batch["turn"], batch["role"], batch["text"]):
+            for turn, role, text in zip(batch["turn"].tolist(), batch["role"], batch["text"]):
+                if last is not None and turn <= last:
+                    out.append((key[0], turn, None, None, None, "late"))
+                    continue
+                last = turn
+                if role == RESET:
+                    self.history.clear()
+                    said, messages, tokens = [], 0, 0
+                    continue
                 if role == "user":
-                    out.append((key[0], turn, messages + 1, tokens))
+                    if said is None:
+                        said = [{"role": r, "content": c} for r, c in self.history.get()]
+                    body = json.dumps([*said, {"role": role, "content": text}], ensure_ascii=False, separators=(",", ":"))
+                    out.append((key[0], turn, messages + 1, tokens, body, "ok"))
                 self.history.appendValue((role, text))
+                if said is not None:
+                    said.append({"role": role, "content": text})
                 messages, tokens = messages + 1, tokens + len(text.split())
-            self.totals.update((messages, tokens))
-            yield pd.DataFrame(out, columns=OUTPUT.names)
+            self.totals.update((last, messages, tokens))
+            frame = pd.DataFrame(out, columns=OUTPUT.names)
+            yield frame.astype({"n_messages": "Int64", "context_tokens": "Int64"})
 
         def close(self) -> None:
             pass
@@ -57,7 +77,7 @@ def conversation_processor() -> StatefulProcessor:
 
 
 def replay(turns: DataFrame) -> DataFrame:
-    """Streaming frame of turns to the size of each user request."""
+    """Streaming frame of turns to the request of each user turn."""
     return turns.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=conversation_processor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
