@@ -66,7 +66,8 @@ def tok_encode(spark: SparkSession, sf: str) -> DataFrame:
 def tok_pad_batch(spark: SparkSession, sf: str) -> DataFrame:
     rows = doc_tokens(spark, sf)
     # The ids feed the batch order and the padding; they are written once.
-    coded = materialize(encode(rows, "doc_id", "tokens", vocabulary(rows, "tokens"), append_end=True), "ids")
+    coded = encode(rows, "doc_id", "tokens", vocabulary(rows, "tokens"), append_end=True)
+    coded = materialize(coded.select("doc_id", "input_ids"), "ids")
     batches = length_batches(coded.select("doc_id", F.size("input_ids").alias("n_tokens")), "doc_id", "n_tokens")
     padded = pad_batches(coded.join(batches.select("doc_id", "batch"), "doc_id"))
     return padded.select(
@@ -86,8 +87,7 @@ def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = prompt_rows(spark, sf)
     vocab = vocabulary(rows, "tokens")
     coded = encode(rows, "doc_id", "tokens", vocab)
-    joined = rows.select("doc_id", "prompt").join(coded, "doc_id")
-    return joined.withColumn("labels", completion_labels(F.col("prompt"), F.col("input_ids"))), vocab
+    return coded.withColumn("labels", completion_labels(F.col("prompt"), F.col("input_ids"))), vocab
 
 
 @query("tok_labels", f"WITH {_PROMPT_TOKENS}, {_VOCAB}, {_CODED}, {_LABELS} SELECT doc_id, "
@@ -113,7 +113,8 @@ def tok_label_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("tok_decode", f"WITH {INSTRUCTION_ROWS} SELECT doc_id, array_to_string({sql_words('output')}, ' ') AS text FROM rows")
 def tok_decode(spark: SparkSession, sf: str) -> DataFrame:
     rows, vocab = labelled(spark, sf)
-    return decode(rows, "doc_id", "labels", vocab)
+    # The labels are read twice (rare ids, then rows).
+    return decode(materialize(rows.select("doc_id", "labels"), "labels"), "doc_id", "labels", vocab).select("doc_id", "text")
 
 
 @query("tok_truncate", f"SELECT doc_id, 'text' AS source_column, 'ok' AS status, len({sql_words('text')}[1:1000])::INT AS n_tokens, "

@@ -44,9 +44,11 @@ def perplexity(train: DataFrame, test: DataFrame, key: str, text: str = "text")
     unigrams = materialize(unigram_counts(train, text), "unigrams")
     bigrams = materialize(bigram_counts(train, text), "bigrams")
     size = unigrams.agg(F.count("*").alias("v")).scalar()
+    # So are the bigrams of the texts: two lookups read them.
     seen = test.select(key, F.explode(_bigrams(model_tokens(F.col(text)))).alias("g")).groupBy(
         key, F.col("g.a").alias("a"), F.col("g.b").alias("b")
     ).agg(F.count("*").alias("k"))
+    seen = materialize(seen, "seen")
     pairs = lookup(seen, bigrams, ["a", "b"], "c_ab").groupBy(key).agg(
         F.sum("k").cast("long").alias("n_bigrams"),
         F.sum(F.col("k") * F.ln(F.coalesce("c_ab", F.lit(0)) + 1)).alias("_up"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.arrays import elements
 from corpusloom.functions.text import BOS, EOS, INST_CLOSE, words
 from corpusloom.plans.ranking import with_rank
-from corpusloom.plans.skew import lookup
+from corpusloom.session import materialize
 
 # Special ids and the label of positions that do not count.
 UNK_ID, BOS_ID, EOS_ID = 0, 1, 2
@@ -21,8 +21,8 @@ IGNORE = -100
 MAX_GENERATED = 1000
 SPECIALS = (BOS, EOS)
 
-#: Largest vocabulary that is sent to every task.
-MAP_SIDE_ROWS = 500_000
+#: Bound on the vocabulary entries that are sent to every task: those that make up at least one part in so many of all tokens.
+HEAD_ROWS = 20_000
 _MARKERS = r"(<s>|</s>|\[INST\]|\[/INST\])"
 
 
@@ -32,70 +32,61 @@ def prompt_tokens(prompt: Column) -> Column:
 
 
 def vocabulary(rows: DataFrame, tokens: str) -> DataFrame:
-    """``(token, n, token_id)``: ids from 3 by falling count, then by token."""
+    """``(token, n, token_id)``: ids from 3 by falling count, then by token; a written table, as it is read several times."""
     counts = rows.select(F.explode(elements(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     counts = counts.where(~F.col("token").isin(*SPECIALS))
     ranked = with_rank(counts, [F.col("n").desc(), "token"])
-    return ranked.select("token", "n", (F.col("rank") + (FIRST_ID - 1)).cast("int").alias("token_id"))
+    return materialize(ranked.select("token", "n", (F.col("rank") + (FIRST_ID - 1)).cast("int").alias("token_id")), "vocabulary")
 
 
-def special_id(token: Column) -> Column:
-    return F.when(token == BOS, F.lit(BOS_ID)).when(token == EOS, F.lit(EOS_ID))
+def _with_tail(rows: DataFrame, key: str, values: str, vocab: DataFrame, source: str, target: str,
+               fixed: dict) -> tuple[DataFrame, object]:
+    """Rows with ``_from`` and ``_to``, what their own rare values map to, and the broadcast map of the common ones.
 
-
-def fits_map_side(vocab: DataFrame, bound: int) -> bool:
-    """Whether a vocabulary has at most ``bound`` rows."""
-    return vocab.count() <= bound
+    The common entries are few by definition, however large the vocabulary. Each row's distinct rare values are joined with the
+    vocabulary and come back as one small array per key, so no key is hot and no occurrence becomes a row of its own.
+    """
+    total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    head = vocab.where(F.col("n") * HEAD_ROWS >= total).select(source, target)
+    found = head.toArrow()
+    common = {**dict(zip(found[source].to_pylist(), found[target].to_pylist(), strict=True)), **fixed}
+    distinct = rows.select(F.col(key).alias("_key"), F.explode(F.array_distinct(elements(values))).alias(source))
+    rare = distinct.where(~F.col(source).isin(*fixed)) if fixed else distinct
+    # The head is bounded by its definition, so broadcasting it is.
+    rare = rare.join(F.broadcast(head.select(source)), source, "left_anti")
+    known = rare.join(vocab.select(source, target), source).groupBy("_key").agg(
+        F.collect_list(F.struct(F.col(source).alias("f"), F.col(target).alias("t"))).alias("_known")
+    )
+    joined = rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left")
+    mapped = joined.select(*rows.columns, F.col("_known.f").alias("_from"), F.col("_known.t").alias("_to"))
+    return mapped, rows.sparkSession.sparkContext.broadcast(common)
 
 
-def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end: bool = False,
-           map_side_rows: int = MAP_SIDE_ROWS) -> DataFrame:
-    """``(key, input_ids)`` of rows with a token array; unknown tokens become 0.
+def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end: bool = False) -> DataFrame:
+    """Add ``input_ids`` for a token array; unknown tokens become 0, a null array stays null, other columns stay.
 
-    A vocabulary of checked size is sent to the tasks and nothing shuffles. A larger
-    one is joined: frequent tokens on the map side, the long tail by a shuffle.
+    ``key`` tells rows apart; rows that repeat one share their tokens' ids, each by its own array.
     """
-    if fits_map_side(vocab, map_side_rows):
-        out = _encode_map_side(rows, key, tokens, vocab)
-    else:
-        out = _encode_joined(rows, key, tokens, vocab)
-    if append_end:
-        out = out.withColumn("input_ids", F.concat("input_ids", F.array(F.lit(EOS_ID))))
-    return out
-
-
-def _encode_map_side(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    found = vocab.select("token", "token_id").toArrow()
-    ids = dict(zip(found["token"].to_pylist(), found["token_id"].to_pylist()))
-    ids.update({BOS: BOS_ID, EOS: EOS_ID})
-    shared = rows.sparkSession.sparkContext.broadcast(ids)
+    mapped, shared = _with_tail(rows, key, tokens, vocab, "token", "token_id", {BOS: BOS_ID, EOS: EOS_ID})
 
     @F.pandas_udf("array<int>")
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
+    def code(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        common = shared.value
 
-        def coded(found: list[str]) -> np.ndarray:
-            return np.fromiter((known.get(w, UNK_ID) for w in found), np.int32, len(found))
+        def ids(words, rare, codes):
+            if words is None:
+                return None
+            own = {} if rare is None else dict(zip(rare.tolist(), codes.tolist(), strict=True))
+            return np.fromiter((common[w] if w in common else own.get(w, UNK_ID) for w in words.tolist()), np.int32, len(words))
 
-        for texts in batches:
-            yield texts.map(lambda t: coded(t.split(" ") if t else []))
+        for words, rare, codes in parts:
+            yield pd.Series([ids(*row) for row in zip(words, rare, codes, strict=True)], dtype=object)
 
     # Declared non-deterministic so that the optimizer never copies the call.
-    joined = rows.select(key, F.array_join(tokens, " ").alias("_t"))
-    return joined.select(key, code.asNondeterministic()("_t").alias("input_ids"))
-
-
-def _encode_joined(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    occurrences = rows.select(key, F.posexplode(elements(tokens)).alias("_pos", "token"))
-    coded = lookup(occurrences, vocab.select("token", "n", "token_id"), ["token"], "n")
-    numbered = coded.select(
-        key, "_pos", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK_ID)).alias("_id")
-    )
-    collected = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
-    found = collected.select(key, F.col("_p._id").alias("input_ids"))
-    # Rows without any token have no occurrence; they keep an empty array.
-    empty = rows.where(F.size(tokens) == 0).select(key, F.array().cast("array<int>").alias("input_ids"))
-    return found.unionByName(empty)
+    out = mapped.withColumn("input_ids", code.asNondeterministic()(F.col(tokens), F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    if append_end:
+        out = out.withColumn("input_ids", F.concat("input_ids", F.array(F.lit(EOS_ID))))
+    return out
 
 
 def pad_batches(rows: DataFrame, batch: str = "batch", ids: str = "input_ids") -> DataFrame:
@@ -131,35 +122,25 @@ def trained_share(labels: Column) -> Column:
     return F.when(F.size(labels) > 0, kept / F.size(labels)).otherwise(F.lit(0.0))
 
 
-def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame, map_side_rows: int = MAP_SIDE_ROWS) -> DataFrame:
-    """``(key, text)``: -100 and special ids are skipped, other ids become words."""
-    if fits_map_side(vocab, map_side_rows):
-        return _decode_map_side(rows, key, labels, vocab)
-    return _decode_joined(rows, key, labels, vocab)
+def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
+    """Add ``text``: -100, special and unknown ids are skipped, other ids become words; a null array stays null."""
+    mapped, shared = _with_tail(rows, key, labels, vocab, "token_id", "token", {})
+
+    @F.pandas_udf("string")
+    def name(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        common = shared.value
 
+        def text(ids, rare, words):
+            if ids is None:
+                return None
+            own = {} if rare is None else dict(zip(rare.tolist(), words.tolist(), strict=True))
+            found = (common.get(i) or own.get(i) for i in ids.tolist() if i >= FIRST_ID)
+            return " ".join(word for word in found if word is not None)
 
-def _decode_map_side(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
-    found = vocab.select("token_id", "token").toArrow()
-    names = dict(zip(found["token_id"].to_pylist(), found["token"].to_pylist()))
-    shared = rows.sparkSession.sparkContext.broadcast(names)
+        for ids, rare, words in parts:
+            yield pd.Series([text(*row) for row in zip(ids, rare, words, strict=True)], dtype=object)
 
-    @F.pandas_udf("string")
-    def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        for arrays in batches:
-            yield arrays.map(lambda ids: " ".join(known[i] for i in ids if i in known))
-
-    kept = rows.select(key, F.col(labels).alias("_ids"), F.size(labels).alias("_n"))
-    return kept.select(key, name.asNondeterministic()("_ids").alias("text"))
-
-
-def _decode_joined(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
-    wanted = rows.select(key, F.posexplode(elements(labels)).alias("pos", "token_id")).where(F.col("token_id") >= FIRST_ID)
-    named = lookup(wanted, vocab.select("token_id", "token", "n"), ["token_id"], "n")
-    named = named.where(F.col("token").isNotNull())
-    texts = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p"))
-    texts = texts.select(key, F.array_join(F.col("p.token"), " ").alias("text"))
-    return rows.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    return mapped.withColumn("text", name.asNondeterministic()(F.col(labels), F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 
 def truncate(text: Column, longest: int = MAX_GENERATED) -> Column:

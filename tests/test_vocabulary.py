@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.vocabulary import (
@@ -15,16 +16,34 @@ def test_ids_by_count_then_token(spark):
     assert [(r.token, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("c", 3), ("b", 4), ("a", 5)]
 
 
-def test_both_encoders_agree(spark):
-    data = rows(spark, ["b a b c <s>", "", "z z a", "c </s>"])
+@pytest.fixture(params=[20_000, 3, 1])
+def head(request, monkeypatch):
+    """From all of a small vocabulary on the map side to hardly any."""
+    monkeypatch.setattr("corpusloom.operators.vocabulary.HEAD_ROWS", request.param)
+
+
+def test_encoding_is_the_same_for_any_head(spark, head):
+    data = rows(spark, ["b a b c <s>", "", "z z a", "c </s>"]).withColumn("other", F.lit(7))
     vocab = vocabulary(rows(spark, ["b a b c", "c c"]), "tokens")
-    for bound in (100, 0):
-        coded = {r.id: r.input_ids for r in encode(data, "id", "tokens", vocab, map_side_rows=bound).collect()}
-        assert coded == {0: [4, 5, 4, 3, 1], 1: [], 2: [0, 0, 5], 3: [3, 2]}
+    got = encode(data, "id", "tokens", vocab)
+    assert got.columns == [*data.columns, "input_ids"]
+    assert {r.id: r.input_ids for r in got.collect()} == {0: [4, 5, 4, 3, 1], 1: [], 2: [0, 0, 5], 3: [3, 2]}
     ended = encode(data, "id", "tokens", vocab, append_end=True).where("id = 1").first()
     assert ended.input_ids == [2]
 
 
+def test_nulls_repeated_keys_and_tokens_with_spaces(spark, head):
+    schema = "id int, tokens array<string>"
+    vocab = vocabulary(spark.createDataFrame([(0, ["a b", "a b", "c", "c", "c", "d"])], schema), "tokens")
+    data = spark.createDataFrame([(1, ["a b", "d"]), (1, ["c", "x"]), (None, ["d"]), (2, None), (3, ["a", "b"])], schema)
+    coded = encode(data, "id", "tokens", vocab)
+    want = [(1, [4, 5]), (1, [3, 0]), (None, [5]), (2, None), (3, [0, 0])]
+    assert sorted(((r.id, r.input_ids) for r in coded.collect()), key=str) == sorted(want, key=str)
+    texts = decode(coded.select("id", F.col("input_ids").alias("labels")), "id", "labels", vocab)
+    assert sorted(((r.id, r.text) for r in texts.collect()), key=str) == sorted(
+        [(1, "a b d"), (1, "c"), (None, "d"), (2, None), (3, "")], key=str)
+
+
 def test_padding(spark):
     frame = spark.createDataFrame([(0, 0, [3, 4, 2]), (1, 0, [3, 2]), (2, 1, [2])], "id int, batch int, input_ids array<int>")
     padded = {r.id: r.padded_ids for r in pad_batches(frame).collect()}
@@ -54,11 +73,10 @@ def test_labels_without_marker(spark):
     assert labels_of(spark, "[/INST] [INST] q")[0] == []
 
 
-def test_decode_skips_specials(spark):
+def test_decode_skips_specials(spark, head):
     vocab = vocabulary(rows(spark, ["b a b c", "c c"]), "tokens")
     frame = spark.createDataFrame([(0, [IGNORE, 3, 0, 5, 2]), (1, [IGNORE])], "id int, labels array<int>")
-    for bound in (100, 0):
-        assert {r.id: r.text for r in decode(frame, "id", "labels", vocab, bound).collect()} == {0: "c a", 1: ""}
+    assert {r.id: r.text for r in decode(frame, "id", "labels", vocab).collect()} == {0: "c a", 1: ""}
 
 
 def test_share_and_truncate(spark):
