@@ -15,6 +15,7 @@ from corpusloom.operators.evaluation import (
 from corpusloom.operators.language_model import perplexity
 from corpusloom.operators.sampling import with_split
 from corpusloom.plans.model_eval import metric_suites
+from corpusloom.plans.ranking import with_rank
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sources.documents import table
 
@@ -151,13 +152,44 @@ def met_rouge_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return rouge12(spark, sf).groupBy("n").agg(F.count("*").alias("n_pairs"), F.round(F.avg("f"), 6).alias("f"))
 
 
-# LCS in SQL is quadratic per pair on whole texts; checked by brute force in the tests.
-@query("met_rougeL")
+def line_pairs(rows: DataFrame) -> DataFrame:
+    """Every text as reference; the prediction misses each seventh word of every line."""
+    kept = F.transform(F.split("text", "\n"), lambda line: F.array_join(F.filter(words(line), lambda w, i: i % 7 != 3), " "))
+    return rows.select("doc_id", F.array_join(kept, "\n").alias("generated_text"), F.col("text").alias("reference_text"))
+
+
+# A prediction that misses words is a subsequence of its reference: its LCS is the prediction itself, as a whole and line by line.
+@query("met_rougeL", "WITH cut AS (SELECT doc_id, text, array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string("
+                     f"list_filter({sql_words('l')}, lambda w, i: (i - 1) % 7 <> 3), ' ')), chr(10)) AS kept FROM documents), "
+                     f"n AS (SELECT doc_id, len({_sql_rouge('kept')}) AS p, len({_sql_rouge('text')}) AS r FROM cut) SELECT doc_id, "
+                     "round(CASE WHEN p = 0 THEN 0.0 ELSE 2 * p / (p + r) END, 9) AS rouge_l, "
+                     "round(CASE WHEN p = 0 THEN 0.0 ELSE 2 * p / (p + r) END, 9) AS rouge_lsum FROM n")
 def met_rouge_l(spark: SparkSession, sf: str) -> DataFrame:
-    rows = text_pairs(spark, sf)
+    rows = line_pairs(docs(spark, sf))
     return rounded(rouge_l(rows, "doc_id", F.col("generated_text"), F.col("reference_text")))
 
 
+# The table of the LCS, a row at a time: each cell is the running maximum of the cell above and, on equal words, one more than the
+# cell before that.
+@query("met_rougeL_pairs", "WITH RECURSIVE items AS (SELECT item_id, text, coalesce(lead(text) OVER (ORDER BY item_id), first_value(text) OVER "
+                           f"(ORDER BY item_id)) AS other FROM benchmark), toks AS (SELECT item_id, {_sql_rouge('text')} AS r, "
+                           f"{_sql_rouge('other')} AS p FROM items), dp AS (SELECT item_id, 0 AS i, list_transform(p, lambda w: 0) AS cells FROM toks "
+                           "UNION ALL SELECT item_id, i, list_transform(range(1, len(up) + 1), lambda j: list_max(up[1:j])) FROM (SELECT d.item_id, "
+                           "d.i + 1 AS i, list_transform(t.p, lambda w, j: greatest(d.cells[j], CASE WHEN w = t.r[d.i + 1] THEN 1 + "
+                           "CASE WHEN j > 1 THEN d.cells[j - 1] ELSE 0 END ELSE 0 END)) AS up FROM dp d JOIN toks t USING (item_id) WHERE d.i < len(t.r))) "
+                           "SELECT t.item_id, round(2 * d.cells[-1] / (len(t.p) + len(t.r)), 9) AS rouge_l, "
+                           "round(2 * d.cells[-1] / (len(t.p) + len(t.r)), 9) AS rouge_lsum FROM toks t JOIN dp d ON d.item_id = t.item_id AND d.i = len(t.r)")
+def met_rouge_l_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole benchmark texts, as one line each, against the next item's."""
+    items = table(spark, sf, "benchmark").select("item_id", F.translate("text", "\n", " ").alias("text"))
+    ranked = with_rank(items.select("item_id"), ["item_id"])
+    numbered = materialize(items.join(ranked, "item_id"), "items")
+    n = numbered.count()
+    others = numbered.select((F.col("rank") % n + 1).alias("next"), F.col("text").alias("reference_text"), "item_id")
+    pairs = others.join(numbered.select(F.col("rank").alias("next"), F.col("text").alias("generated_text")), "next")
+    return rounded(rouge_l(pairs, "item_id", F.col("generated_text"), F.col("reference_text")))
+
+
 _PERPLEXITY = (
     "ranked AS (SELECT *, row_number() OVER (ORDER BY md5('3:' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents), "
     f"toks AS (SELECT doc_id, r <= ceil(round(n * 0.05, 9)) AS test, {sql_words('lower(text)')} AS t FROM ranked), "

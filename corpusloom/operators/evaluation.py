@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -209,46 +210,53 @@ def rouge_n(stats: DataFrame, key: str) -> DataFrame:
     return stats.select(key, "n", F.coalesce(2 * F.col("matches") / both, F.lit(0.0)).alias("f"))
 
 
-def _lcs_rows(ref: list[str], can: list[str]) -> list[int]:
-    """Bit-vector LCS: after each candidate token, a zero bit marks a step in the reference."""
+def _token_bits(ref: list[str]) -> dict[str, int]:
     places: dict[str, int] = {}
     for i, token in enumerate(ref):
         places[token] = places.get(token, 0) | (1 << i)
-    full = (1 << len(ref)) - 1
-    v, rows = full, [full]
+    return places
+
+
+def _lcs_steps(v: int, can: list[str], places: dict[str, int], full: int) -> Iterator[int]:
+    """Bit-vector LCS: after each candidate token, a zero bit marks a step in the reference."""
     for token in can:
         u = v & places.get(token, 0)
         if u:
             v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    return rows
+        yield v
 
 
 def lcs_length(ref: list[str], can: list[str]) -> int:
-    places: dict[str, int] = {}
-    for i, token in enumerate(ref):
-        places[token] = places.get(token, 0) | (1 << i)
-    full = (1 << len(ref)) - 1
-    v = full
-    for token in can:
-        u = v & places.get(token, 0)
-        if u:
-            v = ((v + u) | (v - u)) & full
+    v = full = (1 << len(ref)) - 1
+    for v in _lcs_steps(full, can, _token_bits(ref), full):
+        pass
     return len(ref) - v.bit_count()
 
 
 def lcs_positions(ref: list[str], can: list[str]) -> set[int]:
-    """Reference positions of one LCS; ties leave the reference token out."""
-    rows = _lcs_rows(ref, can)
+    """Reference positions of one LCS; ties leave the reference token out.
+
+    Only about the square root of the candidate's rows is kept; the rows between are computed again, a stretch at a time, on the way
+    back. So memory grows with length times square root of length, not with the product of both lengths.
+    """
+    places, full = _token_bits(ref), (1 << len(ref)) - 1
+    stretch = math.isqrt(len(can)) + 1
+    marks = [full]
+    for done, v in enumerate(_lcs_steps(full, can, places, full), 1):
+        if done % stretch == 0:
+            marks.append(v)
     i, j, found = len(ref), len(can), set()
     while i and j:
-        if ref[i - 1] == can[j - 1]:
-            found.add(i - 1)
-            i, j = i - 1, j - 1
-        elif rows[j] >> (i - 1) & 1:
-            i -= 1
-        else:
-            j -= 1
+        first = (j - 1) // stretch * stretch
+        rows = [marks[first // stretch], *_lcs_steps(marks[first // stretch], can[first:j], places, full)]
+        while i and j > first:
+            if ref[i - 1] == can[j - 1]:
+                found.add(i - 1)
+                i, j = i - 1, j - 1
+            elif rows[j - first] >> (i - 1) & 1:
+                i -= 1
+            else:
+                j -= 1
     return found
 
 
