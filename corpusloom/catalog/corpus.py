@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,8 @@ from corpusloom.session import scratch_path
 from corpusloom.sources import documents as src
 from corpusloom.sources.jsonl import parsed, read_jsonl, write_jsonl
 from corpusloom.sources.ledger import SCHEMA, append_ledger, merge, read_ledger, unprocessed
-from corpusloom.sources.listing import folder_inventory, list_prefix
+from corpusloom.sources.documents import read_text_files
+from corpusloom.sources.listing import folder_inventory, list_files, list_prefix
 from corpusloom.sources.shards import read_dataset, read_shard, split_encodable, write_shards
 
 # String prefixes that together cover every folder, in argument order.
@@ -327,3 +328,31 @@ def ckpt_empty_files(spark: SparkSession, sf: str) -> DataFrame:
     """Blank files are finished once; the second limited run gets to new files."""
     _, ledger = two_runs(spark, sf, blanked, 12)
     return read_ledger(spark, ledger).select("path", "status")
+
+
+_ALL_FILES = (
+    f"{DOCS}, {WINDOW_UNITS}, {SEMANTIC}, sizes AS (SELECT d.doc_id, d.file_name AS path, d.folder, d.folder_ord, count(*) AS n, "
+    "sum(strlen(c.chunk))::BIGINT AS bytes FROM chunks c JOIN docs d USING (doc_id) GROUP BY ALL), " + _sql_run(1, "true")
+)
+
+
+@query("src_files_build", f"WITH RECURSIVE {_ALL_FILES} SELECT s.doc_id, r.shard::INT AS shard, s.n AS chunks, s.bytes "
+                          "FROM run1 r JOIN sizes s USING (path)")
+def src_files_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as one text file each, then listed, read and built."""
+    root, out, ledger = (scratch_path(spark, name) for name in ("files", "corpus", "ledger"))
+    rows = docs(spark, sf).select("folder", "doc_id", "text")
+    rows.write.partitionBy("folder", "doc_id").text(root)
+    names = [r["folder"] for r in folder_inventory(manifest(spark, sf).select("folder", "bytes")).select("folder").collect()]
+    folders = sorted(names, key=lambda name: int(name.removeprefix("src")))
+
+    def folder_of(path: Column) -> Column:
+        return F.regexp_extract(path, "/folder=([^/]*)/", 1)
+
+    files = list_files(spark, root, folders, "*.txt", folder_of)
+    texts = read_text_files(spark, root, folders, "*.txt", folder_of)
+    build_corpus(spark, files, texts, out, ledger, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
+    number = F.regexp_extract("file_name", "/doc_id=([0-9]+)/", 1).cast("long")
+    return read_dataset(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
+        F.count("*").alias("chunks"), F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes")
+    )

@@ -51,14 +51,16 @@ def bag_words(text: Column) -> Column:
 
 
 def word_counts(contexts: DataFrame) -> DataFrame:
-    """Default encoder: ``(doc_id, pos, word, n)``.
-
-    Documents are spread once by id, before the words exist; every later grouping
-    by document stays in its partition.
-    """
-    spread = contexts.repartition("doc_id")
-    exploded = spread.select("doc_id", "pos", F.explode(bag_words(F.col("context"))).alias("word"))
-    return exploded.groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n"))
+    """Default encoder: ``(doc_id, pos, word, n)``, counted in the row that holds the context, so nothing moves."""
+    @F.pandas_udf("array<struct<word: string, n: bigint>>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([list(Counter(t.split(" ")).items()) if t else [] for t in texts], dtype=object)
+
+    # Words are found by Spark and cross as one string: they hold no blanks. Non-deterministic, so that the call is not repeated.
+    found = F.array_join(bag_words(F.col("context")), " ")
+    counted = contexts.select("doc_id", "pos", count.asNondeterministic()(found).alias("c"))
+    return counted.select("doc_id", "pos", F.explode(elements("c")).alias("c")).select("doc_id", "pos", "c.word", "c.n")
 
 
 def distances(counts: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import elements
+from corpusloom.sources.listing import folder_order, parent_folder
+
 
+def read_text_files(spark: SparkSession, root: str, folders: Sequence[str] = (), pattern: str = "*",
+                    folder_of: Callable[[Column], Column] = parent_folder) -> DataFrame:
+    """One row per file: ``(doc_id, file_name, folder, folder_ord, text)``, ready for the corpus build.
 
-def read_text_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """One row per file: ``(file_name, folder, text)``."""
+    ``file_name`` is the whole path, as listings have it; ``doc_id`` is a hash of it. A text may end in the line break that its
+    file ends in.
+    """
     files = (
         spark.read
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("text"))
     )
+    folder = folder_of(F.col("file_name"))
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.element_at(F.split("path", "/"), -2).alias("folder"),
-        "text",
+        F.xxhash64("file_name").alias("doc_id"), "file_name", folder.alias("folder"),
+        folder_order(folder, folders).alias("folder_ord"), "text",
     )
 
 

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``(path, folder, bytes)`` of every file under ``root``; contents are not read."""
+def parent_folder(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def folder_order(folder: Column, folders: Sequence[str]) -> Column:
+    """Place of a folder in the argument list; folders that are not named come last."""
+    if not folders:
+        return F.lit(0)
+    place = F.array_position(F.array(*map(F.lit, folders)), folder).cast("int")
+    return F.when(place > 0, place - 1).otherwise(len(folders))
+
+
+def list_files(spark: SparkSession, root: str, folders: Sequence[str] = (), pattern: str = "*",
+               folder_of: Callable[[Column], Column] = parent_folder) -> DataFrame:
+    """``(path, folder, folder_ord, bytes)`` of every file under ``root``; contents are not read.
+
+    The whole path is a file's identity, as in :func:`corpusloom.sources.documents.read_text_files`.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(root)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
     )
-    return files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -2).alias("folder"),
-        F.col("length").alias("bytes"),
-    )
+    folder = folder_of(F.col("path"))
+    return files.select("path", folder.alias("folder"), folder_order(folder, folders).alias("folder_ord"), "bytes")
 
 
 def folder_position(path: Column, prefix: str, folders: Sequence[str]) -> Column:

@@ -20,7 +20,7 @@ def papers(tmp_path_factory):
 
 
 def test_listing_reads_names_and_sizes(spark, papers):
-    files = {r.path.split("/pdf/")[1]: (r.folder, r.bytes) for r in list_files(spark, papers, "*.txt").collect()}
+    files = {r.path.split("/pdf/")[1]: (r.folder, r.bytes) for r in list_files(spark, papers, pattern="*.txt").collect()}
     assert files == {"2403/a.txt": ("2403", 7), "2403/b.txt": ("2403", 2), "24031/c.txt": ("24031", 1), "2402/d.txt": ("2402", 1)}
 
 
@@ -31,8 +31,12 @@ def test_prefix_is_a_string_prefix(spark):
 
 
 def test_whole_text_files(spark, papers):
-    rows = {r.file_name: (r.folder, r.text) for r in read_text_files(spark, papers, "*.txt").collect()}
-    assert rows["a.txt"] == ("2403", "one\ntwo") and len(rows) == 4
+    rows = read_text_files(spark, papers, ["2403", "2402"], "*.txt").collect()
+    found = {r.file_name.split("/pdf/")[1]: (r.folder, r.folder_ord, r.text) for r in rows}
+    assert found["2403/a.txt"] == ("2403", 0, "one\ntwo") and len({r.doc_id for r in rows}) == 4
+    assert found["2402/d.txt"][1] == 1 and found["24031/c.txt"][1] == 2
+    listed = {(r.path, r.folder, r.folder_ord) for r in list_files(spark, papers, ["2403", "2402"], "*.txt").collect()}
+    assert listed == {(r.file_name, r.folder, r.folder_ord) for r in rows}
 
 
 def test_ragged_prompts(spark):
