@@ -6,7 +6,7 @@ of a job gives the same ids. What no piece covers becomes UTF-8 byte pieces. Bla
 mark; a blank mark in the text itself goes through byte pieces, so decoding gives back every text.
 
 No piece of the vocabulary spans a blank mark after another character or a line break, so segments between them are encoded on
-their own; each occurrence of a segment has one of ``VARIANTS`` variants, and the task remembers what it has encoded.
+their own; each line of a text has one of ``VARIANTS`` variants, and the task remembers what it has encoded.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ _MASK = (1 << 64) - 1
 _NONE = 1 << 30
 #: Characters up to which new segments are merged together; each round of that goes over all of them.
 _TOGETHER = 48
-_KNOWN_SEGMENTS = 400_000
-_SEGMENT = re.compile(f"\n| +[^ \n{_MARK}]*|[^ \n{_MARK}]+|{_MARK}")
+_KNOWN_SEGMENTS = 600_000
+_SEGMENT = re.compile(f" +[^ {_MARK}]*|[^ {_MARK}]+|{_MARK}")
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,7 @@ class Encoder:
         self.limit = int(dropout * (1 << 32))
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
         ids, size = vocabulary.ids, len(vocabulary.content)
+        self.line_break = array("i", [ids.get("\n", vocabulary.byte_ids[10])]).tobytes()
         self.symbol_of = np.full(0x110000, -1, np.int32)
         for piece, code in ids.items():
             if len(piece) == 1:
@@ -92,19 +93,17 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
         known = self.known
-        cut = [self._segments(text) for text in texts]
-        found = [[known[v].get(s) for s, v in zip(parts, which, strict=True)] for parts, which in cut]
-        new = [i for i, ids in enumerate(found) if None in ids]
-        missing = {pair for i in new for pair, ids in zip(zip(*cut[i], strict=True), found[i], strict=True) if ids is None}
-        if missing:
-            if sum(map(len, known)) + len(missing) > _KNOWN_SEGMENTS:
-                for part in known:
-                    part.clear()
-                missing.update(pair for i in new for pair in zip(*cut[i], strict=True))
-            self._learn(list(missing))
-            for i in new:
-                found[i] = [known[v][s] for s, v in zip(*cut[i], strict=True)]
-        return [b"".join(ids) for ids in found]
+        cut = [self._lines(text) for text in texts]
+        missing = [{s for lines in cut for v, parts in lines if v == variant for s in parts} for variant in range(self.variants)]
+        new = [part - known[v].keys() for v, part in enumerate(missing)]
+        if sum(map(len, known)) + sum(map(len, new)) > _KNOWN_SEGMENTS:
+            for part in known:
+                part.clear()
+            new = missing
+        for variant, part in enumerate(new):
+            if part:
+                self._learn(list(part), variant)
+        return [self.line_break.join([b"".join(map(known[v].__getitem__, parts)) for v, parts in lines]) for lines in cut]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -113,31 +112,36 @@ class Encoder:
         content = self.vocabulary.content
         return b"".join([content[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode()[1:]
 
-    def _segments(self, text: str) -> tuple[list[str], list[int]]:
-        """Segments of a text and the variant of each, by keyed hash of the text and the place."""
-        parts = _SEGMENT.findall(" " + text) if text else []
+    def _lines(self, text: str) -> list[tuple[int, list[str]]]:
+        """Variant and segments of each line; the variant by keyed hash of the text and the line's number."""
+        if not text:
+            return []
+        lines = f" {text}".split("\n")
         key = np.uint64(xxhash.xxh3_64_intdigest(text.encode(), seed=self.seed))
-        places = np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return parts, ((scramble(places + key) >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-
-    def _key(self, segment: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(segment.encode(), seed=self.seed + 1 + variant) | 1
-
-    def _learn(self, missing: list[tuple[str, int]]) -> None:
-        joined = "".join([s for s, _ in missing])
-        symbols = self.symbol_of[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-        lengths = np.fromiter((len(s) for s, _ in missing), np.int64, len(missing))
-        odd = np.minimum.reduceat(symbols, np.cumsum(lengths) - lengths) < 0
-        alone = odd | (lengths > _TOGETHER) | np.fromiter((s == _MARK for s, _ in missing), bool, len(missing))
+        places = np.arange(len(lines), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        variants = ((scramble(places + key) >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+        return list(zip(variants, map(_SEGMENT.findall, lines), strict=True))
+
+    def keys(self, codes: np.ndarray, lengths: np.ndarray, variant: int) -> np.ndarray:
+        """Odd keys of segments, from their code points in a row."""
+        begin = np.cumsum(lengths) - lengths
+        place = (np.arange(len(codes)) - np.repeat(begin, lengths)).astype(np.uint64)
+        mixed = scramble(codes.astype(np.uint64) + (place << np.uint64(32)) + np.uint64(self.seed + 1))
+        return scramble(np.add.reduceat(mixed, begin) + np.uint64((variant + 1) * 0xC2B2AE3D27D4EB4F & _MASK)) | np.uint64(1)
+
+    def _learn(self, segments: list[str], variant: int) -> None:
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        lengths = np.array(list(map(len, segments)), np.int64)
+        symbols, begin = self.symbol_of[codes], np.cumsum(lengths) - lengths
+        keys = self.keys(codes, lengths, variant)
+        alone = (np.minimum.reduceat(symbols, begin) < 0) | (lengths > _TOGETHER) | (codes[begin] == ord(_MARK))
+        known = self.known[variant]
         for i in np.flatnonzero(alone).tolist():
-            segment, variant = missing[i]
-            self.known[variant][segment] = array("i", self.merge(segment, self._key(segment, variant))).tobytes()
-        rest = [missing[i] for i in np.flatnonzero(~alone).tolist()]
+            known[segments[i]] = array("i", self.merge(segments[i], int(keys[i]))).tobytes()
+        rest = [segments[i] for i in np.flatnonzero(~alone).tolist()]
         if rest:
-            keys = np.array([self._key(s, v) for s, v in rest], np.uint64)
-            merged = self.merge_together(symbols[~np.repeat(alone, lengths)].astype(np.int64), lengths[~alone], keys)
-            for (segment, variant), ids in zip(rest, merged, strict=True):
-                self.known[variant][segment] = ids
+            symbols = symbols[~np.repeat(alone, lengths)].astype(np.int64)
+            known.update(zip(rest, self.merge_together(symbols, lengths[~alone], keys[~alone]), strict=True))
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair of neighbours (``_NONE`` if they make no piece) and the piece."""

@@ -36,15 +36,17 @@ def test_merging_together_is_merging_alone(vocabulary, awkward_rows):
     encoder.encode_all([row[1] or "" for row in awkward_rows])
     for variant, known in enumerate(encoder.known):
         for segment, ids in known.items():
-            assert array("i", encoder.merge(segment, encoder._key(segment, variant))).tobytes() == ids
+            codes = np.array([ord(c) for c in segment], np.uint32)
+            key = int(encoder.keys(codes, np.array([len(codes)]), variant)[0])
+            assert array("i", encoder.merge(segment, key)).tobytes() == ids
 
 
 def test_seed_and_place_vary_segmentations(vocabulary):
-    text = "international considerations " * 40
+    text = "international considerations\n" * 40
     encoder = Encoder(vocabulary, dropout=0.3)
     ids = encoder.encode(text)
     assert ids == Encoder(vocabulary, dropout=0.3).encode(text) != Encoder(vocabulary, dropout=0.3, seed=9).encode(text)
-    assert len({encoder.known[v][" considerations"] for v in range(encoder.variants)}) > 1
+    assert len({encoder.known[v].get(" considerations") for v in range(encoder.variants)}) > 1
 
 
 def test_forgetting_changes_nothing(vocabulary, awkward_rows, monkeypatch):
