@@ -83,6 +83,17 @@ def shard_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return pack(manifest(spark, sf).select("folder", "path", "bytes"), SHARD_BYTES)
 
 
+#: A shard spans several of these small blocks of the listing.
+LARGE_SHARD_BYTES = 40_000
+SMALL_BLOCK = 5
+
+
+@query("shard_greedy_large_limit", f"WITH RECURSIVE {DOCS}, {sql_pack(FOLDER_FILES, LARGE_SHARD_BYTES)} "
+                                   "SELECT scope AS folder, path, bytes, shard::INT AS shard FROM packed")
+def shard_greedy_large_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(manifest(spark, sf).select("folder", "path", "bytes"), LARGE_SHARD_BYTES, block_rows=SMALL_BLOCK)
+
+
 @query("shard_greedy_global", f"WITH RECURSIVE {DOCS}, " + sql_pack(
     "SELECT '' AS scope, row_number() OVER (ORDER BY folder_ord, file_name) AS rn, file_name AS path, bytes FROM docs", SHARD_BYTES
 ) + " SELECT path, bytes, shard::INT AS shard FROM packed")

@@ -5,9 +5,11 @@ empty and the file would push it over the limit. A folder may hold billions of
 files, so it is cut into blocks in listing order:
 
 1. ``_block_effect``: per block, what it does to *any* incoming fill level. The
-   answer only depends on where the first break falls, and break sequences merge
-   quickly, so a handful of intervals describes a block;
-2. ``_chain_blocks``: per folder, run through the block summaries in order;
+   answer only depends on where the first break falls. Break sequences merge quickly
+   if shards are smaller than blocks, so a handful of intervals describes a block; if
+   a shard is larger than a block, every file may be an interval of its own;
+2. ``_chain``: per folder, stream through the intervals in order. This step is
+   sequential by the rule itself; it holds one block's intervals at a time;
 3. ``_number_block``: per block, number the files from the known starting level.
 
 Only ids and sizes travel; text never does.
@@ -15,6 +17,8 @@ Only ids and sizes travel; text never does.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,6 +29,7 @@ from corpusloom.plans.ranking import sorted_positions
 
 BLOCK_ROWS = 100_000
 _BLOCK = ["_scope", "_part", "_blk"]
+_EFFECT = "_scope string, _part long, _blk long, row long, above long, breaks long, after long"
 
 
 def _breaks(sums: np.ndarray, limit: int) -> np.ndarray:
@@ -76,6 +81,47 @@ def _block_effect(sizes: np.ndarray, limit: int) -> tuple[list[int], list[int],
     return above, breaks, after, zero[0], zero[1], total
 
 
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fill level and shard at the start of each block, over intervals sorted by scope, block and row."""
+    scope, level, shard = None, 0, 0
+    held: list[pd.DataFrame] = []
+
+    def close() -> tuple | None:
+        nonlocal scope, level, shard
+        if not held:
+            return None
+        block = pd.concat(held)
+        head = (block["_scope"].iloc[0], int(block["_part"].iloc[0]), int(block["_blk"].iloc[0]))
+        if head[0] != scope:
+            scope, level, shard = head[0], 0, 0
+        start = (*head, level, shard)
+        above, breaks, after = (block[c].to_numpy() for c in ("above", "breaks", "after"))
+        if level == 0:
+            at = 0
+        else:
+            # The first break moves forward as the level falls: bounds are descending.
+            at = 1 + int(np.searchsorted(-above[1:], -level, side="right"))
+        if at < len(above):
+            shard, level = shard + int(breaks[at]), int(after[at])
+        else:
+            level += int(above[0])
+        held.clear()
+        return start
+
+    for batch in batches:
+        edges = [0, *np.flatnonzero(batch["row"].to_numpy() == 0), len(batch)]
+        rows = []
+        for first, stop in zip(edges, edges[1:]):
+            part = batch.iloc[first:stop]
+            if len(part):
+                if part["row"].iloc[0] == 0:
+                    rows.append(close())
+                held.append(part)
+        yield pd.DataFrame([r for r in rows if r], columns=[*_BLOCK, "_level", "_shard"])
+    last = close()
+    yield pd.DataFrame([last] if last else [], columns=[*_BLOCK, "_level", "_shard"])
+
+
 def _number_block(sizes: np.ndarray, level: int, shard: int, limit: int) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     following = _breaks(sums, limit)
@@ -98,37 +144,16 @@ def pack(files: DataFrame, limit: int, scope: str | None = "folder", order: tupl
         pdf = pdf.sort_values("_at")
         above, breaks, after, zero_breaks, zero_after, total = _block_effect(pdf[size].to_numpy(), limit)
         head = pdf.iloc[0]
-        return pd.DataFrame([{
-            "_scope": head["_scope"], "_part": head["_part"], "_blk": head["_blk"],
-            "above": above, "breaks": breaks, "after": after,
-            "zero_breaks": zero_breaks, "zero_after": zero_after, "total": total,
-        }])
-
-    effects = placed.select(*_BLOCK, "_at", size).groupBy(*_BLOCK).applyInPandas(
-        summarize,
-        "_scope string, _part long, _blk long, above array<long>, breaks array<long>, after array<long>, "
-        "zero_breaks long, zero_after long, total long",
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, shard, rows = 0, 0, []
-        for row in pdf.sort_values(["_part", "_blk"]).itertuples(index=False, name=None):
-            scope_, part, blk, above, breaks, after, zero_breaks, zero_after, total = row
-            rows.append((scope_, part, blk, level, shard))
-            if level == 0:
-                shard, level = shard + zero_breaks, zero_after
-                continue
-            # The first break moves forward as the level falls: bounds are descending.
-            i = int(np.searchsorted(-np.asarray(above, dtype=np.int64), -level, side="right"))
-            if i < len(above):
-                shard, level = shard + int(breaks[i]), int(after[i])
-            else:
-                level += total
-        return pd.DataFrame(rows, columns=[*_BLOCK, "_level", "_shard"])
-
-    starts = effects.groupBy("_scope").applyInPandas(
-        chain, "_scope string, _part long, _blk long, _level long, _shard long"
-    )
+        # The first row is the block itself: its size, and what it does to an empty level.
+        return pd.DataFrame({
+            "_scope": head["_scope"], "_part": head["_part"], "_blk": head["_blk"], "row": np.arange(len(above) + 1),
+            "above": np.array([total, *above], np.int64), "breaks": np.array([zero_breaks, *breaks], np.int64),
+            "after": np.array([zero_after, *after], np.int64),
+        })
+
+    effects = placed.select(*_BLOCK, "_at", size).groupBy(*_BLOCK).applyInPandas(summarize, _EFFECT)
+    ordered = effects.repartition("_scope").sortWithinPartitions(*_BLOCK, "row")
+    starts = ordered.mapInPandas(_chain, "_scope string, _part long, _blk long, _level long, _shard long")
 
     schema = T.StructType([*placed.schema.fields, T.StructField("shard", T.IntegerType())])
 

@@ -46,6 +46,13 @@ def test_hot_folder_over_many_blocks(spark):
     assert got == {f: greedy(s, 100) for f, s in sizes.items()}
 
 
+def test_shards_larger_than_blocks(spark):
+    rng = random.Random(6)
+    sizes = {"a": [rng.randint(1, 100) for _ in range(2500)], "b": [0, 0, 9], "c": [rng.randint(0, 3) for _ in range(900)]}
+    got = shards(pack(files(spark, sizes), 20_000, block_rows=50))
+    assert got == {f: greedy(s, 20_000) for f, s in sizes.items()}
+
+
 def test_shards_respect_the_limit(spark):
     rng = random.Random(5)
     packed = pack(files(spark, {"a": [rng.randint(1, 120) for _ in range(400)]}), 100)
