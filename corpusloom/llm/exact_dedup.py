@@ -103,10 +103,3 @@ def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     marked = docs.withColumn("__key", document_key()).join(kept, F.col("__key") == F.col("__kept_key"))
     first = Window.partitionBy("__key").orderBy("__key")
     return marked.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
-
-
-EXACT_SQL = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
-       sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
-from corpusloom.llm.exact_dedup import EXACT_SQL, exact_groups
+from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.licenses import document_files, scan
 from corpusloom.llm.merge_dropout import encode
 from corpusloom.llm.minhash import near_duplicates
+from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, NEAR_SQL, REPEATS_SQL
 from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
@@ -47,7 +48,7 @@ def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", CONTAMINATION_SQL)
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,13 +58,13 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", NEAR_SQL)
 def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", REPEATS_SQL)
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
