@@ -14,12 +14,12 @@ from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.licenses import document_files, scan
 from corpusloom.llm.merge_dropout import encode
 from corpusloom.llm.minhash import near_duplicates
-from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, NEAR_SQL, REPEATS_SQL
+from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, NEAR_SQL, REPEATS_SQL, url_sql
 from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
 from corpusloom.llm.token_rollup import maintained_totals
-from corpusloom.llm.url_filter import verdicts
+from corpusloom.llm.url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, verdicts
 from corpusloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,6 @@ def _token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintained_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_url_filter")
+@query("op10_url_filter", url_sql(RULES, DAMPING, ROUNDS, THRESHOLD))
 def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages"))

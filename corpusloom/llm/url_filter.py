@@ -117,5 +117,5 @@ def verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> Dat
     suspect = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(suspect, "block").otherwise("allow")).alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),
     )
