@@ -26,8 +26,9 @@ TEMPLATES = (
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 
-_SPEAKS = r"(?i)licen[sc]|copyright|spdx|creative commons|redistribution and use"
-_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
+#: What lines about a licence hold, and how licence files are named.
+SPEAKS = r"(?i)licen[sc]|copyright|spdx|creative commons|redistribution and use"
+LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 
 
 def _terms(text: Column) -> Column:
@@ -36,8 +37,8 @@ def _terms(text: Column) -> Column:
 
 def notices(files: DataFrame) -> DataFrame:
     """``(path, line)``: distinct lines of each text that speak of a licence."""
-    lines = F.array_distinct(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(_SPEAKS)))
-    return files.where(F.col("text").rlike(_SPEAKS)).select("path", F.explode(lines).alias("line"))
+    lines = F.array_distinct(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(SPEAKS)))
+    return files.where(F.col("text").rlike(SPEAKS)).select("path", F.explode(lines).alias("line"))
 
 
 def line_licences(lines: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -88,7 +89,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     marked = lines.join(line_licences(lines, templates, threshold), "line")
     best = F.min(F.struct((-F.col("score")).alias("order"), "licence"))
     own = marked.groupBy("path").agg(best.alias("own"))
-    spoken = own.where(F.regexp_extract("path", "[^/]*$", 0).rlike(_FILE)).select(
+    spoken = own.where(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE)).select(
         _directory(F.col("path")).alias("directory"), F.col("own.licence").alias("licence"), (-F.col("own.order")).alias("score")
     ).groupBy("directory").agg(best.alias("given"))
     # Directories, not files, meet their ancestors: their number does not follow that of the files in a hot one.
@@ -113,7 +114,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 def document_files(docs: DataFrame) -> DataFrame:
     """``documents`` as files: ``source/lang/thousand/name``; a text that ends in a notice plays its directory's licence file."""
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    ends = F.element_at(F.split(text_of(), "\n"), -1).rlike(_SPEAKS)
+    ends = F.element_at(F.split(text_of(), "\n"), -1).rlike(SPEAKS)
     return docs.select(
         "doc_id", F.concat_ws(
             "/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),

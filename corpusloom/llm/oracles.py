@@ -100,3 +100,34 @@ r0 AS (SELECT host, allowed AS trust, blocked AS distrust FROM seeds), {', '.joi
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust - trust, 0) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict,
        round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM ruled LEFT JOIN r{rounds} USING (host)
 """
+
+
+def license_sql(templates, speaks: str, licence_file: str, threshold: float) -> str:
+    """Op 3 over documents as files."""
+    given = ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(templates))
+    terms = lambda x: f"regexp_extract_all(lower({x}), '[a-z]+|[0-9]+(?:\\.[0-9]+)*')"
+    return f"""
+WITH files AS (SELECT source || '/' || lang || '/' || (doc_id // 1000)::VARCHAR || '/' || CASE WHEN regexp_matches(string_split(coalesce(text, ''),
+       chr(10))[-1], '{speaks}') THEN 'LICENSE-' ELSE 'doc-' END || doc_id::VARCHAR AS path, coalesce(text, '') AS text FROM documents),
+placed AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS directory FROM files),
+lines AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{speaks}')),
+different AS (SELECT line, count(*) AS n FROM lines GROUP BY line), total AS (SELECT sum(n) AS total FROM different),
+tf AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest({terms('line')}) AS term FROM different) GROUP BY ALL),
+idf AS (SELECT term, ln((max(total) + 1) / (sum(n) + 1)) + 1 AS idf FROM tf, total GROUP BY term),
+weights AS (SELECT line, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+norms AS (SELECT line, sqrt(sum(w * w)) AS norm FROM weights GROUP BY line),
+given(k, licence, body) AS (VALUES {given}),
+wanted AS (SELECT k, licence, term, count(*) * coalesce(max(idf), max(ln(total + 1) + 1)) AS w FROM (SELECT k, licence, unnest({terms('body')}) AS term FROM given)
+           LEFT JOIN idf USING (term), total GROUP BY ALL),
+lengths AS (SELECT k, sqrt(sum(w * w)) AS norm FROM wanted GROUP BY k),
+scores AS (SELECT a.line, b.licence, round(sum(a.w * b.w) / (max(n.norm) * max(l.norm)), 9) AS score FROM weights a JOIN wanted b USING (term)
+           JOIN norms n ON n.line = a.line JOIN lengths l ON l.k = b.k GROUP BY a.line, b.k, b.licence),
+best AS (SELECT line, licence, score FROM scores WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, licence) = 1),
+own AS (SELECT path, licence, score FROM lines JOIN best USING (line) QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1),
+spoken AS (SELECT directory, licence, score FROM own JOIN placed USING (path) WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licence_file}')
+           QUALIFY row_number() OVER (PARTITION BY directory ORDER BY score DESC, licence) = 1),
+near AS (SELECT p.path, s.directory AS origin, s.licence, s.score FROM placed p JOIN spoken s ON p.directory = s.directory OR s.directory = ''
+         OR starts_with(p.directory, s.directory || '/') QUALIFY row_number() OVER (PARTITION BY p.path ORDER BY len(s.directory) DESC) = 1)
+SELECT p.path, coalesce(o.licence, n.licence) AS licence, coalesce(o.score, n.score) AS score, CASE WHEN o.path IS NOT NULL THEN 'own' ELSE n.origin END AS origin
+FROM placed p LEFT JOIN own o USING (path) LEFT JOIN near n USING (path)
+"""

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.exact_dedup import exact_groups
-from corpusloom.llm.licenses import document_files, scan
+from corpusloom.llm.licenses import LICENCE_FILE, SPEAKS, TEMPLATES, document_files, scan
+from corpusloom.llm.licenses import THRESHOLD as LICENCE_THRESHOLD
 from corpusloom.llm.merge_dropout import encode
 from corpusloom.llm.minhash import near_duplicates
-from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, NEAR_SQL, REPEATS_SQL, url_sql
+from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, NEAR_SQL, REPEATS_SQL, license_sql, url_sql
 from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
@@ -81,7 +82,7 @@ def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(personal_data(table(spark, sf_dir, "documents")))
 
 
-@query("op3_license_scan")
+@query("op3_license_scan", license_sql(TEMPLATES, SPEAKS, LICENCE_FILE, LICENCE_THRESHOLD))
 def _license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(document_files(table(spark, sf_dir, "documents")).select("path", "text"))
 
