@@ -12,7 +12,7 @@ from corpusloom.catalog.base import (
     instruction_rows, manifest, sql_pack, sql_words,
 )
 from corpusloom.functions.text import clean_utf8, utf8_bytes
-from corpusloom.operators.admission import admit, assign_batches, first_n, limit_per_folder, limit_total
+from corpusloom.operators.admission import admit, assign_batches, first_n, limit_per_folder, limit_total, row_with
 from corpusloom.operators.packing import global_numbers, pack, packing_summary
 from corpusloom.operators.splitting import explode_chunks, window_units
 from corpusloom.plans.corpus_build import BuildOptions, build_corpus, run_summary
@@ -58,6 +58,12 @@ def lim_first_n(spark: SparkSession, sf: str) -> DataFrame:
     return first_n(src.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 100)
 
 
+@query("lim_row_with", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 9")
+def lim_row_with(spark: SparkSession, sf: str) -> DataFrame:
+    """The tenth row, looked up by key."""
+    return row_with(src.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", 9)
+
+
 @query("lim_per_folder", f"WITH {DOCS} SELECT file_name AS path, folder, bytes FROM docs "
                          "QUALIFY row_number() OVER (PARTITION BY folder ORDER BY file_name) <= 20")
 def lim_per_folder(spark: SparkSession, sf: str) -> DataFrame:
