@@ -9,17 +9,17 @@ from pyspark.sql import types as T
 from corpusloom.catalog import query
 from corpusloom.catalog.base import (
     DOCS, FOLDER_FILES, INSTRUCTION_ROWS, PACKED_DOCS, SEMANTIC, SHARD_BYTES, WINDOW_UNITS, WINDOWS, docs,
-    instruction_rows, manifest, sql_pack, sql_words,
+    instruction_rows, manifest, sql_pack,
 )
 from corpusloom.functions.text import clean_utf8, utf8_bytes
-from corpusloom.operators.admission import admit, assign_batches, first_n, limit_per_folder, limit_total, row_with
+from corpusloom.operators.admission import admit, assign_batches, first_n, limit_per_folder, row_with
 from corpusloom.operators.packing import global_numbers, pack, packing_summary
 from corpusloom.operators.splitting import explode_chunks, window_units
 from corpusloom.plans.corpus_build import BuildOptions, build_corpus, run_summary
 from corpusloom.session import scratch_path
 from corpusloom.sources import documents as src
 from corpusloom.sources.jsonl import parsed, read_jsonl, write_jsonl
-from corpusloom.sources.ledger import SCHEMA, append_ledger, merge, read_ledger, unprocessed
+from corpusloom.sources.ledger import append_ledger, merge, read_ledger, unprocessed
 from corpusloom.sources.documents import read_text_files
 from corpusloom.sources.listing import folder_inventory, list_files, list_prefix
 from corpusloom.sources.shards import read_dataset, read_shard, split_encodable, write_shards
