@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 #: Words whose hashes a task remembers.
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 60_000
 
 
 class _WordHashes(dict):
@@ -60,6 +61,14 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(text_of(text), 256))
 
 
+def give_back() -> None:
+    """Return unused Arrow memory at the end of a task; Python workers live on and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[..., list], rows: int = ROWS_AT_ONCE) -> DataFrame:
     """Run ``work(*columns) -> columns`` on slices of Arrow batches.
 
@@ -76,6 +85,7 @@ def map_batches(df: DataFrame, schema: str, work: Callable[..., list], rows: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=field.type) for values, field in zip(out, arrow, strict=True)], schema=arrow
                 )
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, ROWS_AT_ONCE, text_of
+from corpusloom.llm.common import LOWER, ROWS_AT_ONCE, give_back, text_of
 from corpusloom.session import materialize
 
 WINDOW = 10
@@ -204,6 +204,7 @@ def _scanner(automaton, text_at: int):
                 schema = part.schema
                 new = [pa.array(v, f.type) for v, f in zip((counts, spans, items), list(schema)[-3:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], *new], schema=schema)
+        give_back()
 
     return run
 

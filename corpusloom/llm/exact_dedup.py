@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import document_key, text_of
+from corpusloom.llm.common import document_key, give_back, text_of
 
 SALTS = 16
 #: Rows merged at once in a task, and so the longest array of ids.
@@ -49,6 +49,7 @@ def _merge_locally(salts: int):
                     ),
                 ], names=["digest", "salt", "text", "ids"])
                 turn += 1
+        give_back()
 
     return run
 

@@ -35,7 +35,7 @@ _MASK = (1 << 64) - 1
 _NONE = 1 << 30
 #: Characters up to which new segments are merged together; each round of that goes over all of them.
 _TOGETHER = 48
-_KNOWN_SEGMENTS = 600_000
+_KNOWN_SEGMENTS = 250_000
 _SEGMENT = re.compile(f" +[^ {_MARK}]*|[^ {_MARK}]+|{_MARK}")
 
 

@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_of
-from corpusloom.session import materialize
+from corpusloom.llm.common import give_back
 
 SLOTS = 1 << 15
 DIMENSIONS = 32
@@ -36,7 +35,7 @@ THRESHOLD = 0.3
 
 #: Tokens handled at once in a task.
 _SLICE = 100_000
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 60_000
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+")
 
 
@@ -117,6 +116,7 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     used = np.flatnonzero(sums.any(1))
     columns = [pa.array(used.astype(np.int32))] + [pa.array(sums[used, d]) for d in range(DIMENSIONS)]
     yield pa.RecordBatch.from_arrays(columns, names=["slot", *(f"d{d}" for d in range(DIMENSIONS))])
+    give_back()
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -133,28 +133,31 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _pool(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Mean word vector of each whole text (zero for an empty one)."""
+    rows = np.zeros((len(texts), DIMENSIONS))
+    for row, text in enumerate(texts):
+        slots = slots_of(text.as_py())
+        for start in range(0, len(slots), _SLICE):
+            rows[row] += table[slots[start : start + _SLICE]].sum(0, dtype=np.float64)
+        rows[row] /= max(1, len(slots))
+    return rows
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``docs`` with ``__vector``, the mean of the word vectors of the whole text (zero for an empty one)."""
+    """``docs(text, y, order)`` with the text replaced by its vector."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    at = docs.columns.index("text")
-    schema = docs.select("*", F.lit(None).cast("array<float>").alias("__vector")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            rows = np.zeros((batch.num_rows, DIMENSIONS), np.float32)
-            for row, text in enumerate(batch.column(at)):
-                slots = slots_of(text.as_py())
-                total = np.zeros(DIMENSIONS, np.float64)
-                for start in range(0, len(slots), _SLICE):
-                    total += table[slots[start : start + _SLICE]].sum(0, dtype=np.float64)
-                rows[row] = total / max(1, len(slots))
+            rows = _pool(batch.column(0), shared.value)
             vector = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * DIMENSIONS), pa.array(rows.ravel())
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns, vector], names=[*batch.schema.names, "__vector"])
+            yield pa.RecordBatch.from_arrays([vector, *batch.columns[1:]], names=["vector", "y", "order"])
+        give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("text", "y", "order").mapInArrow(run, "vector array<double>, y double, order bigint")
 
 
 @dataclass
@@ -217,46 +220,45 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     return net
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, columns: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or those named beside doc_id) with ``__held_out`` (boolean) and ``__score`` (double, higher: label 1 likelier).
+def with_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with ``__held_out`` (boolean) and ``__score`` (double, higher: label 1 likelier).
 
-    Labels are learnt only where crc32 of the id, as text, leaves a remainder other than 0 by 5; ``train_rows`` bounds how
-    many. Empty and null texts have a zero vector and are scored like any. A null id is not held out and has no label.
-    Null labels are left out; repeated rows count as often as they occur. Without labels of both classes every score is the
-    share of label 1, or 0.5 without any. Of ``docs`` only text and doc_id are read; other columns pass through.
+    Labels are learnt only where crc32 of the id, as text, leaves a remainder other than 0 by 5; ``train_rows`` bounds how many:
+    those with the smallest keyed hash of their id. Empty and null texts have a zero vector and are scored like any. A null id is
+    not held out and has no label. Null labels are left out; rows that repeat one count once. Without labels of both classes every
+    score is the share of label 1, or 0.5 without any. Of ``docs`` only text and doc_id are read; other columns pass through.
     """
-    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(1))
-    columns = docs.columns if columns is None else ["doc_id", *columns]
-    vectors = materialize(pooled(docs, word_vectors(docs)).select(*columns, "__vector"), "quality")
-    wanted = labels.where(F.col("quality").isNotNull()).select(
-        F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("__y")
-    )
-    sample = (
-        vectors.select("doc_id", "__vector").where(remainder != 0).join(wanted, F.col("doc_id") == F.col("__id"))
-        .select("__vector", "__y", F.xxhash64("__id").alias("__order"), "__id")
-        .orderBy("__order", "__id", "__y", "__vector").limit(train_rows)
-    ).toArrow()
-    n = sample.num_rows
-    x = np.array(sample.column("__vector").to_pylist(), np.float64).reshape(n, DIMENSIONS)
-    net = docs.sparkSession.sparkContext.broadcast(fit(x, sample.column("__y").to_numpy().astype(np.float64)))
-    at = vectors.columns.index("__vector")
+    def remainder(name: str) -> Column:
+        return F.crc32(F.col(name).cast("string").cast("binary")) % 5
+
+    known = labels.where(F.col("quality").isNotNull() & (remainder("doc_id") != 0))
+    chosen = known.select(F.xxhash64("doc_id").alias("order"), F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
+    chosen = chosen.distinct().orderBy("order", "id", "y").limit(train_rows)
+    # The sample's size is the parameter, so broadcasting its ids and gathering its vectors is bounded.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    table = word_vectors(docs)
+    got = pooled(sample.select("text", "y", "order"), table).toArrow()
+    n = got.num_rows
+    x = np.array(got.column("vector").to_pylist(), np.float64).reshape(n, DIMENSIONS)
+    y, order = got.column("y").to_numpy().astype(np.float64), got.column("order").to_numpy()
+    place = np.lexsort((*x.T, y, order)) if n else np.zeros(0, np.int64)
+    model = docs.sparkSession.sparkContext.broadcast((table, fit(x[place], y[place])))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = model.value
         for batch in batches:
-            flat = batch.column(at).flatten().to_numpy(zero_copy_only=False)
-            scores = net.value.scores(flat.astype(np.float64).reshape(batch.num_rows, DIMENSIONS))
-            columns = [c for k, c in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(scores)], names=[n for k, n in enumerate(batch.schema.names) if k != at] + ["__score"]
-            )
+            scores = net.scores(_pool(batch.column(at), vectors))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])
+        give_back()
 
-    schema = vectors.drop("__vector").withColumn("__score", F.lit(0.0)).schema
-    return vectors.mapInArrow(run, schema).withColumn("__held_out", remainder == 0)
+    schema = docs.withColumn("__score", F.lit(0.0)).schema
+    return docs.mapInArrow(run, schema).withColumn("__held_out", F.coalesce(remainder("doc_id") == 0, F.lit(False)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``; see :func:`with_scores`."""
-    return with_scores(docs.select("doc_id", "text"), labels, columns=[]).select(
+    return with_scores(docs.select("doc_id", "text"), labels).select(
         "doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= threshold).cast("int").alias("predicted"),
     )
