@@ -16,24 +16,36 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; every row is (node, smaller node)."""
     around = _both_ways(edges)
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = large.where("a <> b").distinct()
-    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    # Both steps leave pairs whose first node is the larger.
+    large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
     small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
         joined.select("a", F.col("m").alias("b"))
     )
     return small.where("a <> b").distinct()
 
 
+def contract(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges ``(a, b)``, ``b`` smaller, of the same components after some rounds; most are stars by then."""
+    # Each round reads its edges several times, so they are written first.
+    now = materialize(edges.where("a <> b").select("a", "b"), "edges")
+    for _ in range(rounds):
+        now = materialize(_stars(now), "edges")
+    return now
+
+
+def known_labels(stars: DataFrame) -> DataFrame:
+    """``(node, label)`` of the nodes that :func:`contract` linked to a smaller one; equal labels are surely one component."""
+    return stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``; the label is the smallest node that can be reached.
 
     Each round ends in a written table, so a lost executor repeats one round at most. A node with very many edges is
     reduced by partial minima and joined, never gathered.
     """
-    now = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    now = contract(edges, 1)
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

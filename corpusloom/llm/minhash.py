@@ -4,15 +4,18 @@ A document is its set of word shingles. One permutation scatters the hashed shin
 signature is the least value of a second permutation shifted circularly by k. Bands of four coordinates make the buckets:
 with 32 bands a pair at the threshold of 0.8 shares no bucket with probability 5e-8.
 
-Equal sets are one node. Links are then found in two passes:
+Equal sets are one node. Links are then found in three passes:
 
 1. each node is compared with one hub per bucket, chosen by hash; its best partner (by signature) is verified on full sets;
-2. in buckets whose members still lie in different components, all pairs across components are compared by signature in
-   blocks of bounded size, and those that may reach the threshold are verified on full sets.
-
-So a group of many thousand near copies costs one link a member, plus what its outliers need. Nothing is capped: pairs are
-left out only if they are in one component already or their signatures agree in fewer than ``MIN_AGREE`` of 128 places
-(five standard deviations below what 0.8 gives).
+2. in buckets whose members still lie in different components, members outside the most common one are compared with all of
+   other components, in blocks of bounded size, and their best partner is verified;
+3. where components still differ, all pairs across them that may reach the threshold are verified on full sets. Shingles that
+   no other such node has cannot be shared, which bounds the similarity of a pair exactly; copies that differ from each other by
+   their own edits part there.
+
+So a group of many thousand near copies costs a few links a member, plus what its outliers need. Nothing is capped: pairs are
+left out only if they are in one component already, if that bound excludes them, or if their signatures agree in fewer than
+``MIN_AGREE`` of 128 places (five standard deviations below what 0.8 gives; in the last pass also ``FINE_AGREE`` of 1024).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LOWER, map_batches, scramble, word_hashes
-from corpusloom.llm.components import components
+from corpusloom.llm.components import components, contract, known_labels
 from corpusloom.session import materialize
 
 WIDTH = 4
@@ -34,6 +37,9 @@ THRESHOLD = (80, 100)
 COORDINATES = 128
 BANDS = 32
 MIN_AGREE = 78
+#: The last pass compares longer signatures of one byte a coordinate, with the same margin.
+FINE_COORDINATES = 1024
+FINE_AGREE = 756
 #: Rows of a block in the second pass.
 BLOCK = 1024
 
@@ -92,6 +98,10 @@ def _agreement(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return (a == b).sum(1)
 
 
+def _fine_sketch(nodes, sets):
+    return nodes, [signature(np.frombuffer(s, _U), FINE_COORDINATES).astype(np.uint8).tobytes() for s in sets]
+
+
 def _near_hubs(nodes, sketches, hubs, hub_sketches):
     agree = _agreement(sketches, hub_sketches) if nodes else np.zeros(0, int)
     good = np.flatnonzero(agree >= MIN_AGREE).tolist()
@@ -122,46 +132,63 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(joined, "a binary, b binary", _linked)
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across labels in each (bucket, block, block) of rows that come sorted by them."""
-    held: list[tuple] = []
-    key = None
-
-    def pairs() -> pa.RecordBatch | None:
-        n = len(held)
-        band = held[0][3]
-        sketch = np.frombuffer(b"".join(r[6] for r in held), "<u2").reshape(n, COORDINATES)
-        _, label = np.unique(np.array([r[5].hex() for r in held]), return_inverse=True)
-        block = np.array([r[7] for r in held])
-        low, high = held[0][1], held[0][2]
-        a, b = [], []
-        for i in range(n):
-            # In a block paired with itself each pair comes once; otherwise one row from either block.
-            others = np.flatnonzero((label != label[i]) & ((block == high) if low < high else (np.arange(n) > i)))
-            if low < high and block[i] != low or not len(others):
+def _pairs_of_block(rows: list[tuple], best_only: bool) -> list[tuple[bytes, bytes]]:
+    """Pairs across labels in a block, or between two blocks; with ``best_only`` the best partner of each row whose label is
+    not the most common one, otherwise all that may reach the threshold."""
+    _, low, high, band = rows[0][:4]
+    nodes = [row[4] for row in rows]
+    label = np.unique(np.array([row[5].hex() for row in rows]), return_inverse=True)[1]
+    sketch = np.frombuffer(b"".join(row[6] for row in rows), "<u2").reshape(len(rows), COORDINATES)
+    block, size, shared = (np.array([row[k] for row in rows]) for k in (7, 8, 9))
+    usual = np.bincount(label).argmax()
+    fine = None if best_only else np.frombuffer(b"".join(row[10] for row in rows), np.uint8).reshape(len(rows), -1)
+    out = []
+    for i in range(len(rows)):
+        if best_only:
+            if label[i] == usual:
                 continue
-            same = sketch[others] == sketch[i]
-            near = same.sum(1) >= MIN_AGREE
-            others, same = others[near], same[near]
-            if len(others):
-                # A pair that shares several buckets is taken in the first.
-                shared = same.reshape(len(others), BANDS, -1).all(2)
-                for j in others[shared.argmax(1) == band].tolist():
-                    a.append(min(held[i][4], held[j][4]))
-                    b.append(max(held[i][4], held[j][4]))
-        if a:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-        return None
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != key:
-                if len(held) > 1 and (out := pairs()) is not None:
-                    yield out
-                held, key = [], row[:3]
-            held.append(row)
-    if len(held) > 1 and (out := pairs()) is not None:
-        yield out
+            others = np.flatnonzero((label != label[i]) & ((block != block[i]) if low < high else True))
+        elif low < high and block[i] != low:
+            continue
+        else:
+            # In a block paired with itself each pair comes once; otherwise one row from either block.
+            others = np.flatnonzero((label != label[i]) & ((block == high) if low < high else (np.arange(len(rows)) > i)))
+        common = np.minimum(shared[others], shared[i])
+        others = others[THRESHOLD[1] * common >= THRESHOLD[0] * (size[others] + size[i] - common)]
+        same = sketch[others] == sketch[i]
+        agree = same.sum(1)
+        near = agree >= MIN_AGREE
+        if not near.any():
+            continue
+        if best_only:
+            found = [int(others[agree.argmax()])]
+        else:
+            # A pair that shares several buckets is taken in the first.
+            first = same[near].reshape(int(near.sum()), BANDS, -1).all(2).argmax(1)
+            found = others[near][first == band]
+            found = found[(fine[found] == fine[i]).sum(1) >= FINE_AGREE].tolist()
+        out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in found]
+    return out
+
+
+def _cross_pairs(best_only: bool):
+    """Over rows sorted by (bucket, block, block)."""
+    def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        pairs = _pairs_of_block(rows, best_only) if len(rows) > 1 else []
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield from emit(held)
+                    held = []
+                held.append(row)
+        yield from emit(held)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,8 +206,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     nodes = materialize(
         sketches.where("node is not null").groupBy("node", "sketch").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-        ).select("node", "sketch", F.col("first.doc_id").alias("low_id"), F.col("first.text_hash").alias("text_hash")),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"),
+            F.max("n_shingles").alias("size"),
+        ).select("node", "sketch", "size", F.col("first.doc_id").alias("low_id"), F.col("first.text_hash").alias("text_hash")),
         "nodes",
     )
     bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sketch").select(
@@ -189,15 +217,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(
-        bands.join(shared, "bucket").join(nodes.select("node", "sketch"), "node")
-        .select("bucket", "band", "n", "node", "sketch"),
+        bands.join(shared, "bucket").join(nodes.select("node", "sketch", "size"), "node")
+        .select("bucket", "band", "n", "node", "sketch", "size"),
         "members",
     )
     sets = materialize(_full_sets(docs, nodes, members), "sets")
-    first = materialize(_links(_best_hubs(members), sets), "links")
-    labels = components(first)
-    second = _links(_open_pairs(members, labels), sets)
-    final = components(first.unionByName(second))
+    # Two rounds settle nearly all components; what they leave apart only costs later passes a few needless pairs.
+    stars = contract(_links(_best_hubs(members), sets), 2)
+    open_rows = _open_rows(members, known_labels(stars))
+    own = _own_shingles(open_rows.select("node").distinct(), sets)
+    open_rows = open_rows.join(own, "node", "left").withColumn("shared_size", F.col("size") - F.coalesce("own", F.lit(0)))
+    # What a node can share must reach the threshold of its own size.
+    may = F.col("shared_size") * THRESHOLD[1] >= F.col("size") * THRESHOLD[0]
+    open_rows = materialize(open_rows.where(may).drop("own"), "open")
+    stars = contract(stars.unionByName(_links(_block_pairs(open_rows, True), sets)), 2)
+    still_open = materialize(_open_rows(open_rows.drop("label"), known_labels(stars)), "open")
+    fine = map_batches(
+        sets.join(still_open.select("node").distinct(), "node").select("node", "shingles"), "node binary, fine binary", _fine_sketch
+    )
+    pairs = _block_pairs(still_open.join(fine, "node"), False)
+    final = components(stars.unionByName(_links(pairs, sets)))
     names = nodes.select("node", "low_id").join(final, "node").groupBy("label").agg(F.min("low_id").alias("component_id"))
     named = nodes.select("node", "low_id").join(
         final.join(names, "label").select("node", "component_id", F.lit(True).alias("linked")), "node", "left"
@@ -229,10 +268,40 @@ def _best_hubs(members: DataFrame) -> DataFrame:
     return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per node and shingle; the node as two numbers."""
+    for batch in batches:
+        for node, packed in zip(batch.column(0), batch.column(1), strict=True):
+            shingles = np.frombuffer(packed.as_buffer(), np.int64)
+            first, last = np.frombuffer(node.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingles), pa.array(np.full(len(shingles), first)), pa.array(np.full(len(shingles), last))],
+                names=["shingle", "first", "last"],
+            )
+
+
+def _owners(first, last, counts):
+    return [np.array(pair, np.int64).tobytes() for pair in zip(first, last, strict=True)], counts
+
+
+def _own_shingles(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, own)``: how many shingles of an open node no other one has; nodes without any are left out."""
+    rows = sets.join(open_nodes, "node").select("node", "shingles").mapInArrow(
+        _shingle_rows, "shingle bigint, first bigint, last bigint"
+    )
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
+    owned = single.where("n = 1").groupBy("first", "last").agg(F.count("*").alias("own"))
+    return map_batches(owned, "node binary, own bigint", _owners, 4096)
+
+
+def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of the buckets in which labels differ."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_rows = labelled.join(mixed.select("bucket"), "bucket")
+    return labelled.join(mixed.select("bucket"), "bucket")
+
+
+def _block_pairs(open_rows: DataFrame, best_only: bool) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -240,9 +309,10 @@ def _open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     keys = ["bucket", "low", "high"]
     ordered = dealt.select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "node",
-        "label", "sketch", "block",
+        "label", "sketch", "block", "size", "shared_size", F.lit(None).cast("binary").alias("fine") if best_only else "fine",
     ).repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(_cross_pairs, "a binary, b binary")
+    pairs = ordered.mapInArrow(_cross_pairs(best_only), "a binary, b binary")
+    return pairs.distinct() if best_only else pairs
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
