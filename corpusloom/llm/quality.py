@@ -2,7 +2,7 @@
 
 Words are hashed to ``SLOTS`` slots, so the vector table has a fixed size however many words a corpus has. Every slot has
 a sparse random index vector. One pass over all texts adds up, for each slot, the index vectors of its occurrences and
-their neighbours; a second pass averages the unit vectors of a document's words. The network is trained in numpy on a
+their neighbours; a document is the average of the unit vectors of its words. The network is trained in numpy on a
 bounded sample of labelled documents (``TRAIN_ROWS``), and its probabilities are calibrated with a temperature fitted on
 rows it was not trained on.
 """
