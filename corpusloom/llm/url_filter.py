@@ -2,8 +2,13 @@
 
 Links of all pages are added up to weighted edges between hosts (a relative link stays on its host). Trust is personalised PageRank
 from what the allow rules cover, along the links; distrust is the same from what the block rules cover, against them: a host
-that links to a blocked one is suspect. A host's seed is the share of its pages that rules allow or block. Pages that no rule
-fits get the verdict of their host: block if distrust exceeds trust by more than ``THRESHOLD``.
+that links to a blocked one is suspect. A host's seed is the share of its pages that rules allow or block.
+
+That mass is divided among all who link to a host, so it says how much of the whole a host holds, not how bad the host is. Verdicts
+come from shares between 0 and 1 over the same links: a host's suspicion is its blocked share, and for its other pages the damped
+mean suspicion of what its links go to; its favour is the same of the allow rules, over the links it gets. Links of a host to
+itself count in the mean but carry nothing. Pages that no rule fits get the verdict of their host: block if suspicion exceeds
+favour by more than ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -56,14 +61,17 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def _shares(edges: DataFrame, source: str, target: str, kind: str) -> DataFrame:
+    """``share`` is the edge's part of all links of ``source``; ``weight`` its part of those of ``target``, 0 from a host to itself."""
     out = edges.groupBy(source).agg(F.sum("n").alias("total"))
-    return edges.join(out, source).select(
-        F.col(source).alias("from"), F.col(target).alias("to"), (F.col("n") / F.col("total")).alias("share"), F.lit(kind).alias("kind")
+    taken = edges.groupBy(target).agg(F.sum("n").alias("taken"))
+    return edges.join(out, source).join(taken, target).select(
+        F.col(source).alias("from"), F.col(target).alias("to"), (F.col("n") / F.col("total")).alias("share"),
+        F.when(F.col(source) == F.col(target), 0.0).otherwise(F.col("n") / F.col("taken")).alias("weight"), F.lit(kind).alias("kind"),
     )
 
 
 def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``(host, trust, distrust)`` from ``links(src, dst, n)`` and ``seeds(host, allowed, blocked)``.
+    """``(host, trust, distrust, favour, suspicion)`` from ``links(src, dst, n)`` and ``seeds(host, allowed, blocked)``.
 
     Each round is a join with the edges and a sum by host; the state is written every few rounds, so neither the plan nor what a
     lost executor repeats grows with the number of rounds. A host without links keeps the mass it has.
@@ -75,22 +83,28 @@ def host_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, ro
     start = materialize(stays.select(
         "host", "allowed", "blocked", F.col("sends").isNull().alias("keeps_trust"), F.col("gets").isNull().alias("keeps_distrust")
     ), "seeds")
-    now = start.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
+    now = start.select(
+        "host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"), F.col("allowed").alias("favour"), F.col("blocked").alias("suspicion")
+    )
     for turn in range(rounds):
         sent = now.join(edges, now["host"] == edges["from"]).select(
             F.col("to").alias("host"),
             F.when(F.col("kind") == "trust", F.col("trust") * F.col("share")).otherwise(0.0).alias("t"),
             F.when(F.col("kind") == "distrust", F.col("distrust") * F.col("share")).otherwise(0.0).alias("d"),
+            F.when(F.col("kind") == "trust", F.col("favour") * F.col("weight")).otherwise(0.0).alias("f"),
+            F.when(F.col("kind") == "distrust", F.col("suspicion") * F.col("weight")).otherwise(0.0).alias("s"),
         )
         kept = now.join(start, "host").select(
             "host", F.when(F.col("keeps_trust"), F.col("trust")).otherwise(0.0).alias("t"),
-            F.when(F.col("keeps_distrust"), F.col("distrust")).otherwise(0.0).alias("d"),
+            F.when(F.col("keeps_distrust"), F.col("distrust")).otherwise(0.0).alias("d"), F.lit(0.0).alias("f"), F.lit(0.0).alias("s"),
         )
         seed = start.select("host", "allowed", "blocked")
-        got = sent.unionByName(kept).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        got = sent.unionByName(kept).groupBy("host").agg(*(F.sum(c).alias(c) for c in "tdfs"))
         now = seed.join(got, "host", "left").select(
             "host", ((1 - damping) * F.col("allowed") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
             ((1 - damping) * F.col("blocked") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
+            (F.col("allowed") + (1 - F.col("allowed")) * damping * F.coalesce("f", F.lit(0.0))).alias("favour"),
+            (F.col("blocked") + (1 - F.col("blocked")) * damping * F.coalesce("s", F.lit(0.0))).alias("suspicion"),
         )
         if turn % 5 == 4 or turn == rounds - 1:
             now = materialize(now, "ranks")
@@ -101,7 +115,7 @@ def verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> Dat
     """``(page_id, host, path, rule, verdict, trust, distrust)``, one row for each row of ``pages``.
 
     A null url or one without ``://`` has an empty host and path, fits no rule and is allowed, as nothing speaks against it; so is
-    a page of a host without evidence. Null html has no links. Hosts that are only linked to carry scores on. Repeated rows
+    a page of a host without evidence. ``trust`` and ``distrust`` are reported as they are; they do not decide. Null html has no links. Hosts that are only linked to carry scores on. Repeated rows
     weigh as often as they occur; other columns are not read.
     """
     ruled = with_rule(pages, rules)
@@ -114,7 +128,7 @@ def verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> Dat
     seeds = reduce(DataFrame.unionByName, (own, linked)).groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
     scores = host_scores(links, seeds)
     scored = ruled.join(scores, "host", "left")
-    suspect = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold
+    suspect = F.coalesce(F.col("suspicion") - F.col("favour"), F.lit(0.0)) > threshold
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(suspect, "block").otherwise("allow")).alias("verdict"),
         F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),

@@ -71,5 +71,20 @@ def test_scores_match_matrix_iteration(spark):
         assert got[f"h{i}"] == pytest.approx(pair)
 
 
+@pytest.mark.parametrize("farms", [1, 2, 10])
+def test_farms_of_one_blocked_host_are_blocked_however_many(spark, farms):
+    to = lambda host, n=1: f'<a href="http://{host}/">x</a>' * n
+    rows = [(f"http://farm{k}.com/", to("bad.net")) for k in range(farms)]
+    rows += [
+        ("http://bad.net/", '<a href="/own">x</a>' * 9 + to("news.com")), ("http://big.com/", to("bad.net", 100)), ("http://far.com/", to("big.com")),
+        ("http://news.com/", to("fine.com", 9) + to("bad.net")), ("http://fine.com/", ""), ("http://good.org/fr/", to("named.com")),
+        ("http://named.com/", to("bad.net")), ("http://inward.com/", '<a href="/own">x</a>' * 9 + to("bad.net")),
+    ]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in verdicts(pages).collect()}
+    assert {got[f"farm{k}.com"] for k in range(farms)} == {"block"} == {got["big.com"], got["far.com"], got["bad.net"]}
+    assert {got[h] for h in ("news.com", "fine.com", "named.com", "inward.com")} == {"allow"}
+
+
 def test_empty_table(spark):
     assert verdicts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
