@@ -53,6 +53,8 @@ _AGAINST = r"(?i)(\b(version|release|isbn|issn|section|page|no|nr)\b|[=#/\"'])[^
 _FOUND = "array<struct<start: int, stop: int, value: string>>"
 LABELERS = ("strict", "digits", "gazetteer", "context", "edges")
 FEATURES = ("form", "size", "before", "after")
+#: No value of a feature is this word: letters of a form are written as one a.
+RARE = "rare"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -205,34 +207,46 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
 
 
 def span_classifier(features: DataFrame) -> tuple[float, dict[str, dict[str, float]]]:
-    """Naive Bayes on ``(kind, features, p)``: prior log odds, and the log ratio of each value of a feature.
+    """Naive Bayes on ``(kind, features, p)``: prior log odds, and the log ratio of each kind and, within its kind, of each value.
 
-    Values are kinds joined with shapes, sizes and short forms, whose number does not depend on the corpus; forms that do not
-    make up a thousandth of all spans count as one.
+    Values that do not make up a thousandth of the spans of their kind count as one, ``RARE``: a kind has at most 1,001 values of a
+    feature, whatever the corpus and however few its spans are. Each ratio has one span more, split as the kind or value is split
+    over all, so a kind of which nothing is doubted keeps its rare values.
     """
-    total = features.agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).first()
-    if total["yes"] is None:
+    sums = (F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
+    kinds = {row["kind"]: (row["yes"], row["no"]) for row in features.groupBy("kind").agg(*sums).collect()}
+    if not kinds:
         return 0.0, {}
-    pairs = features.select("p", F.explode(F.array(*(
-        F.struct(F.lit(name).alias("name"), F.concat_ws(" ", "kind", F.col("features")[name]).alias("value")) for name in FEATURES
+    yes, no = (sum(side) for side in zip(*kinds.values(), strict=True))
+    pairs = features.select("kind", "p", F.explode(F.array(*(
+        F.struct(F.lit(name).alias("name"), F.col("features")[name].alias("value")) for name in FEATURES
     ))).alias("f"))
-    counted = pairs.groupBy("f.name", "f.value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    least = (total["yes"] + total["no"]) / 1000
-    table: dict[str, dict[str, float]] = {name: {} for name in FEATURES}
-    for row in counted.where(F.col("yes") + F.col("no") >= least).collect():
-        table[row["name"]][row["value"]] = math.log(
-            (row["yes"] + 0.5) / (total["yes"] + 1) / ((row["no"] + 0.5) / (total["no"] + 1))
-        )
-    return math.log((total["yes"] + 1) / (total["no"] + 1)), table
+    least = F.create_map(*(F.lit(x) for kind, both in sorted(kinds.items()) for x in (kind, sum(both) / 1000)))
+    counted = pairs.groupBy("kind", "f.name", "f.value").agg(*sums).withColumn(
+        "value", F.when(F.col("yes") + F.col("no") >= least[F.col("kind")], F.col("value")).otherwise(RARE)
+    ).groupBy("kind", "name", "value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+    def ratio(part: tuple[float, float], of: tuple[float, float]) -> float:
+        share = sum(part) / sum(of)
+        return math.log((part[0] + share) / (of[0] + 1) / ((part[1] + share) / (of[1] + 1)))
+
+    table: dict[str, dict[str, float]] = {"kind": {kind: ratio(both, (yes, no)) for kind, both in kinds.items()}}
+    table |= {name: {} for name in FEATURES}
+    for row in counted.collect():
+        table[row["name"]][f"{row['kind']} {row['value']}"] = ratio((row["yes"], row["no"]), kinds[row["kind"]])
+    return math.log((yes + 1) / (no + 1)), table
 
 
 def _score(span: Column, classifier: tuple[float, dict[str, dict[str, float]]]) -> Column:
     prior, table = classifier
     parts = []
     for name, values in table.items():
-        if values:
-            pairs = F.create_map(*(F.lit(x) for item in sorted(values.items()) for x in item))
-            parts.append(F.coalesce(pairs[F.concat_ws(" ", span["kind"], span["features"][name])], F.lit(0.0)))
+        pairs = F.create_map(*(F.lit(x) for item in sorted(values.items()) for x in item))
+        if name == "kind":
+            parts.append(F.coalesce(pairs[span["kind"]], F.lit(0.0)))
+        else:
+            value, rare = (F.concat_ws(" ", span["kind"], x) for x in (span["features"][name], F.lit(RARE)))
+            parts.append(F.coalesce(pairs[value], pairs[rare], F.lit(0.0)))
     return reduce(lambda x, y: x + y, parts, F.lit(prior))
 
 

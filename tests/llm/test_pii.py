@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm.pii import KINDS, LABELERS, digest_columns, personal_data, reliabilities
+from corpusloom.llm.pii import KINDS, LABELERS, _score, digest_columns, personal_data, reliabilities, span_classifier
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -61,6 +62,21 @@ def test_loose_spans_are_added_where_forms_and_votes_speak_for_them(spark):
     assert all(r.spans == "" for r in rows if r.doc_id >= 100)
 
 
+@pytest.mark.parametrize("common", [0.95, 0.05])
+def test_a_rare_kind_is_judged_by_its_own_forms(spark, common):
+    features = "named_struct('form', {}, 'size', '3', 'before', '{}', 'after', 'blank') as features"
+    many = spark.range(40_000).selectExpr("'phone' as kind", features.format("'0-0'", "blank"), f"double({common}) as p")
+    few = [spark.range(20).selectExpr("'email' as kind", features.format(form, before), f"double({p}) as p")
+           for form, before, p in (("'a (at) a.a'", "blank", 0.95), ("'a(at)a a'", "mark", 0.05))]
+    # Each of these forms occurs once in 40,000 spans of its kind.
+    rare = spark.range(20).selectExpr("'phone' as kind", features.format("concat('0', repeat('.', int(id)))", "blank"), f"double({1 - common}) as p")
+    spans = many.unionByName(few[0]).unionByName(few[1]).unionByName(rare)
+    score = _score(F.struct("kind", "features"), span_classifier(spans))
+    got = {(r.kind, r.p): r.score for r in spans.select("kind", "p", score.alias("score")).distinct().collect()}
+    assert got["email", 0.95] > 0 > got["email", 0.05]
+    assert (got["phone", common] > 0) == (common > 0.5) and (got["phone", 1 - common] > 0) == (common < 0.5)
+
+
 def test_reliabilities_find_the_good_labelers(spark):
     names = list(LABELERS)
     rows = []
