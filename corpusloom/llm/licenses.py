@@ -1,16 +1,20 @@
 """Licences of files: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest directory. SQL only.
 
 Lines that speak of a licence are picked from whole texts and compared, as distinct lines, with the templates; document
-frequencies are counted over all such lines. A licence file speaks for its directory and what lies below it, unless a nearer
+frequencies are counted over all such lines. Lines, paragraphs, runs of paragraphs that speak of a licence, and licence files as a whole
+are also compared with full texts, headers and SPDX forms, whose own frequencies weigh the terms. A licence file speaks for its directory and what lies below it, unless a nearer
 directory or the file itself says otherwise.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import text_of
+from corpusloom.llm.licence_templates import texts
 
 THRESHOLD = 0.5
 #: Notices as their licences ask for them; fixed public texts, one or more for a licence.
@@ -73,6 +77,51 @@ def line_licences(lines: DataFrame, templates=TEMPLATES, threshold: float = THRE
     )
 
 
+def passages(files: DataFrame) -> DataFrame:
+    """``(path, passage)``: lines, paragraphs and runs of paragraphs that speak of a licence; of licence files also the whole text."""
+    speaks = lambda x: x.rlike(SPEAKS)
+    text = F.translate(F.col("text"), "\u0001", "\n")
+    # Lines without letters and digits, such as those that only go on with a comment, end a paragraph.
+    paragraphs = F.filter(F.split(text, r"\n[^\p{L}\p{N}\n]*+\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    runs = F.split(F.array_join(F.transform(paragraphs, lambda x: F.when(speaks(x), F.concat(x, F.lit("\n"))).otherwise("\u0001")), ""), "\u0001+")
+    whole = F.when(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.array("text")).otherwise(F.expr("cast(array() as array<string>)"))
+    found = F.array_distinct(F.concat(F.filter(F.split("text", "\n"), speaks), F.filter(paragraphs, speaks), F.transform(F.filter(runs, speaks), F.trim), whole))
+    return files.where(F.col("text").rlike(SPEAKS)).select("path", F.explode(found).alias("passage"))
+
+
+def passage_licences(keys: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``(key, licence, score)`` for the ``(key, passage)`` that reach ``threshold``, a key a row; ties go to the first by name.
+
+    Terms weigh by the number of templates that hold them; those that none holds weigh most, so that other words count against a
+    passage. A passage whose known terms alone cannot reach the threshold meets no template.
+    """
+    templates = texts() if templates is None else templates
+    given = keys.sparkSession.createDataFrame([(k, *row) for k, row in enumerate(templates)], "k int, licence string, body string")
+    held = given.select("k", "licence", F.explode(_terms(F.col("body"))).alias("term")).groupBy("k", "licence", "term").agg(F.count("*").alias("tf"))
+    idf = held.groupBy("term").agg((F.log(F.lit(len(templates) + 1.0) / (F.count("*") + 1)) + 1).alias("idf"))
+    wanted = held.join(idf, "term").withColumn("template_weight", F.col("tf") * F.col("idf"))
+    norms = wanted.groupBy("k").agg(F.sqrt(F.sum(F.pow("template_weight", F.lit(2)))).alias("template_norm"))
+    wanted = wanted.join(norms, "k").select("k", "licence", "term", (F.col("template_weight") / F.col("template_norm")).alias("template_weight"))
+    terms = keys.select("key", F.explode(_terms(F.col("passage"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    weighted = terms.join(F.broadcast(idf), "term", "left").select(
+        "key", "term", F.col("idf").isNotNull().alias("known"), (F.col("tf") * F.coalesce("idf", F.lit(math.log(len(templates) + 1) + 1))).alias("weight")
+    )
+    square = F.pow("weight", F.lit(2))
+    lengths = weighted.groupBy("key").agg(F.sqrt(F.sum(square)).alias("norm"), F.sqrt(F.sum(F.when(F.col("known"), square))).alias("reach"))
+    near = lengths.where(F.col("reach") >= (threshold - 1e-6) * F.col("norm")).select("key", "norm")
+    scores = weighted.join(near, "key").join(F.broadcast(wanted), "term").groupBy("key", "k", "licence").agg(
+        (F.sum(F.col("weight") * F.col("template_weight")) / F.max("norm")).alias("score")
+    ).select("key", "licence", F.round("score", 9).alias("score")).where(F.col("score") >= threshold)
+    best = scores.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("order"), "licence")).alias("best"))
+    return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("score"))
+
+
+def _marked(named: DataFrame, threshold: float) -> DataFrame:
+    found = passages(named).select("path", "passage", F.sha2("passage", 256).alias("key"))
+    keys = found.groupBy("key").agg(F.first("passage").alias("passage"))
+    return found.select("path", "key").join(passage_licences(keys, threshold=threshold), "key").select("path", "licence", "score")
+
+
 def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
@@ -86,7 +135,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """
     named = files.select(F.coalesce("path", F.lit("")).alias("path"), text_of().alias("text"))
     lines = notices(named)
-    marked = lines.join(line_licences(lines, templates, threshold), "line")
+    marked = lines.join(line_licences(lines, templates, threshold), "line").select("path", "licence", "score").unionByName(_marked(named, threshold))
     best = F.min(F.struct((-F.col("score")).alias("order"), "licence"))
     own = marked.groupBy("path").agg(best.alias("own"))
     spoken = own.where(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE)).select(

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from corpusloom.llm.licence_templates import texts
 from corpusloom.llm.licenses import TEMPLATES, document_files, line_licences, scan
 
 FILES = [
@@ -45,6 +46,33 @@ def test_scores_match_brute_force(spark):
         assert got[line] == (best[1], pytest.approx(-best[0]))
 
 
+def test_headers_spdx_forms_and_whole_licence_files(spark):
+    gnu = dict(re.findall(r"(?s)(\S+)\n(.*?)\n--\n", """GPL
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version %s of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; see the GNU General Public License for more details.
+--
+"""))["GPL"]
+    whole = dict((name, text) for name, text in texts() if len(text) > 5000)
+    cases = [
+        (f"spdx/{k}.c", f"// SPDX-License-Identifier: {x}\nint main() {{ return {k}; }}", want) for k, (x, want) in enumerate(
+            [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("GPL-2.0-only", "GPL-2.0"), ("Strange-Own-7", None)]
+        )
+    ]
+    cases += [(f"gnu/{v}.py", f"{gnu % v}\n\nimport os\nprint(os.name)", f"GPL-{v}.0") for v in "23"]
+    cases += [("v/2", "GNU General Public License, version 2", "GPL-2.0"), ("v/a", "GNU Affero General Public License, version 3", "AGPL-3.0"),
+              ("v/bsd.go", "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n"
+               "// license that can be found in the LICENSE file.\n\npackage main", "BSD-3-Clause")]
+    cases += [(f"w/{name}/LICENSE", text, name) for name, text in whole.items()]
+    cases += [(f"w/{name}/sub/x.txt", "plain", name) for name in whole]
+    rows = scan(spark.createDataFrame([c[:2] for c in cases], "path string, text string")).collect()
+    assert len(whole) == 7 and {r.path: r.licence for r in rows} == {path: want for path, _, want in cases}
+
+
 def test_awkward_and_empty(awkward, nothing):
     assert scan(document_files(awkward).select("path", "text")).count() == awkward.count()
     assert scan(document_files(nothing).select("path", "text")).count() == 0
