@@ -18,19 +18,25 @@ def _windows(size: str) -> str:
     return f"list_transform(range(1, len(t) - {size} + 2), lambda k: array_to_string(t[k : k + {size} - 1], ' '))"
 
 
-NEAR_SQL = f"""
+def _components_sql(percent: int, columns: str) -> str:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of ``percent`` or more."""
+    return f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_blank_words(_lower('text'))} AS t FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')] ELSE list_distinct({_windows('4')}) END AS s
          FROM words),
 shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * c >= 80 * (len(p.s) + len(q.s) - c)),
+links AS (SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * c >= {percent} * (len(p.s) + len(q.s) - c)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
 names AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN names USING (doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, {columns} FROM sets JOIN names USING (doc_id)
 """
 
+
+NEAR_SQL = _components_sql(80, "component_id, doc_id = component_id AS kept")
+JOIN_SQL = _components_sql(85, "component_id")
+
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -67,6 +73,20 @@ SELECT doc_id, len(t)::BIGINT AS n_words, (len(t) - coalesce(n, 0))::BIGINT AS n
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH_SQL = f"""
+WITH wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_lower('text')}, '{_TERM}')) AS term FROM benchmark),
+words AS (SELECT doc_id, regexp_extract_all({_lower('text')}, '{_TERM}') AS t FROM documents),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_words FROM words WHERE len(t) > 0),
+counts AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM words) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+           FROM wanted JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def _host(url: str) -> str:
     return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"

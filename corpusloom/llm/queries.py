@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import contamination
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.lexical_search import search
 from corpusloom.llm.licenses import LICENCE_FILE, SPEAKS, TEMPLATES, document_files, scan
 from corpusloom.llm.licenses import THRESHOLD as LICENCE_THRESHOLD
 from corpusloom.llm.merge_dropout import encode
 from corpusloom.llm.minhash import near_duplicates
-from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, NEAR_SQL, REPEATS_SQL, license_sql, url_sql
+from corpusloom.llm.ngram_join import ngram_components
+from corpusloom.llm.oracles import CONTAMINATION_SQL, EXACT_SQL, JOIN_SQL, NEAR_SQL, REPEATS_SQL, SEARCH_SQL, license_sql, url_sql
 from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
 from corpusloom.llm.token_rollup import maintained_totals
 from corpusloom.llm.url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, verdicts
+from corpusloom.llm.whitening import whiten
 from corpusloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +98,18 @@ def _token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filter", url_sql(RULES, DAMPING, ROUNDS, THRESHOLD))
 def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op11_fp_tree_search", SEARCH_SQL)
+def _fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_cholesky_whitening")
+def _cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_ngram_join", JOIN_SQL)
+def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
