@@ -15,13 +15,14 @@ from corpusloom.functions.text import clean_utf8, utf8_bytes
 from corpusloom.operators.admission import admit, assign_batches, first_n, limit_per_folder, row_with
 from corpusloom.operators.packing import global_numbers, pack, packing_summary
 from corpusloom.operators.splitting import explode_chunks, window_units
-from corpusloom.plans.corpus_build import BuildOptions, build_corpus, run_summary
+from corpusloom.plans.corpus_build import BuildOptions, build_corpus, prepare, publish as publish_run, run_summary
 from corpusloom.session import scratch_path
 from corpusloom.sources import documents as src
 from corpusloom.sources.jsonl import parsed, read_jsonl, write_jsonl
-from corpusloom.sources.ledger import append_ledger, merge, read_ledger, unprocessed
+from corpusloom.sources.ledger import merge, unprocessed
 from corpusloom.sources.documents import read_text_files
 from corpusloom.sources.listing import folder_inventory, list_files, list_prefix
+from corpusloom.sources.releases import adopt, entries, history, read_release
 from corpusloom.sources.shards import read_dataset, read_shard, split_encodable, write_shards
 
 # String prefixes that together cover every folder, in argument order.
@@ -256,14 +257,13 @@ _TODO_CHUNKS = (
 )
 
 
-def resumed(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """Run the corpus build on top of an earlier ledger; returns shard and ledger paths."""
-    out, ledger = scratch_path(spark, "corpus"), scratch_path(spark, "ledger")
-    append_ledger(labelled_ledger(spark, sf), ledger)
+def resumed(spark: SparkSession, sf: str) -> str:
+    """Run the corpus build on top of an earlier ledger; returns the dataset's path."""
+    out = scratch_path(spark, "corpus")
+    adopt(labelled_ledger(spark, sf), out)
     files = manifest(spark, sf).drop("doc_id")
-    options = BuildOptions(shard_bytes=SHARD_BYTES, bounded=False)
-    build_corpus(spark, files, docs(spark, sf), out, ledger, options)
-    return out, ledger
+    build_corpus(spark, files, docs(spark, sf), out, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
+    return out
 
 
 @query("agg_run_summary_retried", f"WITH {DOCS} SELECT CASE WHEN bytes > 1000 THEN 'done' WHEN doc_id IN (SELECT doc_id FROM labels) "
@@ -280,23 +280,23 @@ def agg_run_summary_retried(spark: SparkSession, sf: str) -> DataFrame:
 @query("ckpt_resume", f"WITH RECURSIVE {_TODO_CHUNKS} SELECT path, shard, 'done' AS status FROM fresh "
                       "UNION ALL SELECT file_name, 0, 'done' FROM docs WHERE doc_id IN (SELECT doc_id FROM labels)")
 def ckpt_resume(spark: SparkSession, sf: str) -> DataFrame:
-    return read_ledger(spark, resumed(spark, sf)[1]).select("path", "shard", "status")
+    return entries(spark, resumed(spark, sf)).select("path", "shard", "status")
 
 
 @query("corpus_build", f"WITH RECURSIVE {_TODO_CHUNKS} SELECT f.shard, d.file_name, c.chunk AS text, "
                        "sha256(d.doc_id::VARCHAR || '|' || c.chunk_no::VARCHAR) AS node_id FROM chunks c JOIN docs d USING (doc_id) "
                        "JOIN fresh f ON f.path = d.file_name")
 def corpus_build(spark: SparkSession, sf: str) -> DataFrame:
-    return read_dataset(spark, resumed(spark, sf)[0]).select("shard", "file_name", "text", "node_id")
+    return read_release(spark, resumed(spark, sf)).select("shard", "file_name", "text", "node_id")
 
 
-def two_runs(spark: SparkSession, sf: str, docs_of, per_folder: int) -> tuple[str, str]:
-    """Two default runs, each limited to ``per_folder`` files of every folder; returns shard and ledger paths."""
-    out, ledger = scratch_path(spark, "corpus"), scratch_path(spark, "ledger")
+def two_runs(spark: SparkSession, sf: str, docs_of, per_folder: int) -> str:
+    """Two default runs, each limited to ``per_folder`` files of every folder; returns the dataset's path."""
+    out = scratch_path(spark, "corpus")
     files, rows = manifest(spark, sf).drop("doc_id"), docs_of(spark, sf)
     for _ in range(2):
-        build_corpus(spark, files, rows, out, ledger, BuildOptions(shard_bytes=SHARD_BYTES, per_folder=per_folder, bounded=False))
-    return out, ledger
+        build_corpus(spark, files, rows, out, BuildOptions(shard_bytes=SHARD_BYTES, per_folder=per_folder, bounded=False))
+    return out
 
 
 def _sql_run(n: int, chosen: str) -> str:
@@ -311,26 +311,60 @@ def _sql_run(n: int, chosen: str) -> str:
     )
 
 
-_TWO_RUNS = (
-    f"{DOCS}, {WINDOW_UNITS}, {SEMANTIC}, sizes AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS turn FROM "
-    "(SELECT d.file_name AS path, d.folder, d.folder_ord, count(*) AS n, sum(strlen(c.chunk))::BIGINT AS bytes "
-    "FROM chunks c JOIN docs d USING (doc_id) GROUP BY ALL)), "
-    + _sql_run(1, "turn <= 12") + ", " + _sql_run(2, "turn > 12 AND turn <= 24")
-    + ", both_runs AS (SELECT path, shard FROM run1 UNION ALL SELECT path, shard + (SELECT max(shard) + 1 FROM run1) FROM run2)"
-)
+def _two_runs_sql(first: str, second: str) -> str:
+    return (
+        f"{DOCS}, {WINDOW_UNITS}, {SEMANTIC}, sizes AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS turn FROM "
+        "(SELECT d.file_name AS path, d.folder, d.folder_ord, count(*) AS n, sum(strlen(c.chunk))::BIGINT AS bytes "
+        "FROM chunks c JOIN docs d USING (doc_id) GROUP BY ALL)), "
+        + _sql_run(1, first) + ", " + _sql_run(2, second)
+        + ", both_runs AS (SELECT path, shard FROM run1 UNION ALL SELECT path, shard + (SELECT max(shard) + 1 FROM run1) FROM run2)"
+    )
+
+
+_TWO_RUNS = _two_runs_sql("turn <= 12", "turn > 12 AND turn <= 24")
+_OVERLAP = _two_runs_sql("folder_ord >= 3", "folder_ord < 3")
 
 
 @query("corpus_two_runs", f"WITH RECURSIVE {_TWO_RUNS} SELECT b.shard::INT AS shard, count(*) AS files, sum(s.n)::BIGINT AS chunks, "
                           "sum(s.bytes)::BIGINT AS bytes FROM both_runs b JOIN sizes s USING (path) GROUP BY b.shard")
 def corpus_two_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Limits are the feature here: the second run must go on where the first one stopped, in files and in shard numbers."""
-    out, _ = two_runs(spark, sf, docs, 12)
-    return read_dataset(spark, out).groupBy("shard").agg(
+    return shard_sums(read_release(spark, two_runs(spark, sf, docs, 12)))
+
+
+def shard_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("shard").agg(
         F.count_distinct("file_name").alias("files"), F.count("*").alias("chunks"),
         F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes"),
     )
 
 
+def overlapping_runs(spark: SparkSession, sf: str) -> str:
+    """Two builds that overlap in time and in files: the first takes folders 0 to 5 and is still at work when the second takes
+    folders 3 to 9 and publishes; then the first publishes what is left for it."""
+    out, files, rows = scratch_path(spark, "corpus"), manifest(spark, sf).drop("doc_id"), docs(spark, sf)
+    options = BuildOptions(shard_bytes=SHARD_BYTES, bounded=False)
+    slow = prepare(spark, files.where("folder_ord < 6"), rows, out, options)
+    build_corpus(spark, files.where("folder_ord >= 3"), rows, out, options)
+    publish_run(spark, slow, out)
+    return out
+
+
+@query("corpus_overlapping_runs", f"WITH RECURSIVE {_OVERLAP} SELECT b.shard::INT AS shard, count(*) AS files, sum(s.n)::BIGINT AS chunks, "
+                                  "sum(s.bytes)::BIGINT AS bytes FROM both_runs b JOIN sizes s USING (path) GROUP BY b.shard")
+def corpus_overlapping_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_sums(read_release(spark, overlapping_runs(spark, sf)))
+
+
+@query("agg_run_counters", f"WITH RECURSIVE {_OVERLAP}, named AS (SELECT 1 AS version, path, shard FROM run1 UNION ALL SELECT 2, path, "
+                           "shard + (SELECT max(shard) + 1 FROM run1) FROM run2) SELECT version::INT AS version, min(shard)::INT AS base, "
+                           "count(DISTINCT shard)::INT AS shards, count(*) AS done, 0::BIGINT AS empty, 0::BIGINT AS failed, "
+                           "sum(s.n)::BIGINT AS chunks, sum(s.bytes)::BIGINT AS bytes FROM named JOIN sizes s USING (path) GROUP BY version")
+def agg_run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of each run as its commit holds them."""
+    return history(spark, overlapping_runs(spark, sf)).drop("run")
+
+
 def blanked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents; those labelled low in quality have only white space."""
     low = src.table(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(True).alias("low")).distinct()
@@ -343,8 +377,7 @@ def blanked(spark: SparkSession, sf: str) -> DataFrame:
                            "CASE WHEN doc_id IN (SELECT doc_id FROM low) THEN 'empty' ELSE 'done' END AS status FROM turns WHERE turn <= 24")
 def ckpt_empty_files(spark: SparkSession, sf: str) -> DataFrame:
     """Blank files are finished once; the second limited run gets to new files."""
-    _, ledger = two_runs(spark, sf, blanked, 12)
-    return read_ledger(spark, ledger).select("path", "status")
+    return entries(spark, two_runs(spark, sf, blanked, 12)).select("path", "status")
 
 
 _ALL_FILES = (
@@ -357,7 +390,7 @@ _ALL_FILES = (
                           "FROM run1 r JOIN sizes s USING (path)")
 def src_files_build(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as one text file each, then listed, read and built."""
-    root, out, ledger = (scratch_path(spark, name) for name in ("files", "corpus", "ledger"))
+    root, out = (scratch_path(spark, name) for name in ("files", "corpus"))
     rows = docs(spark, sf).select("folder", "doc_id", "text")
     rows.write.partitionBy("folder", "doc_id").text(root)
     names = [r["folder"] for r in folder_inventory(manifest(spark, sf).select("folder", "bytes")).select("folder").collect()]
@@ -368,8 +401,8 @@ def src_files_build(spark: SparkSession, sf: str) -> DataFrame:
 
     files = list_files(spark, root, folders, "*.txt", folder_of)
     texts = read_text_files(spark, root, folders, "*.txt", folder_of)
-    build_corpus(spark, files, texts, out, ledger, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
+    build_corpus(spark, files, texts, out, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
     number = F.regexp_extract("file_name", "/doc_id=([0-9]+)/", 1).cast("long")
-    return read_dataset(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
+    return read_release(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
         F.count("*").alias("chunks"), F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes")
     )

@@ -14,8 +14,8 @@ from corpusloom.operators.packing import global_numbers, pack
 from corpusloom.operators.semantic import semantic_chunks
 from corpusloom.operators.splitting import node_id
 from corpusloom.session import materialize
-from corpusloom.sources.ledger import append_ledger, failed, latest, next_shard, read_ledger, unprocessed
-from corpusloom.sources.shards import write_shards
+from corpusloom.sources.ledger import done, failed, latest, unprocessed
+from corpusloom.sources.releases import commit, entries, head, history, write_run
 
 
 @dataclass(frozen=True)
@@ -50,43 +50,73 @@ def chunk_table(docs: DataFrame, options: BuildOptions) -> DataFrame:
     )
 
 
-def build_corpus(spark: SparkSession, manifest: DataFrame, docs: DataFrame, out: str, ledger_path: str,
-                 options: BuildOptions = BuildOptions()) -> None:
-    """One resumable run.
+@dataclass(frozen=True)
+class Pending:
+    """Chunks of a run that is not published yet, and the version whose ledger it started from."""
 
-    Shards are numbered after those the ledger knows, unless ``base_shard`` is given; a base that would replace a published
-    shard is refused. Order of effects: shards first, ledger last. A crash in between repeats the same shards (their numbers
-    follow from ledger and data) and then completes the ledger.
-    """
-    # The ledger grows only at the end of a run, so all readings below see the same rows.
-    ledger = read_ledger(spark, ledger_path)
+    chunks: DataFrame
+    version: int
+    options: BuildOptions
+
+
+def prepare(spark: SparkSession, manifest: DataFrame, docs: DataFrame, out: str, options: BuildOptions = BuildOptions()) -> Pending:
+    """Admit files that no published run has finished, and chunk them."""
+    version, _ = head(spark, out)
+    ledger = entries(spark, out, version)
     todo = admit(unprocessed(manifest, ledger), options.per_folder, options.total, failed(ledger))
     wanted = docs.join(todo.select(F.col("path").alias("file_name")), "file_name", "left_semi")
     # Chunks are used twice (sizes, then rows), so they are computed once and written.
-    chunks = materialize(chunk_table(wanted, options), "chunks")
+    return Pending(materialize(chunk_table(wanted, options), "chunks"), version, options)
+
+
+def publish(spark: SparkSession, pending: Pending, out: str) -> int | None:
+    """Pack, write and commit a prepared run; its version, or None if other runs have finished all its files.
+
+    Runs may overlap in time and in files. If another run commits first, files that it finished are left out here (the rest is
+    packed anew), and shards are numbered after its own.
+    """
+    chunks, seen, run = pending.chunks, pending.version, None
+    while True:
+        version, following = head(spark, out)
+        if version > seen:
+            finished = done(entries(spark, out, version, after=seen))
+            if not chunks.join(finished, "path", "left_semi").isEmpty():
+                chunks, run = chunks.join(finished, "path", "left_anti"), None
+            seen = version
+        run = run or _write(chunks, out, pending.options)
+        if not run["done"] + run["empty"] + run["failed"]:
+            return None
+        base = following if pending.options.base_shard is None else pending.options.base_shard
+        _refuse_collision(spark, out, base, run["shards"])
+        if commit(spark, out, version + 1, run, base):
+            return version + 1
+
+
+def build_corpus(spark: SparkSession, manifest: DataFrame, docs: DataFrame, out: str, options: BuildOptions = BuildOptions()) -> int | None:
+    """One resumable run; the version it published, if there was anything to do.
+
+    Shards are numbered after the published ones, unless ``base_shard`` is given; a base that would replace a published
+    shard is refused. Shards, ledger and counters become visible by one commit. What a crash leaves behind is never read,
+    and the next run starts from the last commit.
+    """
+    return publish(spark, prepare(spark, manifest, docs, out, options), out)
+
+
+def _write(chunks: DataFrame, out: str, options: BuildOptions) -> dict:
     published = chunks.where("status = 'done'")
     sizes = published.groupBy("path", "folder", "folder_ord").agg(F.sum("bytes").alias("bytes"))
     packed = global_numbers(pack(sizes, options.shard_bytes, "folder"), "folder", "folder_ord")
     packed = materialize(packed.select("path", "shard"), "packed")
-    base = next_shard(ledger) if options.base_shard is None else options.base_shard
-    _refuse_collision(ledger, packed, base)
     rows = published.join(packed, "path").select("text", "file_name", "node_id", "shard")
-    write_shards(rows, out, base=base)
-    finished = packed.select(
-        "path", (F.col("shard") + base).cast("int").alias("shard"),
-        F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"),
-    )
+    finished = packed.select("path", "shard", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"))
     others = chunks.where("status <> 'done'").select("path", F.lit(None).cast("int").alias("shard"), "status", "error")
-    append_ledger(finished.unionByName(others), ledger_path)
+    return write_run(rows, finished.unionByName(others), out)
 
 
-def _refuse_collision(ledger: DataFrame, packed: DataFrame, base: int) -> None:
-    last = packed.agg(F.max("shard").alias("last")).first()["last"]
-    if last is None:
-        return
-    taken = ledger.where((F.col("status") == "done") & F.col("shard").between(base, base + last))
+def _refuse_collision(spark: SparkSession, out: str, base: int, shards: int) -> None:
+    taken = history(spark, out).where((F.col("base") < base + shards) & (F.col("base") + F.col("shards") > base))
     if not taken.isEmpty():
-        raise ValueError(f"shards {base} to {base + last} would replace published ones")
+        raise ValueError(f"shards {base} to {base + shards - 1} would replace published ones")
 
 
 def run_summary(manifest: DataFrame, ledger: DataFrame) -> DataFrame:

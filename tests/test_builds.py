@@ -7,8 +7,7 @@ from corpusloom.operators import semantic
 from corpusloom.plans.corpus_build import BuildOptions, build_corpus, run_summary
 from corpusloom.plans.instruction_build import build_instructions
 from corpusloom.session import scratch_path
-from corpusloom.sources.ledger import read_ledger
-from corpusloom.sources.shards import read_dataset
+from corpusloom.sources.releases import entries, read_release
 
 
 def corpus(spark, texts):
@@ -22,7 +21,7 @@ def corpus(spark, texts):
 
 def test_failed_file_is_retried_and_rows_land_once(spark):
     docs, manifest = corpus(spark, [("A", 0, "One. Two."), ("A", 0, "poison pill."), ("B", 1, "Three. Four. Five.")])
-    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
+    out = scratch_path(spark, "t-out")
 
     def picky(units):
         if any("poison" in u for u in units):
@@ -30,56 +29,56 @@ def test_failed_file_is_retried_and_rows_land_once(spark):
         return semantic.bag_distances(units)
 
     first = BuildOptions(shard_bytes=10, unit_mode="sentence", bounded=False, assign=semantic.chunk_starts(picky))
-    build_corpus(spark, manifest, docs, out, ledger, first)
-    status = {r.path: r.status for r in read_ledger(spark, ledger).collect()}
+    build_corpus(spark, manifest, docs, out, first)
+    status = {r.path: r.status for r in entries(spark, out).collect()}
     assert status == {"pdf/A/0": "done", "pdf/A/1": "failed", "pdf/B/2": "done"}
-    failed = read_ledger(spark, ledger).where("status = 'failed'").first()
+    failed = entries(spark, out).where("status = 'failed'").first()
     assert failed.error == "ValueError: bad" and failed.shard is None
-    before = read_dataset(spark, out).count()
+    before = read_release(spark, out).count()
 
     second = BuildOptions(shard_bytes=10, unit_mode="sentence", bounded=False, base_shard=10)
-    build_corpus(spark, manifest, docs, out, ledger, second)
-    added = read_dataset(spark, out).where("shard >= 10")
+    build_corpus(spark, manifest, docs, out, second)
+    added = read_release(spark, out).where("shard >= 10")
     assert {r.file_name for r in added.collect()} == {"pdf/A/1"}
-    assert read_dataset(spark, out).where("shard < 10").count() == before
-    rows = read_dataset(spark, out)
+    assert read_release(spark, out).where("shard < 10").count() == before
+    rows = read_release(spark, out)
     assert rows.count() == rows.select("node_id").distinct().count()
     assert rows.groupBy("file_name").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
 
-    build_corpus(spark, manifest, docs, out, ledger, second)
-    assert read_dataset(spark, out).count() == rows.count()
-    assert {r.status for r in read_ledger(spark, ledger).where("shard = 10").collect()} == {"done"}
+    build_corpus(spark, manifest, docs, out, second)
+    assert read_release(spark, out).count() == rows.count()
+    assert {r.status for r in entries(spark, out).where("shard = 10").collect()} == {"done"}
 
 
 def test_limits_ignore_finished_files(spark):
     docs, manifest = corpus(spark, [("A", 0, f"text {i}.") for i in range(4)])
-    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
+    out = scratch_path(spark, "t-out")
     for run in range(2):
-        build_corpus(spark, manifest, docs, out, ledger, BuildOptions(per_folder=2, base_shard=run))
-        assert read_ledger(spark, ledger).count() == 2 * (run + 1)
-    counts = {r.status: r.files for r in run_summary(manifest, read_ledger(spark, ledger)).collect()}
+        build_corpus(spark, manifest, docs, out, BuildOptions(per_folder=2, base_shard=run))
+        assert entries(spark, out).count() == 2 * (run + 1)
+    counts = {r.status: r.files for r in run_summary(manifest, entries(spark, out)).collect()}
     assert counts == {"done": 4}
 
 
 def test_second_default_run_adds_shards(spark):
     docs, manifest = corpus(spark, [("A", 0, f"text {i}.") for i in range(6)])
-    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
+    out = scratch_path(spark, "t-out")
     for run in range(3):
-        build_corpus(spark, manifest, docs, out, ledger, BuildOptions(shard_bytes=8, total=2))
-    published = read_dataset(spark, out).select(F.col("file_name").alias("path"), "shard").distinct()
-    entries = read_ledger(spark, ledger).select("path", "shard")
-    assert published.count() == entries.count() == 6
-    assert published.exceptAll(entries).count() == entries.exceptAll(published).count() == 0
+        build_corpus(spark, manifest, docs, out, BuildOptions(shard_bytes=8, total=2))
+    published = read_release(spark, out).select(F.col("file_name").alias("path"), "shard").distinct()
+    listed = entries(spark, out).select("path", "shard")
+    assert published.count() == listed.count() == 6
+    assert published.exceptAll(listed).count() == listed.exceptAll(published).count() == 0
     more, _ = corpus(spark, [("A", 0, f"text {i}.") for i in range(7)])
     with pytest.raises(ValueError, match="replace published"):
-        build_corpus(spark, manifest.unionByName(manifest.limit(1).withColumn("path", F.lit("pdf/A/6"))), more, out, ledger,
+        build_corpus(spark, manifest.unionByName(manifest.limit(1).withColumn("path", F.lit("pdf/A/6"))), more, out,
                      BuildOptions(base_shard=1))
-    assert read_dataset(spark, out).count() == 6
+    assert read_release(spark, out).count() == 6
 
 
 def test_blank_files_are_finished_and_failed_ones_come_last(spark):
     docs, manifest = corpus(spark, [("A", 0, " "), ("A", 0, "poison here."), ("A", 0, "good."), ("A", 0, "better.")])
-    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
+    out = scratch_path(spark, "t-out")
 
     def picky(units):
         if any("poison" in u for u in units):
@@ -88,18 +87,18 @@ def test_blank_files_are_finished_and_failed_ones_come_last(spark):
 
     options = BuildOptions(total=1, unit_mode="sentence", bounded=False, assign=semantic.chunk_starts(picky))
     for _ in range(5):
-        build_corpus(spark, manifest, docs, out, ledger, options)
-    rows = [(r.path[-1], r.status) for r in read_ledger(spark, ledger).collect()]
+        build_corpus(spark, manifest, docs, out, options)
+    rows = [(r.path[-1], r.status) for r in entries(spark, out).collect()]
     assert sorted(rows) == [("0", "empty"), ("1", "failed"), ("1", "failed"), ("2", "done"), ("3", "done")]
-    assert {r.status: r.files for r in run_summary(manifest, read_ledger(spark, ledger)).collect()} == {"done": 2, "empty": 1, "failed": 1}
+    assert {r.status: r.files for r in run_summary(manifest, entries(spark, out)).collect()} == {"done": 2, "empty": 1, "failed": 1}
 
 
 def test_hot_folder_keeps_every_row(spark):
     texts = [("hot" if i % 3 == 0 else f"f{i}", i, f"w{i} " * (i % 7 + 1)) for i in range(300)]
     docs, manifest = corpus(spark, texts)
-    out, ledger = scratch_path(spark, "t-out"), scratch_path(spark, "t-led")
-    build_corpus(spark, manifest, docs, out, ledger, BuildOptions(shard_bytes=60))
-    rows = read_dataset(spark, out)
+    out = scratch_path(spark, "t-out")
+    build_corpus(spark, manifest, docs, out, BuildOptions(shard_bytes=60))
+    rows = read_release(spark, out)
     assert rows.select("file_name").distinct().count() == 300
     over = rows.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.countDistinct("file_name").alias("n"))
     assert over.where("b > 60 and n > 1").count() == 0
