@@ -5,19 +5,21 @@ empty and the file would push it over the limit. A folder may hold billions of
 files, so it is cut into blocks in listing order:
 
 1. ``_block_effect``: per block, what it does to *any* incoming fill level. The
-   answer only depends on where the first break falls. Break sequences merge quickly
-   if shards are smaller than blocks, so a handful of intervals describes a block; if
-   a shard is larger than a block, every file may be an interval of its own;
-2. ``_chain``: per folder, stream through the intervals in order. This step is
-   sequential by the rule itself; it holds one block's intervals at a time;
-3. ``_number_block``: per block, number the files from the known starting level.
+   answer only depends on where the first break falls: a list of intervals of
+   levels, and what happens to a level that passes without a break;
+2. ``_compose``: the effects of ``FAN`` neighbours become that of their union, round by
+   round, until one is left per folder. An effect has no more intervals than a shard
+   has files, as the first break falls within the first ``limit`` bytes;
+3. ``_hand_down``: from the top, each group tells its members their starting levels;
+4. ``_number_block``: per block, number the files from the known starting level.
 
 Only ids and sizes travel; text never does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.plans.ranking import sorted_positions
+from corpusloom.session import materialize
 
 BLOCK_ROWS = 100_000
 _BLOCK = ["_scope", "_part", "_blk"]
-_EFFECT = "_scope string, _part long, _blk long, row long, above long, breaks long, after long"
+#: Neighbouring effects that a task composes.
+FAN = 8
+_EFFECT = "above binary, breaks binary, after binary, zero_breaks long, zero_after long, total long"
+_NODE = f"_scope string, _node long, {_EFFECT}"
+_START = "_scope string, _node long, _level long, _shard long"
+
+
+@dataclass
+class Effect:
+    """What a run of files does to the fill level of the shard before it.
+
+    A level above ``above[k]`` (falling), and not above the bound before, sees ``breaks[k]`` breaks and leaves ``after[k]``; a level
+    at or below all bounds grows by ``total``. An empty shard is a case of its own, as it never breaks at once.
+    """
+
+    above: np.ndarray
+    breaks: np.ndarray
+    after: np.ndarray
+    zero_breaks: int
+    zero_after: int
+    total: int
+
+    def __call__(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(-self.above, -level, side="right")
+        known = at < len(self.above)
+        breaks, after = np.zeros_like(level), level + self.total
+        breaks[known], after[known] = self.breaks[at[known]], self.after[at[known]]
+        empty = level == 0
+        breaks[empty], after[empty] = self.zero_breaks, self.zero_after
+        return breaks, after
+
+    def then(self, other: Effect) -> Effect:
+        more, after = other(self.after)
+        # Levels that pass here without a break arrive at the other side larger by the total.
+        bound = other.above - self.total
+        reached = bound < self.above[-1] if len(self.above) else np.ones(len(bound), bool)
+        above, breaks, after = (
+            np.concatenate(pair) for pair in (
+                (self.above, bound[reached]), (self.breaks + more, other.breaks[reached]), (after, other.after[reached]),
+            )
+        )
+        # What follows a bound that every level is above is never reached; neighbours of the same effect are one interval.
+        some = slice(0, int(np.append(above <= 0, True).argmax()) + 1)
+        above, breaks, after = above[some], breaks[some], after[some]
+        last = np.ones(len(above), bool)
+        last[:-1] = (breaks[1:] != breaks[:-1]) | (after[1:] != after[:-1])
+        zero_more, zero_after = (int(x[0]) for x in other(np.array([self.zero_after])))
+        return Effect(above[last], breaks[last], after[last], self.zero_breaks + zero_more, zero_after, self.total + other.total)
+
+    def row(self) -> dict:
+        arrays = {k: getattr(self, k).astype(np.int64).tobytes() for k in ("above", "breaks", "after")}
+        return arrays | {"zero_breaks": self.zero_breaks, "zero_after": self.zero_after, "total": self.total}
+
+    @staticmethod
+    def of(row) -> Effect:
+        arrays = (np.frombuffer(x, np.int64) for x in (row.above, row.breaks, row.after))
+        return Effect(*arrays, int(row.zero_breaks), int(row.zero_after), int(row.total))
 
 
 def _breaks(sums: np.ndarray, limit: int) -> np.ndarray:
@@ -52,8 +111,7 @@ def _first_break(sums: np.ndarray, level: int, limit: int) -> int:
     return min(at, len(sums) - 1)
 
 
-def _block_effect(sizes: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int], int, int, int]:
-    """Intervals ``(level >, breaks, fill after)``, effect on an empty level, and block size."""
+def _block_effect(sizes: np.ndarray, limit: int) -> Effect:
     sums = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     n = len(sizes)
     following = _breaks(sums, limit)
@@ -78,48 +136,35 @@ def _block_effect(sizes: np.ndarray, limit: int) -> tuple[list[int], list[int],
             above.append(bound)
             breaks.append(effect[0])
             after.append(effect[1])
-    return above, breaks, after, zero[0], zero[1], total
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fill level and shard at the start of each block, over intervals sorted by scope, block and row."""
-    scope, level, shard = None, 0, 0
-    held: list[pd.DataFrame] = []
-
-    def close() -> tuple | None:
-        nonlocal scope, level, shard
-        if not held:
-            return None
-        block = pd.concat(held)
-        head = (block["_scope"].iloc[0], int(block["_part"].iloc[0]), int(block["_blk"].iloc[0]))
-        if head[0] != scope:
-            scope, level, shard = head[0], 0, 0
-        start = (*head, level, shard)
-        above, breaks, after = (block[c].to_numpy() for c in ("above", "breaks", "after"))
-        if level == 0:
-            at = 0
-        else:
-            # The first break moves forward as the level falls: bounds are descending.
-            at = 1 + int(np.searchsorted(-above[1:], -level, side="right"))
-        if at < len(above):
-            shard, level = shard + int(breaks[at]), int(after[at])
-        else:
-            level += int(above[0])
-        held.clear()
-        return start
-
-    for batch in batches:
-        edges = [0, *np.flatnonzero(batch["row"].to_numpy() == 0), len(batch)]
-        rows = []
-        for first, stop in zip(edges, edges[1:]):
-            part = batch.iloc[first:stop]
-            if len(part):
-                if part["row"].iloc[0] == 0:
-                    rows.append(close())
-                held.append(part)
-        yield pd.DataFrame([r for r in rows if r], columns=[*_BLOCK, "_level", "_shard"])
-    last = close()
-    yield pd.DataFrame([last] if last else [], columns=[*_BLOCK, "_level", "_shard"])
+    arrays = (np.array(x, np.int64) for x in (above, breaks, after))
+    return Effect(*arrays, zero[0], zero[1], total)
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    joint = functools.reduce(Effect.then, map(Effect.of, pdf.sort_values("_node").itertuples()))
+    return pd.DataFrame([{"_scope": pdf["_scope"].iloc[0], "_node": int(pdf["_node"].min()) // FAN, **joint.row()}])
+
+
+def _hand_down(key: tuple, members: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    level, shard = int(start["_level"].iloc[0]), int(start["_shard"].iloc[0])
+    members, out = members.sort_values("_node"), []
+    for node, row in zip(members["_node"], members.itertuples(), strict=True):
+        out.append((key[0], int(node), level, shard))
+        breaks, after = Effect.of(row)(np.array([level]))
+        level, shard = int(after[0]), shard + int(breaks[0])
+    return pd.DataFrame(out, columns=["_scope", "_node", "_level", "_shard"])
+
+
+def _starts(effects: DataFrame, nodes: int) -> DataFrame:
+    """Fill level and shard at the start of each node, from effects of up to ``nodes`` nodes a scope (numbered from 0)."""
+    if nodes <= 1:
+        return effects.select("_scope", "_node", F.lit(0).cast("long").alias("_level"), F.lit(0).cast("long").alias("_shard"))
+    effects = materialize(effects, "effects")
+    parent = F.floor(F.col("_node") / FAN).cast("long").alias("_parent")
+    joint = effects.groupBy("_scope", parent).applyInPandas(_compose, _NODE)
+    above = _starts(joint, -(-nodes // FAN)).withColumnRenamed("_node", "_parent")
+    members = effects.withColumn("_parent", parent).groupBy("_scope", "_parent")
+    return members.cogroup(above.groupBy("_scope", "_parent")).applyInPandas(_hand_down, _START)
 
 
 def _number_block(sizes: np.ndarray, level: int, shard: int, limit: int) -> np.ndarray:
@@ -140,20 +185,19 @@ def pack(files: DataFrame, limit: int, scope: str | None = "folder", order: tupl
     placed = sorted_positions(files.withColumn("_scope", key), ["_scope"], list(order))
     placed = placed.withColumn("_blk", F.floor(F.col("_at") / block_rows).cast("long"))
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        above, breaks, after, zero_breaks, zero_after, total = _block_effect(pdf[size].to_numpy(), limit)
-        head = pdf.iloc[0]
-        # The first row is the block itself: its size, and what it does to an empty level.
-        return pd.DataFrame({
-            "_scope": head["_scope"], "_part": head["_part"], "_blk": head["_blk"], "row": np.arange(len(above) + 1),
-            "above": np.array([total, *above], np.int64), "breaks": np.array([zero_breaks, *breaks], np.int64),
-            "after": np.array([zero_after, *after], np.int64),
-        })
-
-    effects = placed.select(*_BLOCK, "_at", size).groupBy(*_BLOCK).applyInPandas(summarize, _EFFECT)
-    ordered = effects.repartition("_scope").sortWithinPartitions(*_BLOCK, "row")
-    starts = ordered.mapInPandas(_chain, "_scope string, _part long, _blk long, _level long, _shard long")
+    # A row for each block_rows files: numbering them is no work.
+    order_of = Window.partitionBy("_scope").orderBy("_part", "_blk")
+    blocks = placed.select(*_BLOCK).distinct().withColumn("_node", (F.row_number().over(order_of) - 1).cast("long"))
+    blocks = materialize(blocks, "blocks")
+    most = blocks.agg(F.coalesce(F.max("_node"), F.lit(-1)).alias("n")).first()["n"] + 1
+    numbered_blocks = placed.join(blocks, _BLOCK)
+
+    def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values("_at")[size].to_numpy()
+        return pd.DataFrame([{"_scope": key[0], "_node": key[1], **_block_effect(sizes, limit).row()}])
+
+    effects = numbered_blocks.select("_scope", "_node", "_at", size).groupBy("_scope", "_node").applyInPandas(summarize, _NODE)
+    starts = _starts(effects, most).join(blocks, ["_scope", "_node"])
 
     schema = T.StructType([*placed.schema.fields, T.StructField("shard", T.IntegerType())])
 

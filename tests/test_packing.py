@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators.admission import admit, assign_batches
-from corpusloom.operators.packing import global_numbers, pack, packing_summary
+from corpusloom.operators.packing import Effect, _block_effect, global_numbers, pack, packing_summary
 from corpusloom.plans.ranking import with_rank
 
 
@@ -53,6 +54,56 @@ def test_shards_larger_than_blocks(spark):
     assert got == {f: greedy(s, 20_000) for f, s in sizes.items()}
 
 
+def test_one_scope_over_several_rounds_of_composition(spark):
+    """More blocks than a task composes at once, in two rounds and more; shards of less and of more than a block."""
+    rng = random.Random(9)
+    sizes = [rng.choice([0, 2, 9, rng.randint(0, 60), 500]) for _ in range(1400)]
+    for limit, rows in ((80, 10), (3000, 7), (10**9, 9)):
+        packed = pack(files(spark, {"a": sizes}), limit, scope=None, block_rows=rows)
+        assert [r.shard for r in packed.orderBy("path").collect()] == greedy(sizes, limit)
+
+
+def fill(sizes, level, limit):
+    breaks = 0
+    for n in sizes:
+        if level > 0 and level + n > limit:
+            breaks, level = breaks + 1, n
+        else:
+            level += n
+    return breaks, level
+
+
+def test_composed_effects_equal_the_rule():
+    """Every level through effects of runs and of their compositions; no more intervals than a shard has files."""
+    rng = random.Random(12)
+    for turn in range(60):
+        limit = rng.choice([7, 30, 200])
+        parts = [[rng.choice([0, 0, 1, 3, rng.randint(0, 40)]) for _ in range(rng.randint(1, 25))] for _ in range(5)]
+        whole, joint = [], None
+        for part in parts:
+            whole += part
+            effect = _block_effect(np.array(part), limit)
+            joint = effect if joint is None else joint.then(effect)
+            levels = np.arange(0, 2 * limit + 50)
+            got = list(zip(*(x.tolist() for x in joint(levels))))
+            assert got == [fill(whole, int(level), limit) for level in levels]
+            sums = np.cumsum(whole)
+            assert len(joint.above) <= 1 + int((sums <= limit).sum()) + 1
+            assert Effect.of(type("Row", (), joint.row()))(levels)[1].tolist() == [after for _, after in got]
+
+
+def test_effects_stay_small_for_large_shards():
+    """Shards of many blocks: an effect never has more intervals than the files before its first break."""
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(1, 100, 1000) for _ in range(64)]
+    limit = 10 * int(parts[0].sum())
+    joint, most = _block_effect(parts[0], limit), 0
+    for part in parts[1:]:
+        joint = joint.then(_block_effect(part, limit))
+        most = max(most, len(joint.above))
+    assert most <= 11_000
+
+
 def test_shards_respect_the_limit(spark):
     rng = random.Random(5)
     packed = pack(files(spark, {"a": [rng.randint(1, 120) for _ in range(400)]}), 100)
