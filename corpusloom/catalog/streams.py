@@ -49,6 +49,10 @@ def _requests(spark: SparkSession, raw: DataFrame, border: int) -> DataFrame:
     raw.where(F.col("turn") < border).repartition(4).write.mode("append").parquet(landing)
     raw.where(F.col("turn") >= border).repartition(4).write.mode("append").parquet(landing)
     chat_state.run(spark, landing, raw.schema, out, offsets, files_per_batch=4).awaitTermination()
+    return _payloads(spark, out)
+
+
+def _payloads(spark: SparkSession, out: str) -> DataFrame:
     messages = F.from_json("messages", "array<struct<role:string,content:string>>")
     return spark.read.schema(chat_state.OUTPUT).parquet(out).select(
         "conv_id", "turn", "n_messages", "context_tokens", "status", chat_payload(messages, F.lit(MODEL)).alias("payload")
@@ -68,3 +72,13 @@ def str_chat_reset(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.lit(7).cast("long").alias("turn"), F.lit(chat_state.RESET).alias("role"), F.lit("").alias("text")
     )
     return _requests(spark, doubled.unionByName(marks), 6).withColumn("turn", F.expr("turn div 2"))
+
+
+@query("str_chat_shuffled", _sql_state("0"))
+def str_chat_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that arrive in any order, over several batches, give the requests of the ordered conversation."""
+    landing, out, offsets = (scratch_path(spark, name) for name in ("turns", "requests", "offsets"))
+    raw = turns(spark, sf).select("conv_id", "turn", "role", "text")
+    raw.repartition(6, F.xxhash64("turn", "conv_id")).write.parquet(landing)
+    chat_state.run(spark, landing, raw.schema, out, offsets, files_per_batch=2, patience_ms=3_600_000).awaitTermination()
+    return _payloads(spark, out)
