@@ -10,8 +10,9 @@ share a key (the argument is in :func:`keys_of`). Tokens that nobody else has in
 The number of cells grows with a document's size class; a document whose partners may be of the next class has keys in both.
 
 Documents that share a key are linked without listing all pairs of a group: each is verified against one hub a key; where
-components still differ, those outside a key's main component meet the others in blocks, and pairs whose prefixes and whose
-shingles without any other owner allow the threshold are verified on full sets. All bounds are exact.
+components still differ, those outside a key's main component meet the others in blocks: first each verifies its best partner,
+then all pairs that are left. Only pairs that their prefixes (and shingles without any other owner) allow are verified on full
+sets. All bounds are exact.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ SAMPLE = 64
 #: Rows of a block, and pairs of one hub in a task.
 BLOCK = 1024
 HUB_PAIRS = 4096
+#: Keys of more nodes than this are merged with others of nearly the same nodes.
+MERGE = 64
+#: Sets of up to this size are compared whole, in 16 bits a token, within keys of many nodes.
+WHOLE = 4096
+NO_END = (1 << 63) - 1
+#: Bits of the bitmap that keeps texts out of a join (8 MB, whatever the size of the corpus).
+BITMAP_BITS = 1 << 26
 
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -59,7 +67,7 @@ def size_classes(n: int) -> list[int]:
 
 def cells(size_class: int) -> int:
     """Cells of each frequent class; without any, all tokens are keys by themselves."""
-    return needed(1 << size_class) // 3 if size_class > 5 else 0
+    return needed(1 << size_class) // 4 if size_class > 5 else 0
 
 
 def prefix_length(n: int) -> int:
@@ -218,112 +226,177 @@ def _linked(a, left, b, right):
     return [a[i] for i in stay], [b[i] for i in stay]
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
-    """``pairs`` with the full set of one end; a node with very many pairs is dealt over several tasks."""
+def _with(pairs: DataFrame, table: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
+    """``pairs`` with columns of ``table`` for one end; a node with very many pairs is dealt over several tasks."""
     many = pairs.groupBy(end).agg(F.ceil(F.count("*") / HUB_PAIRS).alias("salts")).where("salts > 1")
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     dealt = pairs.join(many, end, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
-    copies = sets.select(F.col("node").alias(end), F.col("shingles").alias(name)).join(many, end, "left")
-    return dealt.join(
-        copies.select(end, name, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")), [end, "salt"]
-    ).drop("salt")
+    copies = table.select(F.col("node").alias(end), *(F.col(k).alias(v) for k, v in names.items())).join(many, end, "left")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+    return dealt.join(copies.select(end, *names.values(), every), [end, "salt"]).drop("salt")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that reach the threshold on their full sets."""
-    both = _with_set(_with_set(materialize(pairs, "pairs"), sets, "a", "left"), sets, "b", "right")
+    """Pairs ``(a, b)`` of a written table that reach the threshold on their full sets."""
+    both = _with(_with(pairs, sets, "a", {"shingles": "left"}), sets, "b", {"shingles": "right"})
     return map_batches(both.select("a", "left", "b", "right"), "a bigint, b bigint", _linked)
 
 
 def _set_rows(nodes, texts):
     sets = [shingle_set(text) for text in texts]
     good = [i for i, s in enumerate(sets) if len(s) and _node(s) == nodes[i]]
-    return (
-        [nodes[i] for i in good], [sets[i].tobytes() for i in good], [len(sets[i]) for i in good],
-        [8 * prefix_length(len(sets[i])) for i in good],
-    )
+    return [nodes[i] for i in good], [sets[i].tobytes() for i in good]
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, shingles, size, prefix_bytes)`` from one text for each of ``wanted(node, id, text_hash)``."""
+    """``(node, shingles)`` from one text for each of ``wanted(node, id, text_hash)``.
+
+    Most texts are not wanted; a bitmap of fixed size keeps nearly all of these out of the join.
+    """
+    wanted = wanted.withColumn("id", F.coalesce("id", F.lit(0)))
+    bit = F.pmod(F.xxhash64("id", "text_hash"), F.lit(BITMAP_BITS)) + 1
+    bitmaps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    )
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = wanted.withColumn("id", F.coalesce("id", F.lit(0))).join(keyed, ["id", "text_hash"])
+    tried = keyed.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bitmaps), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))")) != 0
+    found = wanted.join(tried.where(hit).select("id", "text_hash", "text"), ["id", "text_hash"])
     once = found.dropDuplicates(["id", "text_hash", "node"]).select("node", "text")
-    return map_batches(once, "node bigint, shingles binary, size bigint, prefix_bytes int", _set_rows)
+    return map_batches(once, "node bigint, shingles binary", _set_rows)
+
+
+def _short(nodes, sizes, prefixes):
+    """Prefixes in 16 bits a token, which can only make more tokens look shared, and where they end; a whole set has no end."""
+    tokens = [np.frombuffer(p, _U) for p in prefixes]
+    ends = [int(t[-1] >> _U(1)) if len(t) < n else NO_END for t, n in zip(tokens, sizes, strict=True)]
+    return nodes, sizes, ends, [t.astype(np.uint16).tobytes() for t in tokens]
+
+
+def _whole(nodes, sets):
+    sets = [np.frombuffer(s, _U) for s in sets]
+    parts = [s if len(s) <= WHOLE else s[: prefix_length(len(s))] for s in sets]
+    return _short(nodes, [len(s) for s in sets], parts)
+
+
+def _allowed(common: np.ndarray, x: tuple, y: tuple) -> np.ndarray:
+    """Whether pairs whose prefixes share ``common`` tokens may link; ``x`` and ``y`` are (size, shared size, prefix length, prefix end).
+
+    Of the set whose prefix ends first, all tokens it shares up to there are known.
+    """
+    rest = [side[0] - side[2] for side in (x, y)]
+    rest = np.where(x[3] < y[3], rest[0], np.where(x[3] > y[3], rest[1], np.maximum(*rest)))
+    most = np.minimum(np.minimum(common + rest, x[1]), y[1])
+    return (THRESHOLD[0] + THRESHOLD[1]) * most >= THRESHOLD[0] * (x[0] + y[0])
+
+
+def _prefixes_allow(a, size_a, end_a, prefix_a, b, size_b, end_b, prefix_b):
+    stay = []
+    for i in range(len(a)):
+        x, y = (np.frombuffer(p[i], np.uint16) for p in (prefix_a, prefix_b))
+        common = min(np.isin(x, y).sum(), np.isin(y, x).sum())
+        if _allowed(common, (size_a[i], size_a[i], len(x), end_a[i]), (size_b[i], size_b[i], len(y), end_b[i])):
+            stay.append(i)
+    return [a[i] for i in stay], [b[i] for i in stay]
+
+
+def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs of a written table that their prefixes allow to link."""
+    sides = [{k: f"{k}_{end}" for k in ("size", "end", "prefix")} for end in "ab"]
+    both = _with(_with(pairs, prefixes, "a", sides[0]), prefixes, "b", sides[1])
+    return map_batches(
+        both.select("a", *sides[0].values(), "b", *sides[1].values()), "a bigint, b bigint", _prefixes_allow
+    )
 
 
 class _Block:
-    """Rows of one key: some outside its main component (``x``), and part of all others they may link to."""
+    """Rows of one key: some outside its main component, and part of all others they may link to."""
 
     def __init__(self, rows: list[np.ndarray]) -> None:
-        self.node, self.label, self.size, self.shared, self.minor = rows[:5]
-        self.prefix = [np.frombuffer(p, _U) for p in rows[5]]
+        self.node, self.label, self.size, self.shared, self.minor, self.end = rows[:6]
+        self.prefix = [np.frombuffer(p, np.uint16) for p in rows[6]]
         self.length = np.array([len(p) for p in self.prefix])
-        self.end = np.array([p[-1] for p in self.prefix], _U)
 
-    def partners(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each row in ``x`` those in ``y`` of other components that prefixes and unshared shingles allow."""
+    def _side(self, at) -> tuple:
+        return self.size[at], self.shared[at], self.length[at], self.end[at]
+
+    def partners(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each row in ``x`` those in ``y`` of other components that may link, with the prefix tokens they share."""
         tokens = np.concatenate([self.prefix[j] for j in y])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], np.repeat(np.arange(len(y)), self.length[y])[order]
-        end, length, size = self.end[y], self.length[y], self.size[y]
+        theirs = self._side(y)
         for i in x:
             low, high = (np.searchsorted(tokens, self.prefix[i], side) for side in ("left", "right"))
             spans = high - low
             at = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
             common = np.bincount(owner[at], minlength=len(y))
-            # Of the set whose prefix ends first, all shared tokens up to there are known.
-            rest = np.where(end < self.end[i], size - length, self.size[i] - self.length[i])
-            most = np.minimum(np.minimum(common + rest, self.shared[y]), self.shared[i])
-            good = (THRESHOLD[0] + THRESHOLD[1]) * most >= THRESHOLD[0] * (size + self.size[i])
+            good = _allowed(common, self._side(i), theirs)
             good &= (self.label[y] != self.label[i]) & (~self.minor[y] | (self.node[y] > self.node[i]))
             if good.any():
-                yield i, y[good]
+                yield i, y[good], common[good]
 
 
-def _block_rows(pairs: bool):
-    """Over runs of (key, block, part): the pairs ``(a, b)``, or else the nodes ``a`` that have any."""
+def _block_rows(every: bool):
+    """Over runs of (key, block, part): all pairs ``(a, b)``, or the best of each row and ``(a, a)`` for whoever else has any."""
     def work(columns: list[np.ndarray]) -> list[pa.Array]:
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
         same = np.ones(len(columns[0]), bool)
+        same[0] = False
         for column in columns[:3]:
             same[1:] &= column[1:] == column[:-1]
-        starts = np.append(np.flatnonzero(~same | (np.arange(len(same)) == 0)), len(same))
+        starts = np.append(np.flatnonzero(~same), len(same))
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            active = columns[3][a:b]
-            if active.all() or not active.any():
+            role = columns[3][a:b]
+            x, y = np.flatnonzero(role != PARTNER), np.flatnonzero(role != ACTIVE)
+            if not len(x) or len(y) < 2 - (PARTNER in role):
                 continue
             block = _Block([c[a:b] for c in columns[4:]])
-            for i, partners in block.partners(np.flatnonzero(active), np.flatnonzero(~active)):
+            for i, partners, common in block.partners(x, y):
                 one = int(block.node[i])
-                if pairs:
-                    found += [(max(one, other), min(one, other)) for other in block.node[partners].tolist()]
-                else:
-                    found += [(one, 0), *((other, 0) for other in block.node[partners].tolist())]
-        found = list(set(found))
-        return [pa.array([f[k] for f in found], pa.int64()) for k in range(2)]
+                others = block.node[partners].tolist()
+                best = int(np.argmax(common))
+                for k, other in enumerate(others):
+                    found.add((max(one, other), min(one, other)) if every or k == best else (other, other))
+        pairs = list(found)
+        return [pa.array([f[k] for f in pairs], pa.int64()) for k in range(2)]
+
+    return _runs(11, 3, work, ["a", "b"])
+
+
+#: Roles of a row in a block: it looks for partners, is one, or both.
+ACTIVE, PARTNER, BOTH = 1, 2, 3
 
-    return _runs(10, 3, work, ["a", "b"])
 
+def _cross(rows: DataFrame, prefixes: DataFrame, own: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """Pairs across components that may link, from open rows of keys.
 
-def _cross(rows: DataFrame, sets: DataFrame, own: DataFrame | None) -> DataFrame:
-    """Pairs across components that may link, or (without ``own``) the nodes that have any, from open rows of keys."""
-    prefixes = sets.select("node", F.expr("substring(shingles, 1, prefix_bytes)").alias("prefix"))
-    full = rows.join(prefixes, "node")
+    Without ``own``: the best pair of each row outside its key's main component, and ``(a, a)`` for others that have any.
+    With it, nodes that are not in it have no pair; and rows of keys with many nodes bring more than a prefix, from ``whole``.
+    """
+    full = rows.join(prefixes.select("node", "end", "prefix"), "node")
     if own is not None:
-        full = full.join(own, "node")  # nodes without any such pair are not in it
+        many = rows.where(F.col("n") > MERGE).join(whole.select("node", "end", "prefix"), "node")
+        full = full.where(F.col("n") <= MERGE).unionByName(many).join(own, "node")
         full = full.where((F.col("size") - F.col("own")) * THRESHOLD[1] >= F.col("size") * THRESHOLD[0])
     shared = F.col("size") - (F.col("own") if own is not None else F.lit(0))
     blocks, parts = F.ceil(F.col("n_minor") / BLOCK), F.ceil(F.col("n") / (4 * BLOCK))
-    inner = [F.col("node"), "label", "size", shared.alias("shared"), "minor", "prefix"]
+    inner = ["node", "label", "size", shared.alias("shared"), "minor", "end", "prefix"]
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
-    x = full.where("minor").select("key", mine(blocks, 1).alias("block"), every(parts).alias("part"), F.lit(True).alias("active"), *inner)
-    y = full.select("key", every(blocks).alias("block"), mine(parts, 2).alias("part"), F.lit(False).alias("active"), *inner)
+    one = (F.col("n_minor") <= BLOCK) & (F.col("n") <= 4 * BLOCK)
+    zero = F.lit(0).cast("long")
+    dealt = full.where(one).select(
+        "key", zero.alias("block"), zero.alias("part"), F.when(F.col("minor"), BOTH).otherwise(PARTNER).alias("role"), *inner
+    ).unionByName(full.where(~one & F.col("minor")).select(
+        "key", mine(blocks, 1).alias("block"), every(parts).alias("part"), F.lit(ACTIVE).alias("role"), *inner
+    )).unionByName(full.where(~one).select(
+        "key", every(blocks).alias("block"), mine(parts, 2).alias("part"), F.lit(PARTNER).alias("role"), *inner
+    ))
     order = ["key", "block", "part"]
-    dealt = x.unionByName(y).repartition(*order).sortWithinPartitions(*order)
-    found = dealt.mapInArrow(_block_rows(own is not None), "a bigint, b bigint")
-    return found.distinct()
+    sorted_rows = dealt.repartition(*order).sortWithinPartitions(*order)
+    return sorted_rows.mapInArrow(_block_rows(own is not None), "a bigint, b bigint").distinct()
 
 
 def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -344,11 +417,30 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.full(len(shingles), node.as_py()))], names=["shingle", "node"])
 
 
-def _own_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, own)``: how many shingles of each of ``nodes`` no other of them has."""
-    rows = sets.join(nodes, "node").select("node", "shingles").mapInArrow(_shingle_rows, "shingle bigint, node bigint")
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """``(node, own)``: how many shingles of each of ``sets`` no other of them has."""
+    rows = sets.select("node", "shingles").mapInArrow(_shingle_rows, "shingle bigint, node bigint")
     single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return nodes.join(single.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0)
+    return sets.select("node").join(single.groupBy("node").agg(F.count("*").alias("own")), "node", "left").fillna(0)
+
+
+def _members(keys: DataFrame) -> DataFrame:
+    """``(key, n, node, size)``: the nodes of each key that several have.
+
+    Of keys with the same nodes one stays. Near copies have many keys with nearly the same nodes: keys of more than ``MERGE``
+    nodes that agree in the least node of two orders become one, so that a pair is not looked at once a key.
+    """
+    counts = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("m1"), F.min(F.xxhash64("node", F.lit(2))).alias("m2"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"),
+    ).where("n > 1")
+    large = F.col("n") > MERGE
+    same = F.xxhash64(large, F.when(large, F.col("m1")).otherwise(F.col("h1")), F.when(large, F.col("m2")).otherwise(F.col("h2")))
+    # Small keys of one group are equal but for hash collisions, and then lose nothing: all their nodes go on.
+    grouped = materialize(counts.select("key", "n", same.alias("group")), "groups")
+    nodes = lookup(keys, grouped, ["key"], "n").where("group is not null").select(F.col("group").alias("key"), "node", "size").distinct()
+    nodes = materialize(nodes, "nodes")
+    return lookup(nodes, materialize(nodes.groupBy("key").agg(F.count("*").alias("n")), "counts"), ["key"], "n")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -363,23 +455,32 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     schema = "doc_id bigint, text_hash bigint, size bigint, node bigint, prefix binary"
     sketches = materialize(map_batches(source, schema, _sketch), "sketches")
     keys = materialize(_key_rows(sketches.where("node is not null").select("node", "size", "prefix")), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("hub")).where("n > 1")
-    shared = shared.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
-    members = materialize(lookup(keys, materialize(shared, "hubs"), ["key"], "n").where("hub is not null"), "members")
+    members = materialize(_members(keys), "members")
+    hubs = members.groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct("node", "size")).alias("hub"))
+    hubs = materialize(hubs.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "hubs")
     names = materialize(
         sketches.where("node is not null").groupBy("node").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
         ).select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("text_hash")),
         "names",
     )
-    sets = materialize(_full_sets(docs, names.join(members.select("node").distinct(), "node")), "sets")
+    short = map_batches(
+        sketches.where("node is not null").select("node", "size", "prefix"), "node bigint, size bigint, end bigint, prefix binary", _short
+    )
+    prefixes = materialize(short.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "prefixes")
     fits = F.least("size", "hub_size") * THRESHOLD[1] >= F.greatest("size", "hub_size") * THRESHOLD[0]
-    tried = members.where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    tried = lookup(members.select("key", "node", "size"), hubs, ["key"], "n").where((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     # Two rounds settle nearly all components; what they leave apart only costs later passes a few needless pairs.
-    stars = contract(_links(tried, sets), 2)
+    stars = contract(_verified(docs, names, materialize(_possible(materialize(tried, "pairs"), prefixes), "pairs")), 2)
     open_rows = _open_rows(members.select("key", "node", "size"), known_labels(stars))
-    doubtful = materialize(_cross(open_rows, sets, None).select(F.col("a").alias("node")).distinct(), "doubtful")
-    pairs = _cross(open_rows, sets, materialize(_own_shingles(doubtful, sets), "own"))
+    found = materialize(_cross(open_rows, prefixes), "pairs")
+    doubtful = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(_full_sets(docs, names.join(doubtful, "node")), "sets")
+    stars = contract(stars.unionByName(_links(found.where("a <> b"), sets)), 2)
+    own = materialize(_own_shingles(sets), "own")
+    still_open = _open_rows(open_rows.join(own.select("node"), "node", "left_semi").select("key", "node", "size"), known_labels(stars))
+    whole = map_batches(sets.select("node", "shingles"), "node bigint, size bigint, end bigint, prefix binary", _whole)
+    pairs = materialize(_cross(still_open, prefixes, own, whole), "pairs")
     final = components(stars.unionByName(_links(pairs, sets)))
     lowest = names.join(final, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     linked = final.join(lowest, "label").select("node", "component_id", F.lit(True).alias("linked"))
@@ -388,3 +489,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash",
     )
+
+
+def _verified(docs: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of a written table that reach the threshold, with the full sets of their nodes alone."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _links(pairs, materialize(_full_sets(docs, names.join(nodes, "node")), "sets"))

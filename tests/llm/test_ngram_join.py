@@ -57,7 +57,7 @@ def family(rng, n, words, shares):
 def test_groups_around_the_threshold(spark, small, monkeypatch):
     """Copies on both sides of 0.85, texts that share a passage, frequent tokens of each class, small blocks and few pairs a task."""
     if small:
-        for name, value in {"CLASSES": (2, 8), "BLOCK": 4, "HUB_PAIRS": 5, "SAMPLE": 2, "HOT_SHARE": 400}.items():
+        for name, value in {"CLASSES": (2, 8), "BLOCK": 4, "HUB_PAIRS": 5, "SAMPLE": 2, "MERGE": 3, "HOT_SHARE": 400}.items():
             monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(4)
     passage = prose(rng, 40)
