@@ -38,6 +38,21 @@ def chat_history_sparse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("history").alias("n_messages"), F.to_json("history").alias("history"))
 
 
+_REPEATED = "SELECT conv_id, turn, role, text || ' (again)' FROM conversations WHERE role = 'user'"
+
+
+@query("chat_history_repeated", f"WITH twice AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL {_REPEATED}), "
+       "hist AS (SELECT conv_id, turn, text, coalesce(list({'role': role, 'content': text}) OVER (PARTITION BY conv_id ORDER BY turn, role, "
+       "text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS history FROM twice) "
+       "SELECT conv_id, turn, text, len(history)::INT AS n_messages, to_json(history)::VARCHAR AS history FROM hist")
+def chat_history_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns that were sent twice: every row stays, in the order of its text."""
+    rows = turns(spark, sf).select("conv_id", "turn", "role", "text")
+    again = rows.where("role = 'user'").withColumn("text", F.concat("text", F.lit(" (again)")))
+    kept = with_history(rows.unionByName(again))
+    return kept.select("conv_id", "turn", "text", F.size("history").alias("n_messages"), F.to_json("history").alias("history"))
+
+
 # Exchanges of an assistant turn longer than 1,000 characters count as failed here.
 @query("chat_history_failed", "WITH kept AS (SELECT * FROM conversations WHERE NOT (role = 'assistant' AND len(text) > 1000)), "
        "hist AS (SELECT conv_id, turn, coalesce(list({'role': role, 'content': text}) OVER (PARTITION BY conv_id ORDER BY turn "

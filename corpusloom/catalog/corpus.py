@@ -22,6 +22,7 @@ from corpusloom.sources.jsonl import parsed, read_jsonl, write_jsonl
 from corpusloom.sources.ledger import merge, unprocessed
 from corpusloom.sources.documents import read_text_files
 from corpusloom.sources.listing import folder_inventory, list_files, list_prefix
+from corpusloom.sources.pages import last_page, list_pages, read_pages
 from corpusloom.sources.releases import adopt, entries, history, read_release
 from corpusloom.sources.shards import read_dataset, read_shard, split_encodable, write_shards
 
@@ -406,3 +407,51 @@ def src_files_build(spark: SparkSession, sf: str) -> DataFrame:
     return read_release(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
         F.count("*").alias("chunks"), F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes")
     )
+
+
+def written_files(spark: SparkSession, sf: str) -> str:
+    """Documents as one text file each, in a folder for each source."""
+    root = scratch_path(spark, "files")
+    docs(spark, sf).select("folder", "doc_id", "text").write.partitionBy("folder", "doc_id").text(root)
+    return root
+
+
+def _folder_of(path: Column) -> Column:
+    return F.regexp_extract(path, "/folder=([^/]*)/", 1)
+
+
+_FILE_ID = "/doc_id=([0-9]+)/"
+
+
+@query("src_pages_build", f"WITH RECURSIVE {_ALL_FILES} SELECT s.doc_id, r.shard::INT AS shard, s.n AS chunks, s.bytes "
+                          "FROM run1 r JOIN sizes s USING (path)")
+def src_pages_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Files listed and read by tasks, then built; no file name passes through the driver."""
+    names = [r["folder"] for r in folder_inventory(manifest(spark, sf).select("folder", "bytes")).select("folder").collect()]
+    folders = sorted(names, key=lambda name: int(name.removeprefix("src")))
+    files = list_pages(spark, written_files(spark, sf), folders, "*.txt", folder_of=_folder_of)
+    out = scratch_path(spark, "corpus")
+    build_corpus(spark, files, read_pages(files), out, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
+    number = F.regexp_extract("file_name", _FILE_ID, 1).cast("long")
+    return read_release(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
+        F.count("*").alias("chunks"), F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes")
+    )
+
+
+@query("src_pages_after", f"WITH {DOCS}, named AS (SELECT *, 'folder=' || folder || '/doc_id=' || doc_id::VARCHAR || '/' AS dir FROM docs), "
+                          "token AS (SELECT max(dir) AS t FROM named WHERE folder = (SELECT max(folder) FROM docs WHERE folder < 'src5')) "
+                          "SELECT doc_id, folder, bytes + 1 AS bytes, dir > coalesce(t, '') AS later, ends_with(folder, '1') AS prefixed FROM named, token")
+def src_pages_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Files (each ends in a line break), those that a second listing finds after the last page of the first, and those below prefixes."""
+    root = written_files(spark, sf)
+    files = list_pages(spark, root, pattern="*.txt", folder_of=_folder_of)
+    first = files.where("folder < 'src5'")
+    token = last_page(first.join(first.agg(F.max("folder").alias("folder")), "folder"))
+    later = list_pages(spark, root, pattern="*.txt", after=token).select("path", F.lit(True).alias("later"))
+    ones = [f"folder={r['folder']}/" for r in files.select("folder").distinct().where(F.endswith("folder", F.lit("1"))).collect()]
+    below = list_pages(spark, root, pattern="*.txt", prefixes=ones or ["none"]).select("path", F.lit(True).alias("prefixed"))
+    rows = files.join(later, "path", "left").join(below, "path", "left")
+    return rows.select(
+        F.regexp_extract("path", _FILE_ID, 1).cast("long").alias("doc_id"), "folder", "bytes",
+        *[F.coalesce(name, F.lit(False)).alias(name) for name in ("later", "prefixed")],
+    )

@@ -9,7 +9,7 @@ from corpusloom.catalog import query
 from corpusloom.catalog.base import docs, sql_words
 from corpusloom.functions.text import words
 from corpusloom.operators.evaluation import (
-    MAX_ORDER, bleu, combine, corpus_stats, gram_stats, log_metrics, pair, rouge_l, rouge_n, sacrebleu, tokens_13a,
+    MAX_ORDER, bleu, combine, corpus_stats, gram_stats, log_metrics, metric_log, pair, rouge_l, rouge_n, sacrebleu, tokens_13a,
     tokens_rouge, unpaired,
 )
 from corpusloom.operators.language_model import perplexity
@@ -245,7 +245,8 @@ def met_suites(spark: SparkSession, sf: str) -> DataFrame:
                       "FROM one, (VALUES (1000), (2000)) s(step)")
 def met_history(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "metrics")
-    metrics = met_combined(spark, sf)
-    for step in (1000, 2000):
+    metrics = materialize(met_combined(spark, sf), "combined")
+    # The evaluation of the first step is repeated.
+    for step in (1000, 2000, 1000):
         log_metrics(metrics, path, "run", step)
-    return spark.read.parquet(path)
+    return metric_log(spark, path)

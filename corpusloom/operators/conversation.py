@@ -24,11 +24,12 @@ def successful(turns: DataFrame, status: str = "status") -> DataFrame:
 def with_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", segment: int = SEGMENT) -> DataFrame:
     """Add ``history``: all earlier messages of the conversation, in turn order.
 
-    A turn is a number that is unique in its conversation; only its order counts, so gaps, negative numbers and time stamps do.
+    Only the order of a turn counts, so gaps, negative numbers and time stamps do. Rows that repeat a turn number (retries, a log
+    written twice) all stay, in the order of role and text, and each sees those before it.
     """
-    ranks = with_rank(turns.select(conv, turn), [turn], [conv], "_rank")
-    rows = turns.join(ranks, [conv, turn]).withColumn("_seg", F.floor((F.col("_rank") - 1) / segment)).drop("_rank")
-    inside = Window.partitionBy(conv, "_seg").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = with_rank(turns, [turn, "role", "text"], [conv], "_rank")
+    rows = ranked.withColumn("_seg", F.floor((F.col("_rank") - 1) / segment))
+    inside = Window.partitionBy(conv, "_seg").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("_near", F.collect_list(message(F.col("role"), F.col("text"))).over(inside))
 
     # Whole earlier segments are only collected where a conversation has several.
@@ -36,7 +37,7 @@ def with_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", se
     blocks = (
         rows.join(last, conv).where("_seg < _last")
         .groupBy(conv, "_seg", "_last")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), message(F.col("role"), F.col("text")).alias("m")))).alias("b"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", message(F.col("role"), F.col("text")).alias("m")))).alias("b"))
     )
     copies = blocks.select(
         conv, F.col("_seg").alias("_from"), F.col("b.m").alias("m"),
@@ -57,14 +58,14 @@ def with_context_size(turns: DataFrame, size: Column | None = None, conv: str =
     """Add ``context_tokens``: tokens of all earlier messages.
 
     Running sums inside segments plus the totals of earlier segments; the second
-    window sees one row per segment.
+    window sees one row per segment. Rows that repeat a turn number follow each other, the shorter one first.
     """
     rows = turns.withColumn("_n", size if size is not None else F.size(words(F.col("text"))).cast("long"))
     rows = rows.withColumn("_seg", F.floor(F.col(turn) / segment))
     earlier = Window.partitionBy(conv).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(conv, "_seg").agg(F.sum("_n").alias("_t"))
     totals = totals.select(conv, "_seg", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(conv, "_seg").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(conv, "_seg").orderBy(turn, "_n").rowsBetween(Window.unboundedPreceding, -1)
     near = F.coalesce(F.sum("_n").over(inside), F.lit(0))
     return (
         rows.withColumn("_near", near).join(totals, [conv, "_seg"])

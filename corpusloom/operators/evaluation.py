@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
@@ -336,6 +336,21 @@ def combine(*suites: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Columns of :func:`long_form`.
+METRIC_ROWS = "suite string, metric string, value double"
+
+
 def log_metrics(metrics: DataFrame, path: str, run: str, step: int) -> None:
-    """Append one evaluation to the metric history."""
-    metrics.withColumn("run", F.lit(run)).withColumn("step", F.lit(step)).write.mode("append").parquet(path)
+    """Write one evaluation into the metric history, in place of an earlier one of the same run and step.
+
+    A repeated or resumed evaluation therefore counts once. The history has a folder a run and step; others are not touched.
+    """
+    if not run:
+        raise ValueError("a run needs a name")
+    rows = metrics.withColumn("run", F.lit(run)).withColumn("step", F.lit(step))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "step").parquet(path)
+
+
+def metric_log(spark: SparkSession, path: str, rows: str = METRIC_ROWS) -> DataFrame:
+    """The metric history; ``rows`` are the columns of the logged metrics. Names of runs stay strings, ``007`` too."""
+    return spark.read.schema(f"{rows}, run string, step int").parquet(path)

@@ -47,3 +47,13 @@ def test_payload(spark):
     assert [m["role"] for m in got[0]["messages"]] == ["system", "user"]
     assert [m["content"] for m in got[2]["messages"]] == ["m0 x", "m1 x", "m2 x"]
     assert got[2]["stop"] == ["[/INST]", "</s>"] and got[2]["top_k"] == 50
+
+
+def test_repeated_turns_all_stay(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 2, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    for segment in (2, 64):
+        got = sorted((r.turn, [m.content for m in r.history]) for r in with_history(frame, segment=segment).collect())
+        assert got == [(0, []), (0, ["a"]), (1, ["a", "b"]), (1, ["a", "b", "x"]), (2, ["a", "b", "x", "x"])]
+    sizes = with_context_size(frame, F.coalesce(F.length("text"), F.lit(0)).cast("long"), segment=2)
+    assert sorted(r.context_tokens for r in sizes.collect()) == [0, 1, 2, 3, 4]

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
 from corpusloom.operators.evaluation import (
-    bleu, clipped_matches, combine, corpus_stats, gram_stats, lcs_length, lcs_positions, rouge_l, rouge_n, sacrebleu,
-    score_lines, tokens_13a, tokens_rouge, unpaired,
+    bleu, clipped_matches, combine, corpus_stats, gram_stats, lcs_length, lcs_positions, log_metrics, metric_log, rouge_l, rouge_n,
+    sacrebleu, score_lines, tokens_13a, tokens_rouge, unpaired,
 )
 from corpusloom.operators.language_model import perplexity
 from corpusloom.plans.model_eval import metric_suites
 from corpusloom.plans.skew import lookup
+from corpusloom.session import scratch_path
 from tests.conftest import plan_of
 
 
@@ -159,3 +160,19 @@ def test_suites(spark):
     assert got["perplexity_mean_perplexity"] == pytest.approx(3.0)  # p = 2 / 6 for every bigram
     assert got["bleu_bleu"] == pytest.approx(1) and got["sacrebleu_score"] == pytest.approx(100)
     assert got["rouge_rougeL"] == got["rouge_rougeLsum"] == got["rouge_rouge1"] == 1
+
+
+def test_logging_twice_counts_once(spark):
+    path = scratch_path(spark, "t-log")
+    rows = spark.createDataFrame([("bleu", "bleu_score", 1.0), ("bleu", "bleu_bp", 0.5)], "suite string, metric string, value double")
+    log_metrics(rows, path, "007", 10)
+    log_metrics(rows, path, "a/b=c d", 10)
+    log_metrics(rows, path, "007", 20)
+    log_metrics(rows.where("metric = 'bleu_score'").withColumn("value", F.lit(2.0)), path, "007", 10)
+    got = sorted((r.run, r.step, r.metric, r.value) for r in metric_log(spark, path).collect())
+    assert got == [
+        ("007", 10, "bleu_score", 2.0), ("007", 20, "bleu_bp", 0.5), ("007", 20, "bleu_score", 1.0),
+        ("a/b=c d", 10, "bleu_bp", 0.5), ("a/b=c d", 10, "bleu_score", 1.0),
+    ]
+    with pytest.raises(ValueError):
+        log_metrics(rows, path, "", 1)
