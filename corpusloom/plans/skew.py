@@ -18,7 +18,8 @@ def lookup(
 
     A key is broadcast if it makes up at least one ``head_rows``-th of all occurrences.
     No more than ``head_rows`` keys can, whatever the table's size. All other rows are
-    joined by an ordinary shuffle, where no key can be hot.
+    joined by an ordinary shuffle, where no key of the table can be hot. A key that is frequent in ``facts`` but not in
+    the table is not known here, and its rows meet in one partition unless adaptive execution splits it.
     """
     on = list(on)
     total = table.agg(F.sum(frequency)).scalar()
