@@ -92,33 +92,37 @@ def _host(url: str) -> str:
     return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"
 
 
-def url_sql(rules, damping: float, rounds: int, threshold: float) -> str:
-    """Rules and propagation of op 10, a round a table."""
+def url_sql(rules, damping: float, threshold: float, rounds: int = 120) -> str:
+    """Rules and propagation of op 10; the walks take a fixed number of rounds, after which 3e-9 of the mass still moves."""
     fits = [
         (f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')", host + path, verdict)
         for verdict, host, path in sorted(rules, key=lambda r: -len(r[1] + r[2]))
     ]
     cases = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
-    steps = [
-        f"r{i} AS MATERIALIZED (SELECT s.host, {1 - damping} * allowed + {damping} * (coalesce(t, 0) + CASE WHEN o.total IS NULL THEN p.trust ELSE 0 END) AS trust, "
-        f"{1 - damping} * blocked + {damping} * (coalesce(d, 0) + CASE WHEN i.total IS NULL THEN p.distrust ELSE 0 END) AS distrust "
-        f"FROM seeds s JOIN r{i - 1} p USING (host) LEFT JOIN outs o USING (host) LEFT JOIN ins i USING (host) "
-        f"LEFT JOIN (SELECT dst AS host, sum(trust * n / total) AS t FROM links JOIN r{i - 1} q ON q.host = src JOIN outs z ON z.host = src GROUP BY dst) USING (host) "
-        f"LEFT JOIN (SELECT src AS host, sum(distrust * n / total) AS d FROM links JOIN r{i - 1} q ON q.host = dst JOIN ins z ON z.host = dst GROUP BY src) USING (host))"
-        for i in range(1, rounds + 1)
-    ]
+    rest = 1 - damping
     return f"""
-WITH parsed AS (SELECT page_id, {_host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+WITH RECURSIVE parsed AS (SELECT page_id, {_host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 ruled AS (SELECT page_id, host, path, {cases(1)} AS rule, {cases(2)} AS ruled FROM parsed),
-hrefs AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)) AS link FROM parsed WHERE host <> ''),
+hrefs AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\\s[^<>]*?\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)) AS link FROM parsed WHERE host <> ''),
 links AS (SELECT src, CASE WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*://') THEN {_host('link')} WHEN starts_with(link, '//') THEN {_host("('x:' || link)")}
           WHEN regexp_matches(link, '(?i)^(mailto|javascript|tel|data):') THEN '' ELSE src END AS dst, count(*)::DOUBLE AS n FROM hrefs GROUP BY ALL HAVING dst <> ''),
-outs AS (SELECT src AS host, sum(n) AS total FROM links GROUP BY src), ins AS (SELECT dst AS host, sum(n) AS total FROM links GROUP BY dst),
-seeds AS (SELECT host, sum(a) AS allowed, sum(b) AS blocked FROM (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0 END) AS a,
-          avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0 END) AS b FROM ruled WHERE host <> '' GROUP BY host UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links) GROUP BY host),
-r0 AS (SELECT host, allowed AS trust, blocked AS distrust FROM seeds), {', '.join(steps)}
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust - trust, 0) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict,
-       round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM ruled LEFT JOIN r{rounds} USING (host)
+edges AS (SELECT 'trust' AS kind, src AS host, dst AS target, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+shares AS MATERIALIZED (SELECT kind, host, target, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM edges),
+seeds AS MATERIALIZED (SELECT host, max(a) AS allowed, max(b) AS blocked FROM (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0 END) AS a,
+          avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0 END) AS b FROM ruled GROUP BY host UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links) GROUP BY host),
+walk AS (
+  SELECT 0 AS round, kind, host, seed, seed AS mass, 1.0::DOUBLE AS whole
+  FROM (SELECT 'trust' AS kind, host, allowed AS seed FROM seeds UNION ALL SELECT 'distrust', host, blocked FROM seeds)
+  UNION ALL
+  SELECT w.round + 1, w.kind, w.host, w.seed, {rest} * w.seed + {damping} * coalesce(g.mass, 0), {rest} + {damping} * coalesce(g.whole, 0)
+  FROM walk w LEFT JOIN (SELECT e.kind, e.target, sum(q.mass * e.share) AS mass, sum(q.whole * e.share) AS whole
+                         FROM walk q JOIN shares e ON e.kind = q.kind AND e.host = q.host GROUP BY e.kind, e.target) g
+  ON g.kind = w.kind AND g.target = w.host WHERE w.round < {rounds}),
+judged AS (SELECT kind, host, greatest(seed, CASE WHEN whole - {rest} > 1e-9 THEN (mass - {rest} * seed) / (whole - {rest}) ELSE 0 END) AS score
+           FROM walk WHERE round = {rounds}),
+scores AS (SELECT host, max(score) FILTER (kind = 'trust') AS favour, max(score) FILTER (kind = 'distrust') AS suspicion FROM judged GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN suspicion - favour > {threshold} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(favour, 4) AS favour, round(suspicion, 4) AS suspicion FROM ruled LEFT JOIN scores USING (host)
 """
 
 

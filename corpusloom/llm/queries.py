@@ -22,7 +22,7 @@ from corpusloom.llm.pii import digest_columns, personal_data
 from corpusloom.llm.quality import quality
 from corpusloom.llm.substring_dedup import without_repeats
 from corpusloom.llm.token_rollup import maintained_totals
-from corpusloom.llm.url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, verdicts
+from corpusloom.llm.url_filter import DAMPING, RULES, THRESHOLD, verdicts
 from corpusloom.llm.whitening import whiten
 from corpusloom.session import ship_package
 
@@ -95,7 +95,7 @@ def _token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintained_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_url_filter", url_sql(RULES, DAMPING, ROUNDS, THRESHOLD))
+@query("op10_url_filter", url_sql(RULES, DAMPING, THRESHOLD))
 def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages"))
 

@@ -1,9 +1,11 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from corpusloom.llm.url_filter import DAMPING, ROUNDS, host_links, host_scores, verdicts
+from corpusloom.llm.oracles import url_sql
+from corpusloom.llm.url_filter import DAMPING, THRESHOLD, host_links, host_scores, verdicts
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 URLS = [
@@ -45,45 +47,67 @@ def test_links_and_propagation(spark):
     assert links == {("farm.com", "bad.net"): 3, ("farm.com", "farm.com"): 1, ("good.org", "ok.com"): 1}
     rows = {r.page_id: r for r in verdicts(pages, threshold=0.3).collect()}
     assert rows[1].verdict == rows[5].verdict == "block" and rows[4].verdict == rows[6].verdict == "allow"
-    assert rows[4].trust > 0 and rows[1].distrust > 0.3
+    assert rows[4].favour > 0.3 and rows[1].suspicion > 0.3
 
 
-def test_scores_match_matrix_iteration(spark):
+def relative_mass(weights, seed):
+    """Solved, not iterated: a host's own share, or the part of its received PageRank that comes from the seeds."""
+    sums = weights.sum(1, keepdims=True)
+    step = np.where(sums > 0, weights / np.where(sums > 0, sums, 1), 0).T
+    walk = lambda from_: np.linalg.solve(np.eye(len(step)) - DAMPING * step, (1 - DAMPING) * from_)
+    mass, whole = walk(seed), walk(np.ones(len(step)))
+    got, of = mass - (1 - DAMPING) * seed, whole - (1 - DAMPING)
+    return mass, np.maximum(seed, np.where(of > 1e-9, got / np.where(of > 1e-9, of, 1), 0))
+
+
+def test_scores_match_solved_equations(spark):
     rng = np.random.default_rng(3)
     n = 12
     weights = np.where(rng.random((n, n)) < 0.25, rng.integers(1, 5, (n, n)), 0)
-    allowed, blocked = rng.random(n), rng.random(n)
+    weights[:, 0] = weights[1] = 0
+    allowed, blocked = rng.random(n), np.where(rng.random(n) < 0.5, rng.random(n), 0)
     links = spark.createDataFrame([(f"h{i}", f"h{j}", int(w)) for (i, j), w in np.ndenumerate(weights) if w], "src string, dst string, n long")
     seeds = spark.createDataFrame([(f"h{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(allowed, blocked, strict=True))],
                                   "host string, allowed double, blocked double")
-
-    def spread(w, seed):
-        sums = w.sum(1, keepdims=True)
-        step = np.where(sums > 0, w / np.where(sums > 0, sums, 1), np.eye(n))
-        x = seed
-        for _ in range(ROUNDS):
-            x = (1 - DAMPING) * seed + DAMPING * step.T @ x
-        return x
-
-    got = {r.host: (r.trust, r.distrust) for r in host_scores(links, seeds).collect()}
-    want = zip(spread(weights, allowed), spread(weights.T, blocked), strict=True)
-    for i, pair in enumerate(want):
-        assert got[f"h{i}"] == pytest.approx(pair)
+    got = {r.host: (r.trust, r.favour, r.distrust, r.suspicion) for r in host_scores(links, seeds, tolerance=1e-8).collect()}
+    want = zip(*relative_mass(weights, allowed), *relative_mass(weights.T, blocked), strict=True)
+    for i, row in enumerate(want):
+        assert got[f"h{i}"] == pytest.approx(row, abs=1e-6)
 
 
-@pytest.mark.parametrize("farms", [1, 2, 10])
-def test_farms_of_one_blocked_host_are_blocked_however_many(spark, farms):
+def graph(farms):
+    """Farms that share a blocked host, a hub with one bad link of ten, a chain, a named host, one that mostly links to itself."""
     to = lambda host, n=1: f'<a href="http://{host}/">x</a>' * n
     rows = [(f"http://farm{k}.com/", to("bad.net")) for k in range(farms)]
     rows += [
         ("http://bad.net/", '<a href="/own">x</a>' * 9 + to("news.com")), ("http://big.com/", to("bad.net", 100)), ("http://far.com/", to("big.com")),
         ("http://news.com/", to("fine.com", 9) + to("bad.net")), ("http://fine.com/", ""), ("http://good.org/fr/", to("named.com")),
         ("http://named.com/", to("bad.net")), ("http://inward.com/", '<a href="/own">x</a>' * 9 + to("bad.net")),
+        ("http://worse.net/", ""), ("http://near.com/", to("worse.net")), ("http://next.com/", to("near.com")), ("http://last.com/", to("next.com")),
+        ("http://open.com/", "<a " * 20_000 + to("bad.net")), ("none", None), (None, to("bad.net")),
     ]
-    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    return [(k, *r) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("farms", [1, 10])
+def test_farms_of_one_blocked_host_are_blocked_however_many(spark, farms):
+    pages = spark.createDataFrame(graph(farms), "page_id long, url string, html string")
     got = {r.host: r.verdict for r in verdicts(pages).collect()}
-    assert {got[f"farm{k}.com"] for k in range(farms)} == {"block"} == {got["big.com"], got["far.com"], got["bad.net"]}
-    assert {got[h] for h in ("news.com", "fine.com", "named.com", "inward.com")} == {"allow"}
+    assert {got[f"farm{k}.com"] for k in range(farms)} == {"block"} == {got[h] for h in ("big.com", "bad.net", "near.com", "next.com", "open.com")}
+    assert {got[h] for h in ("news.com", "fine.com", "named.com", "inward.com", "last.com", "")} == {"allow"}
+
+
+def test_query_and_sql_decide_by_one_rule_across_hosts(spark):
+    pages = spark.createDataFrame(graph(10), "page_id long, url string, html string")
+    columns = ["page_id", "host", "path", "rule", "verdict", "favour", "suspicion"]
+    got = sorted(tuple(r) for r in verdicts(pages).select(columns).collect())
+    with duckdb.connect() as db:
+        db.register("pages", pages.toPandas())
+        want = sorted(db.execute(f"SELECT {', '.join(columns)} FROM ({url_sql(RULES, DAMPING, THRESHOLD)})").fetchall())
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], abs=2e-4)
+    assert len({r[6] for r in got}) > 5
 
 
 def test_empty_table(spark):
