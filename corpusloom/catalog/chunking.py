@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
 from corpusloom.catalog.base import BAGS, BUFFER, DISTANCES, SEMANTIC, SENTENCES, WINDOW_UNITS, WINDOWS, docs, sql_words
+from corpusloom.functions.tables import register_tables
 from corpusloom.functions.text import words
 from corpusloom.operators import semantic
 from corpusloom.operators.splitting import explode_chunks, nodes, sentence_units, window_units
@@ -18,6 +19,14 @@ def chunk_token_window(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.withColumn("n_tokens", F.size(words(F.col("chunk"))))
 
 
+@query("sql_chunk_table", f"WITH {WINDOWS} SELECT doc_id, chunk_no, chunk, n_tokens FROM windows")
+def sql_chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of whole documents, put together in SQL from one row a line."""
+    register_tables(spark)
+    lines = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return spark.sql("SELECT * FROM chunk_table(TABLE({lines}), 'doc_id', 'line_no', 'line')", lines=lines)
+
+
 @query("chunk_node_ids", f"WITH {WINDOWS} SELECT w.doc_id, w.chunk_no, w.chunk AS text, 'pdf/' || d.source || '/' || w.doc_id::VARCHAR "
                          "AS file_name, sha256(w.doc_id::VARCHAR || '|' || w.chunk_no::VARCHAR) AS node_id "
                          "FROM windows w JOIN documents d USING (doc_id)")

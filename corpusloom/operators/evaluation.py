@@ -227,36 +227,57 @@ def _lcs_steps(v: int, can: list[str], places: dict[str, int], full: int) -> Ite
 
 
 def lcs_length(ref: list[str], can: list[str]) -> int:
-    v = full = (1 << len(ref)) - 1
-    for v in _lcs_steps(full, can, _token_bits(ref), full):
+    shared = min(len(ref), len(can))
+    start = next((i for i in range(shared) if ref[i] != can[i]), shared)
+    end = next((i for i in range(shared - start) if ref[-1 - i] != can[-1 - i]), shared - start)
+    inner = ref[start:len(ref) - end]
+    v = full = (1 << len(inner)) - 1
+    for v in _lcs_steps(full, can[start:len(can) - end], _token_bits(inner), full):
         pass
-    return len(ref) - v.bit_count()
+    return start + end + len(inner) - v.bit_count()
 
 
 def lcs_positions(ref: list[str], can: list[str]) -> set[int]:
     """Reference positions of one LCS; ties leave the reference token out.
 
-    Only about the square root of the candidate's rows is kept; the rows between are computed again, a stretch at a time, on the way
-    back. So memory grows with length times square root of length, not with the product of both lengths.
+    Only tokens that both sides have are looked at; ``gaps`` keeps the places in the candidate where others were left out, as ties
+    are settled there too. Only about the square root of the candidate's rows is kept; the rows between are computed again, a stretch
+    at a time, on the way back. So memory grows with length times square root of length, not with the product of both lengths.
     """
+    bag, words = set(can), set(ref)
+    at = [i for i, token in enumerate(ref) if token in bag]
+    if len(at) < 2:
+        return set(at)
+    ref, kept, gaps = [ref[i] for i in at], [], set()
+    for token in can:
+        if token in words:
+            kept.append(token)
+        else:
+            gaps.add(len(kept))
     places, full = _token_bits(ref), (1 << len(ref)) - 1
-    stretch = math.isqrt(len(can)) + 1
+    stretch = math.isqrt(len(kept)) + 1
     marks = [full]
-    for done, v in enumerate(_lcs_steps(full, can, places, full), 1):
+    for done, v in enumerate(_lcs_steps(full, kept, places, full), 1):
         if done % stretch == 0:
             marks.append(v)
-    i, j, found = len(ref), len(can), set()
+    i, j, found = len(ref), len(kept), set()
     while i and j:
         first = (j - 1) // stretch * stretch
-        rows = [marks[first // stretch], *_lcs_steps(marks[first // stretch], can[first:j], places, full)]
+        rows = [marks[first // stretch], *_lcs_steps(marks[first // stretch], kept[first:j], places, full)]
+        arrived = True
         while i and j > first:
-            if ref[i - 1] == can[j - 1]:
-                found.add(i - 1)
-                i, j = i - 1, j - 1
-            elif rows[j - first] >> (i - 1) & 1:
+            tie = rows[j - first] >> (i - 1) & 1
+            if arrived and j in gaps and tie:
+                i -= 1
+                continue
+            arrived = False
+            if ref[i - 1] == kept[j - 1]:
+                found.add(at[i - 1])
+                i, j, arrived = i - 1, j - 1, True
+            elif tie:
                 i -= 1
             else:
-                j -= 1
+                j, arrived = j - 1, True
     return found
 
 
@@ -264,19 +285,37 @@ def _f(hits: int, n_pred: int, n_ref: int) -> float:
     return 2 * hits / (n_pred + n_ref) if hits else 0.0
 
 
+def _union(ref: tuple[str, ...], cans: list[tuple[str, ...]], bags: list[set[str]], lines: dict[str, list[int]]) -> list[int]:
+    """Reference positions in the LCS with any candidate line. Lines that share most come first; a line that could add nothing is skipped."""
+    shared = Counter(k for token in set(ref) for k in lines.get(token, ()))
+    union: set[int] = set()
+    left = {i for i, token in enumerate(ref) if token in lines}
+    for k, _ in shared.most_common():
+        if not left:
+            break
+        if any(ref[i] in bags[k] for i in left):
+            new = set(range(len(ref))) if cans[k] == ref else lcs_positions(ref, cans[k])
+            union |= new
+            left -= new
+    return sorted(union)
+
+
 def summary_hits(refs: list[list[str]], cans: list[list[str]]) -> int:
-    """Union of the LCS positions over candidate sentences, clipped by token counts."""
+    """Union of the LCS positions over candidate sentences, clipped by token counts. Equal lines are compared once."""
     left_ref = Counter(t for s in refs for t in s)
     left_can = Counter(t for s in cans for t in s)
-    bags = [set(c) for c in cans]
+    different = list(dict.fromkeys(map(tuple, cans)))
+    bags = [set(c) for c in different]
+    lines: dict[str, list[int]] = {}
+    for k, bag in enumerate(bags):
+        for token in bag:
+            lines.setdefault(token, []).append(k)
+    unions: dict[tuple[str, ...], list[int]] = {}
     hits = 0
-    for ref in refs:
-        union: set[int] = set()
-        ref_bag = set(ref)
-        for can, bag in zip(cans, bags):
-            if not ref_bag.isdisjoint(bag):
-                union |= lcs_positions(ref, can)
-        for i in sorted(union):
+    for ref in map(tuple, refs):
+        if ref not in unions:
+            unions[ref] = _union(ref, different, bags, lines)
+        for i in unions[ref]:
             token = ref[i]
             if left_ref[token] > 0 and left_can[token] > 0:
                 hits += 1

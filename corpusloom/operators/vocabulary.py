@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,8 +122,8 @@ def trained_share(labels: Column) -> Column:
     return F.when(F.size(labels) > 0, kept / F.size(labels)).otherwise(F.lit(0.0))
 
 
-def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFrame:
-    """Add ``text``: -100, special and unknown ids are skipped, other ids become words; a null array stays null."""
+def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame, glue: str = " ") -> DataFrame:
+    """Add ``text``: -100, special and unknown ids are skipped, other ids become words put together by ``glue``; a null array stays null."""
     mapped, shared = _with_tail(rows, key, labels, vocab, "token_id", "token", {})
 
     @F.pandas_udf("string")
@@ -135,7 +135,7 @@ def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame) -> DataFram
                 return None
             own = {} if rare is None else dict(zip(rare.tolist(), words.tolist(), strict=True))
             found = (common.get(i) or own.get(i) for i in ids.tolist() if i >= FIRST_ID)
-            return " ".join(word for word in found if word is not None)
+            return glue.join(word for word in found if word is not None)
 
         for ids, rare, words in parts:
             yield pd.Series([text(*row) for row in zip(ids, rare, words, strict=True)], dtype=object)
@@ -150,3 +150,22 @@ def truncate(text: Column, longest: int = MAX_GENERATED) -> Column:
 
 def length_status(text: Column) -> Column:
     return F.when(F.size(words(text)) < 1, F.lit("too_short")).otherwise(F.lit("ok"))
+
+
+def tokens_by(text: Column, make_tokenizer: Callable[[], Callable[[str], list[str]]]) -> Column:
+    """Token array by a tokenizer of the caller's, made once a task; tokens may hold blanks, a null text stays null."""
+    @F.pandas_udf("array<string>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenize = make_tokenizer()
+        for texts in parts:
+            yield pd.Series([None if t is None else list(tokenize(t)) for t in texts], dtype=object)
+
+    return cut.asNondeterministic()(text)
+
+
+def collate_batches(rows: DataFrame, collate: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: str = "batch") -> DataFrame:
+    """What ``collate`` makes of the rows of each batch, in place of :func:`pad_batches`; the order of a batch's rows is its own affair.
+
+    A batch is a handful of rows by definition, so each fits a task; rows move once, by batch.
+    """
+    return rows.groupBy(batch).applyInPandas(lambda part: collate(part), schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import words
 from corpusloom.operators.evaluation import (
     bleu, clipped_matches, combine, corpus_stats, gram_stats, lcs_length, lcs_positions, log_metrics, metric_log, rouge_l, rouge_n,
-    sacrebleu, score_lines, tokens_13a, tokens_rouge, unpaired,
+    sacrebleu, score_lines, summary_hits, tokens_13a, tokens_rouge, unpaired,
 )
 from corpusloom.operators.language_model import perplexity
 from corpusloom.plans.model_eval import metric_suites
@@ -176,3 +176,40 @@ def test_logging_twice_counts_once(spark):
     ]
     with pytest.raises(ValueError):
         log_metrics(rows, path, "", 1)
+
+
+def test_line_matches_equal_the_full_table():
+    """Positions by the whole table and its ties, on lines with repeats, gaps and words of one side only."""
+    def positions(ref, can):
+        table = [[0] * (len(can) + 1) for _ in range(len(ref) + 1)]
+        for i, a in enumerate(ref, 1):
+            for j, b in enumerate(can, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if a == b else max(table[i - 1][j], table[i][j - 1])
+        i, j, found = len(ref), len(can), set()
+        while i and j:
+            if ref[i - 1] == can[j - 1]:
+                found.add(i - 1)
+                i, j = i - 1, j - 1
+            elif table[i - 1][j] == table[i][j]:
+                i -= 1
+            else:
+                j -= 1
+        return found, table[-1][-1]
+
+    rng = random.Random(4)
+    for _ in range(3_000):
+        words = "abcdefgh"[:rng.randint(1, 8)]
+        refs = [[rng.choice(words + "z") for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 4))]
+        cans = [[rng.choice(words + "xy") for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 4))]
+        cans.append([w for w in refs[0] if rng.random() < 0.8] or ["q"])
+        refs.append(list(rng.choice(refs)))
+        assert (lcs_positions(refs[0], cans[0]), lcs_length(refs[0], cans[0])) == positions(refs[0], cans[0])
+        left_ref, left_can = Counter(w for r in refs for w in r), Counter(w for c in cans for w in c)
+        hits = 0
+        for ref in refs:
+            for i in sorted(set().union(*(positions(ref, can)[0] for can in cans))):
+                if left_ref[ref[i]] > 0 and left_can[ref[i]] > 0:
+                    hits += 1
+                    left_ref[ref[i]] -= 1
+                    left_can[ref[i]] -= 1
+        assert summary_hits(refs, cans) == hits
