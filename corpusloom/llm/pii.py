@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import let
 from corpusloom.llm.common import text_of
 from corpusloom.session import materialize
 
@@ -26,12 +27,15 @@ ROUNDS = 8
 THRESHOLD = 0.5
 #: Characters before a candidate in which the context labeler looks.
 REACH = 24
+#: Pieces of a text that are folded at once; even.
+BLOCK = 512
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _STRICT = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    # A whole run of digits or nothing: runs of another length fail anyway and need not be looked at one by one.
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _LOOSE = {
@@ -50,7 +54,7 @@ _TRIGGERS = {
 }
 _AGAINST = r"(?i)(\b(version|release|isbn|issn|section|page|no|nr)\b|[=#/\"'])[^a-z0-9]*$"
 
-_FOUND = "array<struct<start: int, stop: int, value: string>>"
+_FOUND = "array<struct<start: int, stop: int, value: string, before: string, after: string>>"
 LABELERS = ("strict", "digits", "gazetteer", "context", "edges")
 FEATURES = ("form", "size", "before", "after")
 #: No value of a feature is this word: letters of a form are written as one a.
@@ -58,20 +62,49 @@ RARE = "rare"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with positions in code points; the text must be free of U+0001."""
+    """Leftmost non-overlapping matches with positions in code points and what is around; the text must be free of U+0001.
+
+    Pieces are folded a block at a time and blocks are moved to their places at the end, as a fold over all of them would copy the
+    matches found so far at each match.
+    """
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\u0001$0\u0001")), "\u0001", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit(None).cast(_FOUND).alias("found"))
-    start = start.withField("found", F.expr(f"cast(array() as {_FOUND})"))
+    none = F.expr(f"cast(array() as {_FOUND})")
 
-    def step(state: Column, part: Column) -> Column:
-        stop = state["at"] + F.length(part)
-        here = F.struct(state["at"].alias("start"), stop.alias("stop"), part.alias("value"))
+    def with_next(pieces: Column) -> Column:
+        first = lambda i: F.substring(F.coalesce(F.get(pieces, i), F.lit("")), 1, 1)
+        return F.transform(pieces, lambda p, i: F.struct(
+            p.alias("value"), F.when(first(i + 1) != "", first(i + 1)).otherwise(first(i + 2)).alias("after")
+        ))
+
+    def step(state: Column, piece: Column) -> Column:
+        stop = state["at"] + F.length(piece["value"])
+        here = F.struct(
+            state["at"].alias("start"), stop.alias("stop"), piece["value"].alias("value"), state["tail"].alias("before"), piece["after"].alias("after")
+        )
         return F.struct(
-            stop.alias("at"), (~state["match"]).alias("match"),
+            stop.alias("at"), (~state["match"]).alias("match"), F.right(F.concat(state["tail"], piece["value"]), F.lit(REACH)).alias("tail"),
             F.when(state["match"], F.concat(state["found"], F.array(here))).otherwise(state["found"]).alias("found"),
         )
 
-    return F.aggregate(parts, start, step, lambda state: state["found"])
+    def moved(block: Column, at: Column) -> Column:
+        return F.transform(block["found"], lambda m: m.withField("start", m["start"] + at).withField("stop", m["stop"] + at))
+
+    # Every second piece is a match and so not empty: blocks of an even number of pieces begin outside of one, and twice as many
+    # pieces as a context has characters hold the context.
+    def blocks(pieces: Column) -> Column:
+        def fold(k: Column) -> Column:
+            earlier = F.least(k - 1, F.lit(2 * REACH))
+            tail = F.right(F.array_join(F.transform(F.slice(pieces, k - earlier, earlier), lambda p: p["value"]), ""), F.lit(REACH))
+            start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), tail.alias("tail"), none.alias("found"))
+            return F.aggregate(F.slice(pieces, k, F.lit(BLOCK)), start, step)
+
+        return F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK)), fold)
+
+    def placed(folded: Column) -> Column:
+        places = F.aggregate(folded, F.array(F.lit(0)), lambda at, b: F.array_append(at, F.element_at(at, -1) + b["at"]))
+        return F.flatten(F.zip_with(folded, F.slice(places, F.lit(1), F.size(folded)), moved))
+
+    return let(let(parts, with_next), lambda pieces: let(blocks(pieces), placed))
 
 
 def _digits(value: Column) -> Column:
@@ -104,11 +137,11 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def _candidate(text: Column, kind: str, strict: bool, m: Column) -> Column:
+def _candidate(kind: str, strict: bool, m: Column) -> Column:
     value, digits = m["value"], _digits(m["value"])
     n = F.length(digits)
-    before = F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
-    left, right = F.right(before, F.lit(1)), F.substring(text, m["stop"] + 1, F.lit(1))
+    before, right = m["before"], m["after"]
+    left = F.right(before, F.lit(1))
     word = "^[\\p{L}\\p{N}]$"
     gazetteer = {
         "email": _vote(value.rlike(_ENDINGS), F.lit(False)),
@@ -157,7 +190,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.filter(_matches(text, _STRICT[kind]), lambda m: _holds(kind, m["value"]))
 
     def spans(column: Column, kind: str, strict: bool) -> Column:
-        return F.transform(column, lambda m: _candidate(text, kind, strict, m))
+        return F.transform(column, lambda m: _candidate(kind, strict, m))
 
     def free(m: Column) -> Column:
         return ~F.exists(F.col("taken"), lambda t: (m["start"] < t["stop"]) & (t["start"] < m["stop"]))

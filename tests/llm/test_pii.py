@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm.pii import KINDS, LABELERS, _score, digest_columns, personal_data, reliabilities, span_classifier
+from corpusloom.llm.pii import KINDS, LABELERS, _score, candidates, digest_columns, personal_data, reliabilities, span_classifier
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -89,3 +89,15 @@ def test_reliabilities_find_the_good_labelers(spark):
     for name in (*names[:3], names[4]):
         assert model[name][0] > 0.85 and model[name][1] < 0.15
     assert model[names[3]] == pytest.approx((0.5, 0.5), abs=0.05)
+
+
+def test_many_matches_in_one_text_keep_their_places_and_surroundings(spark):
+    """Far more matches than are folded at once, also of matches that touch each other."""
+    email, ip = "é a@b.co ", "1.2.3.4"
+    text = email * 2_000 + "x" + (ip + "5 ") * 900 + " ".join(str(n) for n in range(10, 9_000))
+    found = candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found
+    emails = [(s.start, s.stop, s.features.before, s.features.after) for s in found if s.kind == "email"]
+    assert emails == [(9 * k + 2, 9 * k + 8, "blank", "blank") for k in range(2_000)]
+    at = 9 * 2_000 + 1
+    assert [(s.start, s.stop) for s in found if s.kind == "ip"] == [(at + 9 * k, at + 9 * k + 8) for k in range(900)]
+    assert all(text[s.stop - 1].isalnum() for s in found)
