@@ -22,7 +22,7 @@ from corpusloom.sources.jsonl import parsed, read_jsonl, write_jsonl
 from corpusloom.sources.ledger import merge, unprocessed
 from corpusloom.sources.documents import read_text_files
 from corpusloom.sources.listing import folder_inventory, list_files, list_prefix
-from corpusloom.sources.pages import last_page, list_pages, read_pages
+from corpusloom.sources.pages import last_page, list_pages, read_pages, write_text_files
 from corpusloom.sources.releases import adopt, entries, history, read_release
 from corpusloom.sources.shards import read_dataset, read_shard, split_encodable, write_shards
 
@@ -387,32 +387,10 @@ _ALL_FILES = (
 )
 
 
-@query("src_files_build", f"WITH RECURSIVE {_ALL_FILES} SELECT s.doc_id, r.shard::INT AS shard, s.n AS chunks, s.bytes "
-                          "FROM run1 r JOIN sizes s USING (path)")
-def src_files_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as one text file each, then listed, read and built."""
-    root, out = (scratch_path(spark, name) for name in ("files", "corpus"))
-    rows = docs(spark, sf).select("folder", "doc_id", "text")
-    rows.write.partitionBy("folder", "doc_id").text(root)
-    names = [r["folder"] for r in folder_inventory(manifest(spark, sf).select("folder", "bytes")).select("folder").collect()]
-    folders = sorted(names, key=lambda name: int(name.removeprefix("src")))
-
-    def folder_of(path: Column) -> Column:
-        return F.regexp_extract(path, "/folder=([^/]*)/", 1)
-
-    files = list_files(spark, root, folders, "*.txt", folder_of)
-    texts = read_text_files(spark, root, folders, "*.txt", folder_of)
-    build_corpus(spark, files, texts, out, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
-    number = F.regexp_extract("file_name", "/doc_id=([0-9]+)/", 1).cast("long")
-    return read_release(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
-        F.count("*").alias("chunks"), F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes")
-    )
-
-
 def written_files(spark: SparkSession, sf: str) -> str:
     """Documents as one text file each, in a folder for each source."""
     root = scratch_path(spark, "files")
-    docs(spark, sf).select("folder", "doc_id", "text").write.partitionBy("folder", "doc_id").text(root)
+    write_text_files(docs(spark, sf).select("folder", "doc_id", "text"), root, ("folder", "doc_id"))
     return root
 
 
@@ -420,7 +398,23 @@ def _folder_of(path: Column) -> Column:
     return F.regexp_extract(path, "/folder=([^/]*)/", 1)
 
 
-_FILE_ID = "/doc_id=([0-9]+)/"
+_FILE_ID = "/doc_id=([0-9]+)[.]"
+
+
+@query("src_files_build", f"WITH RECURSIVE {_ALL_FILES} SELECT s.doc_id, r.shard::INT AS shard, s.n AS chunks, s.bytes "
+                          "FROM run1 r JOIN sizes s USING (path)")
+def src_files_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as one text file each, then listed, read and built."""
+    root, out = written_files(spark, sf), scratch_path(spark, "corpus")
+    names = [r["folder"] for r in folder_inventory(manifest(spark, sf).select("folder", "bytes")).select("folder").collect()]
+    folders = sorted(names, key=lambda name: int(name.removeprefix("src")))
+    files = list_files(spark, root, folders, "*.txt", _folder_of)
+    texts = read_text_files(spark, root, folders, "*.txt", _folder_of)
+    build_corpus(spark, files, texts, out, BuildOptions(shard_bytes=SHARD_BYTES, bounded=False))
+    number = F.regexp_extract("file_name", _FILE_ID, 1).cast("long")
+    return read_release(spark, out).groupBy(number.alias("doc_id"), "shard").agg(
+        F.count("*").alias("chunks"), F.sum(utf8_bytes(F.col("text"))).cast("long").alias("bytes")
+    )
 
 
 @query("src_pages_build", f"WITH RECURSIVE {_ALL_FILES} SELECT s.doc_id, r.shard::INT AS shard, s.n AS chunks, s.bytes "

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,9 @@ from corpusloom.sources.listing import folder_order, parent_folder
 BATCH_CHARS = 8 << 20
 #: Files of a listing that one read task takes.
 FILES_A_TASK = 20_000
+#: Name of a missing value in a path, and the characters that are escaped in one, as in Spark's partitioned folders.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = {c: f"%{c:02X}" for c in (*range(1, 32), *b"\"#%'*/:=?\\\x7f{[]^")}
 
 _FOUND = "relative string, directory boolean, bytes long"
 
@@ -128,6 +132,39 @@ def last_page(files: DataFrame) -> str | None:
     return files.agg(F.max("relative")).first()[0]
 
 
+def _writer(root: str, by: Sequence[str], text: str) -> Callable:
+    def write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root.rstrip("/"))
+        task, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            keys = zip(*(batch.column(name).to_pylist() for name in by), strict=True)
+            for values, body in zip(keys, batch.column(text).cast(pa.binary()), strict=True):
+                parts = [f"{name}={NO_VALUE if v in (None, '') else str(v).translate(_ESCAPED)}" for name, v in zip(by, values, strict=True)]
+                directory = "/".join([base, *parts[:-1]])
+                if directory not in made:
+                    store.create_dir(directory, recursive=True)
+                    made.add(directory)
+                with store.open_output_stream(f"{directory}/{parts[-1]}.{task}-{n}.txt") as file:
+                    if body.is_valid:
+                        file.write(body.as_buffer())
+                    file.write(b"\n")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    return write_batches
+
+
+def write_text_files(rows: DataFrame, root: str, by: Sequence[str], text: str = "text") -> int:
+    """One text file a row, written by the task that holds it; the number of files.
+
+    A file is named by the columns ``by``: ``root/folder=a/doc_id=7.<task>-<n>.txt``. All but the last are directories, so there
+    are few of these; rows that repeat the names have files of their own. A text ends in a line break, a null one is empty.
+    Spark's own writer opens a directory for each value and moves every file in the driver when the job ends.
+    """
+    written = rows.select(*by, text).mapInArrow(_writer(root, tuple(by), text), "files long")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"]
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stores: dict[str, fs.FileSystem] = {}
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans.corpus_build import BuildOptions, build_corpus
 from corpusloom.session import scratch_path
 from corpusloom.sources.documents import read_text_files
-from corpusloom.sources.pages import holds, last_page, list_pages, read_pages
+from corpusloom.sources.pages import holds, last_page, list_pages, read_pages, write_text_files
 from corpusloom.sources.releases import entries
 
 FILES = {
@@ -91,3 +91,17 @@ def test_second_run_takes_the_new_page(spark, tmp_path):
     build_corpus(spark, second, read_pages(second), out, BuildOptions())
     assert {r.n for r in entries(spark, out).groupBy("path").agg(F.count("*").alias("n")).collect()} == {1}
     assert entries(spark, out).count() == 3
+
+
+def test_a_file_for_each_row(spark, tmp_path):
+    """Rows of one name have files of their own, and only the folders above the files are directories."""
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 12, None), ("b:", 3, "é\ny"), (None, 4, "z")], "folder string, id long, text string")
+    root = str(tmp_path / "out")
+    assert write_text_files(rows.repartition(3), root, ("folder", "id")) == 5
+    files = list_pages(spark, root, pattern="*.txt")
+    got = sorted((r.file_name.removeprefix(root + "/").split(".")[0], r.text) for r in read_pages(files).collect())
+    assert got == [
+        ("folder=__HIVE_DEFAULT_PARTITION__/id=4", "z\n"), ("folder=a/id=1", "x\n"), ("folder=a/id=1", "x\n"), ("folder=a/id=12", "\n"),
+        ("folder=b%3A/id=3", "é\ny\n"),
+    ]
+    assert {path.name for path in (tmp_path / "out").rglob("*") if path.is_dir()} == {"folder=__HIVE_DEFAULT_PARTITION__", "folder=a", "folder=b%3A"}
