@@ -181,7 +181,8 @@ def _number_block(sizes: np.ndarray, level: int, shard: int, limit: int) -> np.n
 def pack(files: DataFrame, limit: int, scope: str | None = "folder", order: tuple[str, ...] = ("path",),
          size: str = "bytes", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``shard`` (0-based within each scope value) to ``files``; ``scope=None`` packs all as one."""
-    key = F.lit("") if scope is None else F.col(scope).cast("string")
+    # A null scope is one of its own.
+    key = F.lit("") if scope is None else F.coalesce(F.concat(F.lit("="), F.col(scope).cast("string")), F.lit(""))
     placed = sorted_positions(files.withColumn("_scope", key), ["_scope"], list(order))
     placed = placed.withColumn("_blk", F.floor(F.col("_at") / block_rows).cast("long"))
 
@@ -190,24 +191,30 @@ def pack(files: DataFrame, limit: int, scope: str | None = "folder", order: tupl
     blocks = placed.select(*_BLOCK).distinct().withColumn("_node", (F.row_number().over(order_of) - 1).cast("long"))
     blocks = materialize(blocks, "blocks")
     most = blocks.agg(F.coalesce(F.max("_node"), F.lit(-1)).alias("n")).first()["n"] + 1
-    numbered_blocks = placed.join(blocks, _BLOCK)
+    # A task's call takes as many small blocks as make up a large one.
+    many = max(1, BLOCK_ROWS // block_rows)
+    numbered_blocks = placed.join(blocks, _BLOCK).withColumn("_some", F.floor(F.col("_node") / many))
 
     def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.sort_values("_at")[size].to_numpy()
-        return pd.DataFrame([{"_scope": key[0], "_node": key[1], **_block_effect(sizes, limit).row()}])
+        pdf = pdf.sort_values(["_node", "_at"])
+        nodes, first = np.unique(pdf["_node"].to_numpy(), return_index=True)
+        parts = np.split(pdf[size].to_numpy(), first[1:])
+        return pd.DataFrame([{"_scope": key[0], "_node": n, **_block_effect(x, limit).row()} for n, x in zip(nodes.tolist(), parts, strict=True)])
 
-    effects = numbered_blocks.select("_scope", "_node", "_at", size).groupBy("_scope", "_node").applyInPandas(summarize, _NODE)
-    starts = _starts(effects, most).join(blocks, ["_scope", "_node"])
+    effects = numbered_blocks.select("_scope", "_some", "_node", "_at", size).groupBy("_scope", "_some").applyInPandas(summarize, _NODE)
+    starts = _starts(effects, most).withColumn("_some", F.floor(F.col("_node") / many))
 
     schema = T.StructType([*placed.schema.fields, T.StructField("shard", T.IntegerType())])
+    wide = numbered_blocks.select(*placed.columns, "_some", "_node")
 
     def number(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        level, shard = int(start["_level"].iloc[0]), int(start["_shard"].iloc[0])
-        pdf["shard"] = _number_block(pdf[size].to_numpy(), level, shard, limit)
-        return pdf
+        pdf, start = pdf.sort_values(["_node", "_at"]), start.sort_values("_node")
+        first = np.unique(pdf["_node"].to_numpy(), return_index=True)[1]
+        parts = zip(np.split(pdf[size].to_numpy(), first[1:]), start["_level"], start["_shard"], strict=True)
+        pdf["shard"] = np.concatenate([_number_block(x, int(level), int(shard), limit) for x, level, shard in parts])
+        return pdf.drop(columns=["_some", "_node"])
 
-    numbered = placed.groupBy(*_BLOCK).cogroup(starts.groupBy(*_BLOCK)).applyInPandas(number, schema)
+    numbered = wide.groupBy("_scope", "_some").cogroup(starts.groupBy("_scope", "_some")).applyInPandas(number, schema)
     return numbered.select(*files.columns, "shard")
 
 
