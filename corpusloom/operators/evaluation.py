@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,15 +91,14 @@ PAIRS_AT_ONCE = 256
 def _match_udf(orders: Sequence[int]):
     orders = list(orders)
 
-    @F.pandas_udf("array<long>")
-    def matches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def matches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # Only the texts of some pairs at a time become Python objects, however large Spark's batches are.
         for predictions, references in batches:
-            rows: list[np.ndarray] = []
             for first in range(0, len(predictions), PAIRS_AT_ONCE):
-                part = slice(first, first + PAIRS_AT_ONCE)
-                texts = [t.split(" ") if t else [] for pair_ in zip(predictions[part], references[part]) for t in pair_]
-                rows.extend(clipped_matches(texts, orders))
-            yield pd.Series(rows)
+                part = (side.slice(first, PAIRS_AT_ONCE).to_pylist() for side in (predictions, references))
+                texts = [t.split(" ") if t else [] for pair_ in zip(*part, strict=True) for t in pair_]
+                yield pa.array(list(clipped_matches(texts, orders)), pa.list_(pa.int64()))
 
     # Declared non-deterministic so that the optimizer never copies the call.
     return matches.asNondeterministic()
