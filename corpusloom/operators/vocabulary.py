@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,21 @@ def _with_tail(rows: DataFrame, key: str, values: str, vocab: DataFrame, source:
     return mapped, rows.sparkSession.sparkContext.broadcast(common)
 
 
+def _mapped(values: pa.Array, common: tuple[pa.Array, pa.Array], rare: pa.Array, targets: pa.Array) -> pa.Array:
+    """What the elements of a list array map to, null where neither map knows one.
+
+    Rare maps are parts of one vocabulary, so those of all rows of a batch serve as one.
+    """
+    flat = values.flatten()
+    at = pc.index_in(flat, value_set=common[0])
+    return pc.coalesce(common[1].take(at), targets.flatten().take(pc.index_in(flat, value_set=rare.flatten())))
+
+
+def _lists(like: pa.Array, flat: pa.Array, lengths: np.ndarray) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, flat, mask=like.is_null())
+
+
 def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end: bool = False) -> DataFrame:
     """Add ``input_ids`` for a token array; unknown tokens become 0, a null array stays null, other columns stay.
 
@@ -69,18 +86,12 @@ def encode(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, append_end:
     """
     mapped, shared = _with_tail(rows, key, tokens, vocab, "token", "token_id", {BOS: BOS_ID, EOS: EOS_ID})
 
-    @F.pandas_udf("array<int>")
-    def code(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        common = shared.value
-
-        def ids(words, rare, codes):
-            if words is None:
-                return None
-            own = {} if rare is None else dict(zip(rare.tolist(), codes.tolist(), strict=True))
-            return np.fromiter((common[w] if w in common else own.get(w, UNK_ID) for w in words.tolist()), np.int32, len(words))
-
+    @F.arrow_udf("array<int>")
+    def code(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        common = pa.array(shared.value.keys(), pa.string()), pa.array(shared.value.values(), pa.int32())
         for words, rare, codes in parts:
-            yield pd.Series([ids(*row) for row in zip(words, rare, codes, strict=True)], dtype=object)
+            ids = _mapped(words, common, rare, codes).fill_null(UNK_ID)
+            yield _lists(words, ids, pc.list_value_length(words).fill_null(0).to_numpy())
 
     # Declared non-deterministic so that the optimizer never copies the call.
     out = mapped.withColumn("input_ids", code.asNondeterministic()(F.col(tokens), F.col("_from"), F.col("_to"))).drop("_from", "_to")
@@ -126,19 +137,15 @@ def decode(rows: DataFrame, key: str, labels: str, vocab: DataFrame, glue: str =
     """Add ``text``: -100, special and unknown ids are skipped, other ids become words put together by ``glue``; a null array stays null."""
     mapped, shared = _with_tail(rows, key, labels, vocab, "token_id", "token", {})
 
-    @F.pandas_udf("string")
-    def name(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        common = shared.value
-
-        def text(ids, rare, words):
-            if ids is None:
-                return None
-            own = {} if rare is None else dict(zip(rare.tolist(), words.tolist(), strict=True))
-            found = (common.get(i) or own.get(i) for i in ids.tolist() if i >= FIRST_ID)
-            return glue.join(word for word in found if word is not None)
-
+    @F.arrow_udf("string")
+    def name(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        named = {i: word for i, word in shared.value.items() if i >= FIRST_ID and word}
+        common = pa.array(named.keys(), pa.int32()), pa.array(named.values(), pa.string())
         for ids, rare, words in parts:
-            yield pd.Series([text(*row) for row in zip(ids, rare, words, strict=True)], dtype=object)
+            found = _mapped(ids, common, rare, words)
+            kept = pc.and_(found.is_valid(), pc.greater_equal(ids.flatten(), FIRST_ID).fill_null(False))
+            row = pc.list_parent_indices(ids).filter(kept).to_numpy()
+            yield pc.binary_join(_lists(ids, found.filter(kept), np.bincount(row, minlength=len(ids))), glue)
 
     return mapped.withColumn("text", name.asNondeterministic()(F.col(labels), F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
