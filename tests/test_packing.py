@@ -151,3 +151,9 @@ def test_group_limit_comes_before_the_shuffle(spark):
     )
     plan = plan_of(limit_per_folder(spark.read.parquet(path), 3))
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_many_small_blocks_and_a_null_folder(spark):
+    sizes = {"A": [3, 9, 4, 4, 1, 12, 2] * 9, None: [5, 5, 1, 7] * 6}
+    got = pack(files(spark, sizes), 10, block_rows=2).orderBy("folder", "i").collect()
+    assert {f: [r.shard for r in got if r.folder == f] for f in sizes} == {f: greedy(s, 10) for f, s in sizes.items()}

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.operators import semantic
@@ -125,3 +126,14 @@ def test_units_without_words(spark):
     slow = {r.pos: r.distance for r in semantic.distances(semantic.word_counts(contexts), contexts).collect()}
     assert slow == {r.pos: r.distance for r in semantic.distance_rows(docs).collect()}
     assert slow[1] == 1.0
+
+
+def test_a_null_text_has_no_distances(spark):
+    rows = spark.createDataFrame([(1, "One two. Two three. Three."), (2, None)], "doc_id int, text string")
+    assert {r.doc_id for r in semantic.distance_rows(rows).collect()} == {1}
+
+
+def test_units_are_objects_of_few_documents_at_a_time():
+    many = pa.array([["a"], None, []] * semantic.DOCS_AT_ONCE)
+    parts = list(semantic.some_documents(iter([many])))
+    assert [len(p) for p in parts] == [semantic.DOCS_AT_ONCE] * 3 and sum(parts, []) == many.to_pylist()
