@@ -285,42 +285,34 @@ def _f(hits: int, n_pred: int, n_ref: int) -> float:
     return 2 * hits / (n_pred + n_ref) if hits else 0.0
 
 
-def _union(ref: tuple[str, ...], cans: list[tuple[str, ...]], bags: list[set[str]], lines: dict[str, list[int]]) -> list[int]:
-    """Reference positions in the LCS with any candidate line. Lines that share most come first; a line that could add nothing is skipped."""
-    shared = Counter(k for token in set(ref) for k in lines.get(token, ()))
-    union: set[int] = set()
-    left = {i for i, token in enumerate(ref) if token in lines}
-    for k, _ in shared.most_common():
-        if not left:
-            break
-        if any(ref[i] in bags[k] for i in left):
-            new = set(range(len(ref))) if cans[k] == ref else lcs_positions(ref, cans[k])
-            union |= new
-            left -= new
-    return sorted(union)
-
-
 def summary_hits(refs: list[list[str]], cans: list[list[str]]) -> int:
-    """Union of the LCS positions over candidate sentences, clipped by token counts. Equal lines are compared once."""
-    left_ref = Counter(t for s in refs for t in s)
-    left_can = Counter(t for s in cans for t in s)
+    """Union of the LCS positions over candidate sentences, clipped by token counts. Equal lines are compared once.
+
+    A token counts as often as it is in unions, but no more often than in the candidate. So every line meets the candidate line it
+    shares most with first, and others only while they could add a token that is still wanted.
+    """
+    wanted = Counter(t for s in cans for t in s)
     different = list(dict.fromkeys(map(tuple, cans)))
     bags = [set(c) for c in different]
     lines: dict[str, list[int]] = {}
     for k, bag in enumerate(bags):
         for token in bag:
             lines.setdefault(token, []).append(k)
-    unions: dict[tuple[str, ...], list[int]] = {}
-    hits = 0
-    for ref in map(tuple, refs):
-        if ref not in unions:
-            unions[ref] = _union(ref, different, bags, lines)
-        for i in unions[ref]:
-            token = ref[i]
-            if left_ref[token] > 0 and left_can[token] > 0:
-                hits += 1
-                left_ref[token] -= 1
-                left_can[token] -= 1
+    # Positions that no union has yet.
+    left = {ref: {i for i, token in enumerate(ref) if token in lines} for ref in map(tuple, refs)}
+    times, hits = Counter(map(tuple, refs)), 0
+    for first in (True, False):
+        for ref, open_ in left.items():
+            if not any(wanted[ref[i]] > 0 for i in open_):
+                continue
+            shared, count = Counter(k for token in set(ref) for k in lines.get(token, ())), times[ref]
+            for k, _ in shared.most_common(1 if first else None):
+                if any(wanted[ref[i]] > 0 and ref[i] in bags[k] for i in open_):
+                    new = set(open_) if different[k] == ref else lcs_positions(ref, different[k]) & open_
+                    open_ -= new
+                    for i in new:
+                        hits += max(min(count, wanted[ref[i]]), 0)
+                        wanted[ref[i]] -= count
     return hits
 
 
@@ -336,11 +328,20 @@ def score_lines(prediction: str, reference: str) -> tuple[float, float]:
     return _f(lcs, len(p), len(r)), _f(union, len(p), len(r))
 
 
+#: Lower-case ASCII letters, digits and line breaks stay; any other byte of a UTF-8 text becomes a blank.
+_LINE_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789\n" else 32 for c in range(256))
+
+
+def rouge_lines(lowered: str | None) -> str:
+    """Lower-cased text with blanks for all but ASCII letters and digits; how many blanks stand for a run does not matter."""
+    return (lowered or "").encode().translate(_LINE_BYTES).decode()
+
+
 def _rouge_l_udf():
     @F.pandas_udf("struct<rouge_l:double,rouge_lsum:double>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for predictions, references in batches:
-            rows = [score_lines(p or "", r or "") for p, r in zip(predictions, references)]
+            rows = [score_lines(rouge_lines(p), rouge_lines(r)) for p, r in zip(predictions, references)]
             yield pd.DataFrame(rows, columns=["rouge_l", "rouge_lsum"])
 
     return score.asNondeterministic()
@@ -348,10 +349,7 @@ def _rouge_l_udf():
 
 def rouge_l(pairs: DataFrame, key: str, prediction: Column, reference: Column) -> DataFrame:
     """``(key, rouge_l, rouge_lsum)`` per pair; each pair is one row, nothing moves."""
-    def lines(text: Column) -> Column:
-        return F.regexp_replace(F.lower(text), "[^a-z0-9\\n]+", " ")
-
-    scored = pairs.select(key, _rouge_l_udf()(lines(prediction), lines(reference)).alias("s"))
+    scored = pairs.select(key, _rouge_l_udf()(F.lower(prediction), F.lower(reference)).alias("s"))
     return scored.select(key, "s.rouge_l", "s.rouge_lsum")
 
 
