@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +28,43 @@ def _bigrams(tokens: Column) -> Column:
     return let(tokens, pairs)
 
 
+#: Texts whose words are numbered together.
+TEXTS_AT_ONCE = 512
+
+
+def gram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``(a, b, n)``: how often each word ``a`` occurs (``b`` is null) and is followed by ``b``.
+
+    Grams are counted within a few texts in Arrow, in one pass; only their partial counts become rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                split = pc.ascii_split_whitespace(batch.column(0).slice(first, TEXTS_AT_ONCE).fill_null(""))
+                flat, of = split.flatten(), pc.list_parent_indices(split)
+                kept = pc.not_equal(flat, "")
+                found, of = flat.filter(kept).dictionary_encode(), of.filter(kept).to_numpy()
+                words_, width = found.indices.to_numpy().astype(np.int64), max(len(found.dictionary), 1)
+                inside = of[:-1] == of[1:]
+                pairs, n = np.unique(words_[:-1][inside] * width + words_[1:][inside], return_counts=True)
+                single = np.bincount(words_, minlength=len(found.dictionary))
+                following = found.dictionary.take(pa.array(pairs % width))
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([found.dictionary, found.dictionary.take(pa.array(pairs // width))]),
+                    pa.concat_arrays([pa.nulls(len(single), following.type), following]),
+                    pa.array(np.concatenate([single, n]), pa.int64()),
+                ], names=["a", "b", "n"])
+
+    counted = rows.select(F.lower(text)).mapInArrow(run, "a string, b string, n bigint")
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def unigram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
-    exploded = rows.select(F.explode(model_tokens(F.col(text))).alias("a"))
-    return exploded.groupBy("a").agg(F.count("*").alias("c_a"))
+    return gram_counts(rows, text).where("b is null").select("a", F.col("n").alias("c_a"))
 
 
 def bigram_counts(rows: DataFrame, text: str = "text") -> DataFrame:
-    exploded = rows.select(F.explode(_bigrams(model_tokens(F.col(text)))).alias("g")).select("g.a", "g.b")
-    return exploded.groupBy("a", "b").agg(F.count("*").alias("c_ab"))
+    return gram_counts(rows, text).where("b is not null").select("a", "b", F.col("n").alias("c_ab"))
 
 
 def perplexity(train: DataFrame, test: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -40,9 +74,10 @@ def perplexity(train: DataFrame, test: DataFrame, key: str, text: str = "text")
     looked up side by side: common ones on the map side, rare ones through a shuffle.
     A bigram that training never saw adds ln 1 = 0 to the first part.
     """
-    # Both count tables are read more than once; they are written first.
-    unigrams = materialize(unigram_counts(train, text), "unigrams")
-    bigrams = materialize(bigram_counts(train, text), "bigrams")
+    # Both counts are read more than once; they are taken in one pass and written first.
+    grams = materialize(gram_counts(train, text), "grams")
+    unigrams = materialize(grams.where("b is null").select("a", F.col("n").alias("c_a")), "unigrams")
+    bigrams = grams.where("b is not null").select("a", "b", F.col("n").alias("c_ab"))
     size = unigrams.agg(F.count("*").alias("v")).scalar()
     # So are the bigrams of the texts: two lookups read them.
     seen = test.select(key, F.explode(_bigrams(model_tokens(F.col(text)))).alias("g")).groupBy(
