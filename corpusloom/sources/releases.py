@@ -17,12 +17,21 @@ import json
 import os
 import urllib.parse
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.pages import NO_VALUE, opened
+
 RECORD = T.StructType([
     T.StructField("version", T.IntegerType()),
     T.StructField("run", T.StringType()),
@@ -89,20 +98,81 @@ def head(spark: SparkSession, root: str) -> tuple[int, int]:
     return row["version"], row["following"]
 
 
+class _PartFile:
+    """Rows of one part from one task. The file gets its name when it is whole, so that a second attempt cannot mix with it."""
+
+    def __init__(self, store: fs.FileSystem, folder: str, schema: pa.Schema) -> None:
+        task = TaskContext.get()
+        store.create_dir(folder, recursive=True)
+        self.store, self.name = store, f"{folder}/rows-{task.partitionId():05d}.parquet"
+        self.aside = f"{folder}/.rows-{task.partitionId():05d}.{task.taskAttemptId()}"
+        self.stream = store.open_output_stream(self.aside)
+        self.writer = pq.ParquetWriter(self.stream, schema)
+
+    def close(self) -> None:
+        self.writer.close()
+        self.stream.close()
+        try:
+            self.store.move(self.aside, self.name)
+        except OSError:
+            # Some stores do not rename onto a file, which then is that of another attempt: the same rows.
+            if self.store.get_file_info(self.name).type != fs.FileType.File:
+                raise
+            self.store.delete_file(self.aside)
+
+
+def _part_writer(folder: str) -> Callable:
+    def write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        file, now = None, None
+        for batch in batches:
+            at = batch.schema.get_field_index("part")
+            parts, rows = batch.column(at).fill_null(-1).to_numpy(), pa.Table.from_batches([batch]).remove_column(at)
+            size = pc.sum(pc.binary_length(rows["text"])).as_py() or 0
+            starts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
+            for start, end in zip(starts, np.append(starts[1:], len(parts)), strict=True):
+                if file is None or parts[start] != now:
+                    if file is not None:
+                        file.close()
+                    now = parts[start]
+                    file = _PartFile(store, f"{base}/part={NO_VALUE if now < 0 else now}", rows.schema)
+                file.writer.write_table(rows.slice(start, end - start))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in (len(parts), size)], ["chunks", "bytes"])
+        if file is not None:
+            file.close()
+
+    return write_batches
+
+
+def _write_parts(rows: DataFrame, folder: str) -> dict:
+    """Write rows below ``folder`` as ``part=<n>/``, in the tasks that hold them; their number and the bytes of their texts.
+
+    Rows are spread by part so that a part does not end in one small file per task; AQE splits one that is far larger than the
+    others. Spark's own writer starts a process for each folder and file on a local disk, which took nine tenths of its time
+    where parts are small; it stays in use where Python cannot open the store.
+    """
+    spread = rows.hint("rebalance", "part")
+    try:
+        store, base = opened(folder)
+        store.create_dir(base, recursive=True)
+    except (OSError, ImportError, pa.ArrowException):
+        written = Observation()
+        out = spread.observe(written, F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+        out.write.options(**_IN_TASKS).partitionBy("part").parquet(folder)
+        return written.get
+    told = spread.sortWithinPartitions("part").mapInArrow(_part_writer(folder), "chunks long, bytes long")
+    return told.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in told.columns)).first().asDict()
+
+
 def write_run(rows: DataFrame | None, entries: DataFrame, root: str, shard: str = "shard") -> dict:
     """Write a run's rows (with ``shard`` from 0) and ledger entries ``(path, shard, status, error)``; what a commit needs to know.
 
-    Counters are observed on the rows as they are written; nothing is read again.
+    Counters are taken from the rows as they are written; nothing is read again.
     """
     run = f"r{uuid.uuid4().hex}"
     told, sums = Observation(), {"chunks": 0, "bytes": 0}
     if rows is not None:
-        written = Observation()
-        out = rows.withColumnRenamed(shard, "part").hint("rebalance", "part").observe(
-            written, F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")
-        )
-        out.write.options(**_IN_TASKS).partitionBy("part").parquet(f"{root}/data/run={run}")
-        sums = written.get
+        sums = _write_parts(rows.withColumnRenamed(shard, "part"), f"{root}/data/run={run}")
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("done", "empty", "failed")]
     shards = (F.coalesce(F.max("part"), F.lit(-1)) + 1).alias("shards")
     listed = entries.select("path", F.col(shard).cast("int").alias("part"), "status", "error").observe(told, *counts, shards)

@@ -1,12 +1,15 @@
+import pathlib
 import threading
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from corpusloom.plans import corpus_build
 from corpusloom.plans.corpus_build import BuildOptions, build_corpus, prepare, publish
 from corpusloom.session import scratch_path
-from corpusloom.sources.releases import adopt, entries, head, history, put_if_absent, read_release, read_release_shard
+from corpusloom.sources import releases
+from corpusloom.sources.releases import adopt, entries, head, history, put_if_absent, read_release, read_release_shard, write_run
 from tests.test_builds import corpus
 
 SMALL = BuildOptions(shard_bytes=12)
@@ -151,3 +154,36 @@ def test_only_one_of_many_creates_a_file(spark):
     for t in threads:
         t.join()
     assert len(won) == 1 and [r.value for r in spark.read.text(path).collect()] == [str(won[0])]
+
+
+ROWS = [(f"é{i}" if i % 7 else None, f"f{i % 40}", "n", i % 40) for i in range(400)] + [(f"x{i}", "big", "n", 40) for i in range(3000)]
+
+
+def run_of(spark, out):
+    rows = spark.createDataFrame(ROWS, "text string, file_name string, node_id string, shard int").repartition(5)
+    listed = rows.groupBy("file_name", "shard").count().select(
+        F.col("file_name").alias("path"), "shard", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error")
+    )
+    run = write_run(rows, listed, out)
+    assert releases.commit(spark, out, 1, run, 0)
+    got = sorted(map(tuple, read_release(spark, out).select("text", "file_name", "node_id", "shard").collect()), key=str)
+    return run, got, sorted(path.name for path in pathlib.Path(f"{out.removeprefix('file:')}/data/run={run['run']}").glob("part=*"))
+
+
+def test_tasks_write_the_parts_themselves(spark, monkeypatch):
+    """Without Spark's writer, which opens a folder for each part by a process of its own on a local disk."""
+    with monkeypatch.context() as patch:
+        patch.delattr(DataFrameWriter, "partitionBy")
+        run, got, folders = run_of(spark, scratch_path(spark, "t-out"))
+    assert got == sorted(ROWS, key=str) and folders == sorted(f"part={k}" for k in range(41))
+    assert (run["chunks"], run["bytes"], run["shards"], run["done"]) == (3400, sum(len((r[0] or "").encode()) for r in ROWS), 41, 41)
+
+
+def test_a_store_that_python_cannot_open_gets_the_same_parts(spark, monkeypatch):
+    def closed(path):
+        raise OSError("no library")
+
+    monkeypatch.setattr(releases, "opened", closed)
+    run, got, folders = run_of(spark, scratch_path(spark, "t-out"))
+    assert got == sorted(ROWS, key=str) and set(folders) == {f"part={k}" for k in range(41)}
+    assert (run["chunks"], run["bytes"], run["shards"], run["done"]) == (3400, sum(len((r[0] or "").encode()) for r in ROWS), 41, 41)
