@@ -14,14 +14,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; every row is (node, smaller node)."""
-    around = _both_ways(edges)
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _both_ways(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     # Both steps leave pairs whose first node is the larger.
-    large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    rising = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = rising.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-    small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-        joined.select("a", F.col("m").alias("b"))
-    )
+    # Not a union of two selections: that plans all of the above twice, in the driver's memory.
+    small = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return small.where("a <> b").distinct()
 
 

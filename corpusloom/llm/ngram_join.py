@@ -226,19 +226,25 @@ def _linked(a, left, b, right):
     return [a[i] for i in stay], [b[i] for i in stay]
 
 
-def _with(pairs: DataFrame, table: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
-    """``pairs`` with columns of ``table`` for one end; a node with very many pairs is dealt over several tasks."""
-    many = pairs.groupBy(end).agg(F.ceil(F.count("*") / HUB_PAIRS).alias("salts")).where("salts > 1")
-    salts = F.coalesce("salts", F.lit(1).cast("long"))
-    dealt = pairs.join(many, end, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
-    copies = table.select(F.col("node").alias(end), *(F.col(k).alias(v) for k, v in names.items())).join(many, end, "left")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
-    return dealt.join(copies.select(end, *names.values(), every), [end, "salt"]).drop("salt")
+def _both_ends(pairs: DataFrame, table: DataFrame, *names: dict[str, str]) -> DataFrame:
+    """Pairs of a written table with columns of ``table`` for ``a`` and for ``b``; a node with very many pairs is dealt over several tasks."""
+    both = pairs
+    for end, columns in zip("ab", names, strict=True):
+        many = pairs.groupBy(end).agg(F.ceil(F.count("*") / HUB_PAIRS).alias("salts")).where("salts > 1")
+        copies = table.select(F.col("node").alias(end), *(F.col(k).alias(v) for k, v in columns.items()))
+        if many.isEmpty():  # the usual case; its plan has three tables less
+            both = both.join(copies, end)
+            continue
+        salts = F.coalesce("salts", F.lit(1).cast("long"))
+        dealt = both.join(many, end, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+        both = dealt.join(copies.join(many, end, "left").select(end, *columns.values(), every), [end, "salt"]).drop("salt")
+    return both
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of a written table that reach the threshold on their full sets."""
-    both = _with(_with(pairs, sets, "a", {"shingles": "left"}), sets, "b", {"shingles": "right"})
+    both = _both_ends(pairs, sets, {"shingles": "left"}, {"shingles": "right"})
     return map_batches(both.select("a", "left", "b", "right"), "a bigint, b bigint", _linked)
 
 
@@ -304,7 +310,7 @@ def _prefixes_allow(a, size_a, end_a, prefix_a, b, size_b, end_b, prefix_b):
 def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs of a written table that their prefixes allow to link."""
     sides = [{k: f"{k}_{end}" for k in ("size", "end", "prefix")} for end in "ab"]
-    both = _with(_with(pairs, prefixes, "a", sides[0]), prefixes, "b", sides[1])
+    both = _both_ends(pairs, prefixes, *sides)
     return map_batches(
         both.select("a", *sides[0].values(), "b", *sides[1].values()), "a bigint, b bigint", _prefixes_allow
     )

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import ngram_join
-from corpusloom.llm.ngram_join import keys_of, needed, ngram_components, prefix_length
+from corpusloom.llm.components import _stars
+from corpusloom.llm.ngram_join import _links, keys_of, needed, ngram_components, prefix_length
+from corpusloom.session import materialize
 from helpers import ascii_words, lower, prose
 
 
@@ -101,3 +103,21 @@ def test_tokens_of_others_make_no_key():
     assert keys_of(100, [], [], []) == []
     assert keys_of(100, [17], [5], [1]) == []  # sixteen tokens nobody has come first
     assert len(keys_of(100, [3], [5], [1])) == 1
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """A query plans a dozen such steps; each table that a plan names again takes the driver's memory."""
+    edges = materialize(spark.createDataFrame([(5, 1), (2, 5), (7, 7), (9, 8), (3, 1), (5, 1)], "a long, b long"), "t-edges")
+    assert scans(_stars(edges)) <= 6
+    assert sorted(map(tuple, _stars(edges).collect())) == [(2, 1), (3, 1), (5, 1), (9, 8)]
+    sets = [(k, np.arange(k, k + 100, dtype=np.uint64).tobytes()) for k in range(0, 40, 4)]
+    pairs = materialize(spark.createDataFrame([(a, b) for a, _ in sets for b, _ in sets if a > b], "a long, b long"), "t-pairs")
+    table = materialize(spark.createDataFrame(sets, "node long, shingles binary"), "t-sets")
+    want = [(a, b) for a in range(0, 40, 4) for b in range(0, a, 4) if 100 * (100 - a + b) >= 85 * (100 + a - b)]
+    assert scans(_links(pairs, table)) <= 3 and sorted(map(tuple, _links(pairs, table).collect())) == want
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
+    assert sorted(map(tuple, _links(pairs, table).collect())) == want
