@@ -19,34 +19,44 @@ from corpusloom.session import scratch_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of an Arrow batch: what a task holds of long texts, in the executor and again in its Python worker.
+BATCH_BYTES = "8m"
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Python tasks get the package, and batches of bounded size unless the session says how large."""
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``labels``, does not reject."""
-    ship_package(spark)
+    _prepare(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    ship_package(spark)
+    _prepare(spark)
     return drop_exact_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near copies, the document with the smallest doc_id."""
-    ship_package(spark)
+    _prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of ``benchmark``; documents that are mostly such passages go."""
-    ship_package(spark)
+    _prepare(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_pieces, ids, lossless)``: ids as packed 32-bit integers, checked by decoding them."""
-    ship_package(spark)
+    _prepare(spark)
     return encode(docs)
 
 
@@ -64,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written to the shared folder and read again."""
-    ship_package(spark)
+    _prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")

@@ -69,11 +69,13 @@ def give_back() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[..., list], rows: int = ROWS_AT_ONCE) -> DataFrame:
+def map_batches(
+    df: DataFrame, schema: str, work: Callable[..., list], rows: int = ROWS_AT_ONCE, finish: Callable[[], None] | None = None
+) -> DataFrame:
     """Run ``work(*columns) -> columns`` on slices of Arrow batches.
 
     Columns are Python lists; what ``work`` returns may be shorter or longer than its
-    input. A task holds one Arrow batch and one slice as Python values.
+    input. A task holds one Arrow batch and one slice as Python values, and calls ``finish`` at its end.
     """
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
@@ -85,6 +87,8 @@ def map_batches(df: DataFrame, schema: str, work: Callable[..., list], rows: int
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=field.type) for values, field in zip(out, arrow, strict=True)], schema=arrow
                 )
+        if finish is not None:
+            finish()
         give_back()
 
     return df.mapInArrow(run, schema)

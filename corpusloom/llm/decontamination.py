@@ -165,27 +165,34 @@ def item_shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[li
 _FOUND = "__n_words bigint, __spans array<struct<start: int, stop: int>>, __items array<string>"
 
 
-def with_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def with_spans(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, coverage: float | None = None
+) -> DataFrame:
     """``docs`` with ``__n_words``, ``__spans`` and ``__items``.
 
     Spans are word positions, end exclusive, in order and disjoint; items are the sorted ids (as strings) with an
     occurring window. Null and empty texts have no words. Items without words match nothing; an item whose id is
     null is found but not named. Repeated rows and items change nothing; other columns pass through unread.
+    With ``coverage`` the last pass also cuts the spans (see :func:`decontaminate`) and gives the columns of ``docs`` alone.
     """
     state = docs.withColumns({
         "__n_words": F.lit(0).cast("long"),
         "__spans": F.expr("cast(array() as array<struct<start: int, stop: int>>)"),
         "__items": F.expr("cast(array() as array<string>)"),
     })
-    for turn, shard in enumerate(item_shards(items, shard_words)):
-        if turn:
-            state = materialize(state, "decontamination")
+    text_at, shards = state.columns.index("text"), item_shards(items, shard_words)
+    shard = next(shards)  # there is always one
+    while shard is not None:
         automaton = docs.sparkSession.sparkContext.broadcast(Automaton(shard, window))
-        state = state.mapInArrow(_scanner(automaton, state.columns.index("text")), state.schema)
-    return state
+        shard = next(shards, None)
+        if shard is not None:
+            state = materialize(state.mapInArrow(_scanner(automaton, text_at), state.schema), "decontamination")
+    if coverage is None:
+        return state.mapInArrow(_scanner(automaton, text_at), state.schema)
+    return state.mapInArrow(_scanner(automaton, text_at, coverage), docs.schema)
 
 
-def _scanner(automaton, text_at: int):
+def _scanner(automaton, text_at: int, coverage: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = automaton.value.scan
         for batch in batches:
@@ -201,6 +208,9 @@ def _scanner(automaton, text_at: int):
                         before = [(s["start"], s["stop"]) for s in spans[at]]
                         spans[at] = [{"start": a, "stop": b} for a, b in _merged(before + hits)]
                         items[at] = sorted({*items[at], *(x for x in found if x is not None)})
+                if coverage is not None:
+                    yield _cut(part, text_at, counts, spans, coverage)
+                    continue
                 schema = part.schema
                 new = [pa.array(v, f.type) for v, f in zip((counts, spans, items), list(schema)[-3:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], *new], schema=schema)
@@ -209,6 +219,19 @@ def _scanner(automaton, text_at: int):
     return run
 
 
+def _cut(part: pa.RecordBatch, text_at: int, counts: list[int], spans: list[list[dict]], coverage: float) -> pa.RecordBatch:
+    """Rows without the last three columns and their spans; those with too many words in spans are left out."""
+    columns, names = part.columns[:-3], part.schema.names[:-3]
+    found = [[(s["start"], s["stop"]) for s in row] for row in spans]
+    if not any(found):
+        return pa.RecordBatch.from_arrays(columns, names=names)
+    stay = [sum(b - a for a, b in pairs) <= coverage * n for pairs, n in zip(found, counts, strict=True)]
+    texts = columns[text_at].to_pylist()
+    texts = [without_spans(t, pairs) if pairs and s else t for t, pairs, s in zip(texts, found, stay, strict=True)]
+    columns[text_at] = pa.array(texts, part.schema.field(text_at).type)
+    return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, stop in sorted(spans):
@@ -248,19 +271,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
 
     Columns, their order and all other values are those of ``docs``. Clean documents come back unchanged.
     """
-    at = docs.columns.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, spans = batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 2)
-            texts, stay = [], []
-            for text, n, found in zip(batch.column(at).to_pylist(), counts, spans.to_pylist(), strict=True):
-                pairs = [(s["start"], s["stop"]) for s in found]
-                stay.append(sum(b - a for a, b in pairs) <= coverage * n)
-                texts.append(without_spans(text, pairs) if pairs and stay[-1] else text)
-            columns = batch.columns[:-3]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            kept = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3])
-            yield kept.filter(pa.array(stay, pa.bool_()))
-
-    return with_spans(docs, items, window).mapInArrow(cut, docs.schema)
+    return with_spans(docs, items, window, coverage=coverage)

@@ -6,7 +6,7 @@ of a job gives the same ids. What no piece covers becomes UTF-8 byte pieces. Bla
 mark; a blank mark in the text itself goes through byte pieces, so decoding gives back every text.
 
 No piece of the vocabulary spans a blank mark after another character or a line break, so segments between them are encoded on
-their own; each line of a text has one of ``VARIANTS`` variants, and the task remembers what it has encoded.
+their own; each line of a text has one of ``VARIANTS`` variants, and a task remembers what it has encoded until it ends.
 """
 
 from __future__ import annotations
@@ -217,12 +217,19 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def _encoder(shared, *key) -> Encoder:
-    """One encoder for all tasks of a Python worker, with what it remembers."""
+    """One encoder for all tasks of a Python worker."""
     if key not in _encoders:
         _encoders[key] = Encoder(shared.value, *key[1:])
     return _encoders[key]
 
 
+def _forget() -> None:
+    """Drop the segments at the end of a task: workers that wait or do other work would hold them in the executor's memory."""
+    for encoder in _encoders.values():
+        for part in encoder.known:
+            part.clear()
+
+
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``(doc_id, n_pieces, ids, lossless)`` for each row of ``docs``.
 
@@ -239,7 +246,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
         return ids, [len(p) // 4 for p in packed], packed, same
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(source, "doc_id bigint, n_pieces bigint, ids binary, lossless boolean", work)
+    return map_batches(source, "doc_id bigint, n_pieces bigint, ids binary, lossless boolean", work, finish=_forget)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -75,3 +75,15 @@ def test_automaton_knows_longest_runs():
     automaton = Automaton([(str(k), w) for k, w in enumerate(words)], window=3)
     spans, found = automaton.scan(normal_words("x a b c e f g c d e"))
     assert spans == [(1, 10)] and found == {"0", "1", "2"}
+
+
+def test_one_python_pass_cuts_and_drops(spark):
+    """Each further pass in a stage takes another worker a task, and carries all texts once more."""
+    passage = " ".join(f"item{k}" for k in range(10))
+    docs = spark.createDataFrame([(1, f"a b c d e f g h i j k {passage} z"), (2, passage), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage), (8, "other words")], "item_id long, text string")
+    for shard_words in (100_000, 2):
+        cut = decontaminate(docs, items) if shard_words > 2 else with_spans(docs, items, shard_words=2, coverage=0.5)
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert sorted(map(tuple, cut.collect())) == [(1, "a b c d e f g h i j k  z"), (3, None)]

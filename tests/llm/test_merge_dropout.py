@@ -64,3 +64,22 @@ def test_rows(awkward, awkward_rows, nothing):
     got = sorted((r.doc_id or -1, r.text) for r in decode(encoded).collect())
     assert got == sorted((row[0] or -1, row[1] or "") for row in awkward_rows)
     assert encode(nothing).count() == 0
+
+
+def test_workers_forget_segments(spark):
+    """What a task has encoded does not stay in a worker that waits or does other work."""
+    rows = spark.createDataFrame([(i, f"word{i} again and again") for i in range(200)], "doc_id long, text string").repartition(4)
+    assert encode(rows).where("lossless").count() == 200
+
+    def held(batches):
+        import pyarrow as pa
+
+        from corpusloom.llm import merge_dropout
+
+        for _ in batches:
+            pass
+        known = [sum(map(len, encoder.known)) for encoder in merge_dropout._encoders.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([len(known)]), pa.array([sum(known)])], names=["encoders", "segments"])
+
+    found = spark.range(0, 64, 1, 8).mapInArrow(held, "encoders long, segments long").collect()
+    assert any(r.encoders for r in found) and not any(r.segments for r in found)

@@ -71,3 +71,15 @@ def test_queries(spark, name):
         want = duckdb.sql(ORACLES[name])
         columns = want.columns
         assert sorted(tuple(r[c] for c in columns) for r in rows) == sorted(want.fetchall())
+
+
+def test_stages_bound_batches_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        for own, want in ((None, corpus_pipeline.BATCH_BYTES), ("3m", "3m")):
+            spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+            corpus_pipeline.encoding_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
