@@ -11,8 +11,8 @@ The number of cells grows with a document's size class; a document whose partner
 
 Documents that share a key are linked without listing all pairs of a group: each is verified against one hub a key; where
 components still differ, those outside a key's main component meet the others in blocks: first each verifies its best partner,
-then all pairs that are left. Only pairs that their prefixes (and shingles without any other owner) allow are verified on full
-sets. All bounds are exact.
+then blocks of full sets are searched for links across components, of which those that join two components are rows. Only nodes
+that their prefixes (and shingles without any other owner) allow to link go that far. All bounds are exact.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ BLOCK = 1024
 HUB_PAIRS = 4096
 #: Keys of more nodes than this are merged with others of nearly the same nodes.
 MERGE = 64
-#: Sets of up to this size are compared whole, in 16 bits a token, within keys of many nodes.
-WHOLE = 4096
+#: Tokens of full sets outside the main component in a block, and a quarter of those of all others there.
+BLOCK_TOKENS = 1 << 19
 NO_END = (1 << 63) - 1
 #: Bits of the bitmap that keeps texts out of a join (8 MB, whatever the size of the corpus).
 BITMAP_BITS = 1 << 26
@@ -280,12 +280,6 @@ def _short(nodes, sizes, prefixes):
     return nodes, sizes, ends, [t.astype(np.uint16).tobytes() for t in tokens]
 
 
-def _whole(nodes, sets):
-    sets = [np.frombuffer(s, _U) for s in sets]
-    parts = [s if len(s) <= WHOLE else s[: prefix_length(len(s))] for s in sets]
-    return _short(nodes, [len(s) for s in sets], parts)
-
-
 def _allowed(common: np.ndarray, x: tuple, y: tuple) -> np.ndarray:
     """Whether pairs whose prefixes share ``common`` tokens may link; ``x`` and ``y`` are (size, shared size, prefix length, prefix end).
 
@@ -319,33 +313,52 @@ def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 class _Block:
     """Rows of one key: some outside its main component, and part of all others they may link to."""
 
-    def __init__(self, rows: list[np.ndarray]) -> None:
+    def __init__(self, rows: list[np.ndarray], kind: type) -> None:
         self.node, self.label, self.size, self.shared, self.minor, self.end = rows[:6]
-        self.prefix = [np.frombuffer(p, np.uint16) for p in rows[6]]
-        self.length = np.array([len(p) for p in self.prefix])
+        self.tokens = [np.frombuffer(p, kind) for p in rows[6]]
+        self.length = np.array([len(p) for p in self.tokens])
 
     def _side(self, at) -> tuple:
         return self.size[at], self.shared[at], self.length[at], self.end[at]
 
     def partners(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each row in ``x`` those in ``y`` of other components that may link, with the prefix tokens they share."""
-        tokens = np.concatenate([self.prefix[j] for j in y])
+        """For each row in ``x`` those in ``y`` that are in other components when its turn comes and may link, with the tokens
+        they share; of full sets, those that do link."""
+        tokens = np.concatenate([self.tokens[j] for j in y])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], np.repeat(np.arange(len(y)), self.length[y])[order]
         theirs = self._side(y)
         for i in x:
-            low, high = (np.searchsorted(tokens, self.prefix[i], side) for side in ("left", "right"))
+            good = (self.label[y] != self.label[i]) & (~self.minor[y] | (self.node[y] > self.node[i]))
+            if not good.any():
+                continue
+            low, high = (np.searchsorted(tokens, self.tokens[i], side) for side in ("left", "right"))
             spans = high - low
             at = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
             common = np.bincount(owner[at], minlength=len(y))
-            good = _allowed(common, self._side(i), theirs)
-            good &= (self.label[y] != self.label[i]) & (~self.minor[y] | (self.node[y] > self.node[i]))
+            good &= _allowed(common, self._side(i), theirs)
             if good.any():
                 yield i, y[good], common[good]
 
-
-def _block_rows(every: bool):
-    """Over runs of (key, block, part): all pairs ``(a, b)``, or the best of each row and ``(a, a)`` for whoever else has any."""
+    def best(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The best pair of each row in ``x``, and ``(a, a)`` for whoever else it may link to."""
+        for i, partners, common in self.partners(x, y):
+            one, others, best = int(self.node[i]), self.node[partners].tolist(), int(np.argmax(common))
+            yield max(one, others[best]), min(one, others[best])
+            yield from ((other, other) for k, other in enumerate(others) if k != best)
+
+    def links(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of full sets that join components: fewer than the block has labels."""
+        for i, partners, _ in self.partners(x, y):
+            for label, at in zip(*np.unique(self.label[partners], return_index=True), strict=True):
+                one, other = int(self.node[i]), int(self.node[partners[at]])
+                yield max(one, other), min(one, other)
+                self.label = np.where(self.label == label, self.label[i], self.label)
+
+
+def _block_rows(full: bool):
+    """Over runs of (key, block, part): links ``(a, b)`` between components, or, from prefixes, the best of each row and
+    ``(a, a)`` for whoever else has any."""
     def work(columns: list[np.ndarray]) -> list[pa.Array]:
         found: set[tuple[int, int]] = set()
         same = np.ones(len(columns[0]), bool)
@@ -358,13 +371,8 @@ def _block_rows(every: bool):
             x, y = np.flatnonzero(role != PARTNER), np.flatnonzero(role != ACTIVE)
             if not len(x) or len(y) < 2 - (PARTNER in role):
                 continue
-            block = _Block([c[a:b] for c in columns[4:]])
-            for i, partners, common in block.partners(x, y):
-                one = int(block.node[i])
-                others = block.node[partners].tolist()
-                best = int(np.argmax(common))
-                for k, other in enumerate(others):
-                    found.add((max(one, other), min(one, other)) if every or k == best else (other, other))
+            block = _Block([c[a:b] for c in columns[4:]], _U if full else np.uint16)
+            found.update(block.links(x, y) if full else block.best(x, y))
         pairs = list(found)
         return [pa.array([f[k] for f in pairs], pa.int64()) for k in range(2)]
 
@@ -375,23 +383,25 @@ def _block_rows(every: bool):
 ACTIVE, PARTNER, BOTH = 1, 2, 3
 
 
-def _cross(rows: DataFrame, prefixes: DataFrame, own: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
-    """Pairs across components that may link, from open rows of keys.
+def _cross(rows: DataFrame, prefixes: DataFrame, own: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs across components, from open rows of keys.
 
-    Without ``own``: the best pair of each row outside its key's main component, and ``(a, a)`` for others that have any.
-    With it, nodes that are not in it have no pair; and rows of keys with many nodes bring more than a prefix, from ``whole``.
+    Without ``own``: the best pair of each row outside its key's main component that may link, and ``(a, a)`` for others that have any.
+    With it, links on full ``sets`` that join components; nodes that are not in it have none.
     """
-    full = rows.join(prefixes.select("node", "end", "prefix"), "node")
-    if own is not None:
-        many = rows.where(F.col("n") > MERGE).join(whole.select("node", "end", "prefix"), "node")
-        full = full.where(F.col("n") <= MERGE).unionByName(many).join(own, "node")
-        full = full.where((F.col("size") - F.col("own")) * THRESHOLD[1] >= F.col("size") * THRESHOLD[0])
+    if own is None:
+        full, weight = rows.join(prefixes.select("node", "end", "prefix"), "node"), F.lit(0)
+    else:
+        some = rows.join(own, "node").where((F.col("size") - F.col("own")) * THRESHOLD[1] >= F.col("size") * THRESHOLD[0])
+        whole = sets.select("node", F.lit(NO_END).alias("end"), F.col("shingles").alias("prefix"))
+        full, weight = some.join(whole, "node"), F.lit(1)
     shared = F.col("size") - (F.col("own") if own is not None else F.lit(0))
-    blocks, parts = F.ceil(F.col("n_minor") / BLOCK), F.ceil(F.col("n") / (4 * BLOCK))
+    blocks = F.ceil(F.greatest(F.col("n_minor") / BLOCK, weight * F.col("minor_tokens") / BLOCK_TOKENS))
+    parts = F.ceil(F.greatest(F.col("n") / (4 * BLOCK), weight * F.col("tokens") / (4 * BLOCK_TOKENS)))
     inner = ["node", "label", "size", shared.alias("shared"), "minor", "end", "prefix"]
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
-    one = (F.col("n_minor") <= BLOCK) & (F.col("n") <= 4 * BLOCK)
+    one = (blocks <= 1) & (parts <= 1)
     zero = F.lit(0).cast("long")
     dealt = full.where(one).select(
         "key", zero.alias("block"), zero.alias("part"), F.when(F.col("minor"), BOTH).otherwise(PARTNER).alias("role"), *inner
@@ -408,12 +418,16 @@ def _cross(rows: DataFrame, prefixes: DataFrame, own: DataFrame | None = None, w
 def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of keys with more than one component, and whether they are outside the key's main one."""
     labelled = materialize(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     of_key = parts.groupBy("key").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
-    ).where("labels > 1").select("key", "n", (F.col("n") - F.col("main.n")).alias("n_minor"), F.col("main.label").alias("main"))
+        F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max(F.struct("n", "label", "tokens")).alias("main"),
+        F.count("*").alias("labels"),
+    ).where("labels > 1").select(
+        "key", "n", "tokens", (F.col("n") - F.col("main.n")).alias("n_minor"),
+        (F.col("tokens") - F.col("main.tokens")).alias("minor_tokens"), F.col("main.label").alias("main"),
+    )
     rows = lookup(labelled, materialize(of_key, "keys"), ["key"], "n").where("main is not null")
-    return materialize(rows.select("key", "node", "size", "label", "n", "n_minor", (F.col("label") != F.col("main")).alias("minor")), "open")
+    return materialize(rows.select("key", "node", "size", "label", "n", "n_minor", "tokens", "minor_tokens", (F.col("label") != F.col("main")).alias("minor")), "open")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,9 +499,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     stars = contract(stars.unionByName(_links(found.where("a <> b"), sets)), 2)
     own = materialize(_own_shingles(sets), "own")
     still_open = _open_rows(open_rows.join(own.select("node"), "node", "left_semi").select("key", "node", "size"), known_labels(stars))
-    whole = map_batches(sets.select("node", "shingles"), "node bigint, size bigint, end bigint, prefix binary", _whole)
-    pairs = materialize(_cross(still_open, prefixes, own, whole), "pairs")
-    final = components(stars.unionByName(_links(pairs, sets)))
+    final = components(stars.unionByName(materialize(_cross(still_open, prefixes, own, sets), "pairs")))
     lowest = names.join(final, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     linked = final.join(lowest, "label").select("node", "component_id", F.lit(True).alias("linked"))
     named = names.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

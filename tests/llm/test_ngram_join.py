@@ -121,3 +121,29 @@ def test_plans_stay_small(spark, monkeypatch):
     assert scans(_links(pairs, table)) <= 3 and sorted(map(tuple, _links(pairs, table).collect())) == want
     monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
     assert sorted(map(tuple, _links(pairs, table).collect())) == want
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_blocks_give_links_that_join_components(spark, cut, monkeypatch):
+    """A group of copies that all link makes fewer rows than a block has components, not one for each pair and key."""
+    if cut:
+        monkeypatch.setattr(ngram_join, "BLOCK", 16)
+        monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 1 << 11)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    texts = [np.unique(np.concatenate([base[:195], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(60)]
+    texts += [np.unique(np.concatenate([base[:150], rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))]  # links with none
+    size = [len(t) for t in texts]
+    sets = spark.createDataFrame([(k, t.tobytes()) for k, t in enumerate(texts)], "node long, shingles binary")
+    own = spark.createDataFrame([(k, 5 if k < 60 else 0) for k in range(61)], "node long, own long")
+    keys = spark.createDataFrame([(key, k, size[k]) for key in range(4) for k in range(61)], "key long, node long, size long")
+    nobody = spark.createDataFrame([], "node long, label long")
+    rows = ngram_join._open_rows(keys, nobody)
+    found = [tuple(r) for r in ngram_join._cross(rows, None, own, sets).collect()]
+    graph = {k: {k} for k in range(61)}
+    for a, b in found:
+        both = graph[a] | graph[b]
+        for k in both:
+            graph[k] = both
+    assert graph[0] == set(range(60)) and graph[60] == {60}
+    assert len(found) <= (59 if not cut else 59 * 16) and len(found) < 60 * 59 // 2
