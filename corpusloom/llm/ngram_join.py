@@ -11,8 +11,8 @@ The number of cells grows with a document's size class; a document whose partner
 
 Documents that share a key are linked without listing all pairs of a group: each is verified against one hub a key; where
 components still differ, those outside a key's main component meet the others in blocks: first each verifies its best partner,
-then blocks of full sets are searched for links across components, of which those that join two components are rows. Only nodes
-that their prefixes (and shingles without any other owner) allow to link go that far. All bounds are exact.
+then blocks of prefixes tell which nodes may link to others of their key, and blocks of the full sets of these are searched for
+links, of which those that join two components are rows. All bounds are exact.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ BLOCK = 1024
 HUB_PAIRS = 4096
 #: Keys of more nodes than this are merged with others of nearly the same nodes.
 MERGE = 64
+#: Sets of up to this size are compared whole, in 16 bits a token, within keys of many nodes.
+WHOLE = 4096
 #: Tokens of full sets outside the main component in a block, and a quarter of those of all others there.
 BLOCK_TOKENS = 1 << 19
 NO_END = (1 << 63) - 1
@@ -280,6 +282,12 @@ def _short(nodes, sizes, prefixes):
     return nodes, sizes, ends, [t.astype(np.uint16).tobytes() for t in tokens]
 
 
+def _whole(nodes, sets):
+    sets = [np.frombuffer(s, _U) for s in sets]
+    parts = [s if len(s) <= WHOLE else s[: prefix_length(len(s))] for s in sets]
+    return _short(nodes, [len(s) for s in sets], parts)
+
+
 def _allowed(common: np.ndarray, x: tuple, y: tuple) -> np.ndarray:
     """Whether pairs whose prefixes share ``common`` tokens may link; ``x`` and ``y`` are (size, shared size, prefix length, prefix end).
 
@@ -313,7 +321,8 @@ def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 class _Block:
     """Rows of one key: some outside its main component, and part of all others they may link to."""
 
-    def __init__(self, rows: list[np.ndarray], kind: type) -> None:
+    def __init__(self, key: int, rows: list[np.ndarray], kind: type) -> None:
+        self.key = key
         self.node, self.label, self.size, self.shared, self.minor, self.end = rows[:6]
         self.tokens = [np.frombuffer(p, kind) for p in rows[6]]
         self.length = np.array([len(p) for p in self.tokens])
@@ -347,6 +356,13 @@ class _Block:
             yield max(one, others[best]), min(one, others[best])
             yield from ((other, other) for k, other in enumerate(others) if k != best)
 
+    def possible(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Key and node of the rows that may link to another."""
+        some = np.zeros(len(self.node), bool)
+        for i, partners, _ in self.partners(x, y):
+            some[i] = some[partners] = True
+        yield from ((self.key, node) for node in self.node[some].tolist())
+
     def links(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links of full sets that join components: fewer than the block has labels."""
         for i, partners, _ in self.partners(x, y):
@@ -356,9 +372,8 @@ class _Block:
                 self.label = np.where(self.label == label, self.label[i], self.label)
 
 
-def _block_rows(full: bool):
-    """Over runs of (key, block, part): links ``(a, b)`` between components, or, from prefixes, the best of each row and
-    ``(a, a)`` for whoever else has any."""
+def _block_rows(take: Callable, names: list[str]):
+    """What ``take`` (a method of :class:`_Block`) finds, over runs of (key, block, part)."""
     def work(columns: list[np.ndarray]) -> list[pa.Array]:
         found: set[tuple[int, int]] = set()
         same = np.ones(len(columns[0]), bool)
@@ -371,34 +386,24 @@ def _block_rows(full: bool):
             x, y = np.flatnonzero(role != PARTNER), np.flatnonzero(role != ACTIVE)
             if not len(x) or len(y) < 2 - (PARTNER in role):
                 continue
-            block = _Block([c[a:b] for c in columns[4:]], _U if full else np.uint16)
-            found.update(block.links(x, y) if full else block.best(x, y))
+            block = _Block(int(columns[0][a]), [c[a:b] for c in columns[4:]], _U if take is _Block.links else np.uint16)
+            found.update(take(block, x, y))
         pairs = list(found)
         return [pa.array([f[k] for f in pairs], pa.int64()) for k in range(2)]
 
-    return _runs(11, 3, work, ["a", "b"])
+    return _runs(11, 3, work, names)
 
 
 #: Roles of a row in a block: it looks for partners, is one, or both.
 ACTIVE, PARTNER, BOTH = 1, 2, 3
 
 
-def _cross(rows: DataFrame, prefixes: DataFrame, own: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
-    """Pairs across components, from open rows of keys.
-
-    Without ``own``: the best pair of each row outside its key's main component that may link, and ``(a, a)`` for others that have any.
-    With it, links on full ``sets`` that join components; nodes that are not in it have none.
-    """
-    if own is None:
-        full, weight = rows.join(prefixes.select("node", "end", "prefix"), "node"), F.lit(0)
-    else:
-        some = rows.join(own, "node").where((F.col("size") - F.col("own")) * THRESHOLD[1] >= F.col("size") * THRESHOLD[0])
-        whole = sets.select("node", F.lit(NO_END).alias("end"), F.col("shingles").alias("prefix"))
-        full, weight = some.join(whole, "node"), F.lit(1)
-    shared = F.col("size") - (F.col("own") if own is not None else F.lit(0))
+def _cross(full: DataFrame, take: Callable, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """What ``take`` finds in blocks of open rows of keys, with their tokens as ``prefix``."""
+    weight = F.lit(int(take is _Block.links))
     blocks = F.ceil(F.greatest(F.col("n_minor") / BLOCK, weight * F.col("minor_tokens") / BLOCK_TOKENS))
     parts = F.ceil(F.greatest(F.col("n") / (4 * BLOCK), weight * F.col("tokens") / (4 * BLOCK_TOKENS)))
-    inner = ["node", "label", "size", shared.alias("shared"), "minor", "end", "prefix"]
+    inner = ["node", "label", "size", "shared", "minor", "end", "prefix"]
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
     one = (blocks <= 1) & (parts <= 1)
@@ -412,7 +417,23 @@ def _cross(rows: DataFrame, prefixes: DataFrame, own: DataFrame | None = None, s
     ))
     order = ["key", "block", "part"]
     sorted_rows = dealt.repartition(*order).sortWithinPartitions(*order)
-    return sorted_rows.mapInArrow(_block_rows(own is not None), "a bigint, b bigint").distinct()
+    return sorted_rows.mapInArrow(_block_rows(take, list(names)), ", ".join(f"{name} bigint" for name in names)).distinct()
+
+
+def _joining(rows: DataFrame, prefixes: DataFrame, own: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links on full ``sets`` that join components, from open rows of keys; nodes that are not in ``own`` have none.
+
+    Rows of keys with many nodes bring more than a prefix, so that few full sets are dealt out.
+    """
+    rows = rows.join(own, "node").withColumn("shared", F.col("size") - F.col("own"))
+    rows = rows.where(F.col("shared") * THRESHOLD[1] >= F.col("size") * THRESHOLD[0])
+    whole = map_batches(sets.select("node", "shingles"), "node bigint, size bigint, end bigint, prefix binary", _whole)
+    some, many = ((F.col("n") > MERGE) == large for large in (False, True))
+    tokens = [(some, prefixes), (many, whole)]
+    parts = [rows.where(which).join(table.select("node", "end", "prefix"), "node") for which, table in tokens]
+    possible = materialize(_cross(parts[0].unionByName(parts[1]), _Block.possible, ("key", "node")), "possible")
+    full = sets.select("node", F.lit(NO_END).alias("end"), F.col("shingles").alias("prefix"))
+    return _cross(rows.join(possible, ["key", "node"]).join(full, "node"), _Block.links)
 
 
 def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -493,13 +514,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     # Two rounds settle nearly all components; what they leave apart only costs later passes a few needless pairs.
     stars = contract(_verified(docs, names, materialize(_possible(materialize(tried, "pairs"), prefixes), "pairs")), 2)
     open_rows = _open_rows(members.select("key", "node", "size"), known_labels(stars))
-    found = materialize(_cross(open_rows, prefixes), "pairs")
+    first = open_rows.withColumn("shared", F.col("size")).join(prefixes.select("node", "end", "prefix"), "node")
+    found = materialize(_cross(first, _Block.best), "pairs")
     doubtful = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(_full_sets(docs, names.join(doubtful, "node")), "sets")
     stars = contract(stars.unionByName(_links(found.where("a <> b"), sets)), 2)
     own = materialize(_own_shingles(sets), "own")
     still_open = _open_rows(open_rows.join(own.select("node"), "node", "left_semi").select("key", "node", "size"), known_labels(stars))
-    final = components(stars.unionByName(materialize(_cross(still_open, prefixes, own, sets), "pairs")))
+    final = components(stars.unionByName(materialize(_joining(still_open, prefixes, own, sets), "pairs")))
     lowest = names.join(final, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     linked = final.join(lowest, "label").select("node", "component_id", F.lit(True).alias("linked"))
     named = names.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

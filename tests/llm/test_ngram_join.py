@@ -139,7 +139,9 @@ def test_blocks_give_links_that_join_components(spark, cut, monkeypatch):
     keys = spark.createDataFrame([(key, k, size[k]) for key in range(4) for k in range(61)], "key long, node long, size long")
     nobody = spark.createDataFrame([], "node long, label long")
     rows = ngram_join._open_rows(keys, nobody)
-    found = [tuple(r) for r in ngram_join._cross(rows, None, own, sets).collect()]
+    short = [(k, ngram_join.NO_END, t.astype(np.uint16).tobytes()) for k, t in enumerate(texts)]
+    prefixes = spark.createDataFrame(short, "node long, end long, prefix binary")
+    found = [tuple(r) for r in ngram_join._joining(rows, prefixes, own, sets).collect()]
     graph = {k: {k} for k in range(61)}
     for a, b in found:
         both = graph[a] | graph[b]
