@@ -1,7 +1,12 @@
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import QUERIES
 from corpusloom.operators import semantic
 from corpusloom.operators.splitting import (
     bound_sizes, buffered, explode_chunks, merge_short, sentence_units, token_windows, window_units,
@@ -89,6 +94,42 @@ def test_failing_encoder_leaves_null(spark):
     assert semantic_chunks(spark, "A. B.", assign=semantic.chunk_starts(broken)) is None
 
 
+@pytest.fixture
+def failing(monkeypatch):
+    """The default distances fail on one document."""
+    def distances(units):
+        if any("poison" in u for u in units):
+            raise ValueError("bad units")
+        return semantic.bag_distances(units)
+
+    monkeypatch.setattr(semantic, "chunk_starts", functools.partial(semantic.chunk_starts, distances))
+
+
+@pytest.mark.parametrize("name", ["chunk_semantic", "chunk_semantic_window", "chunk_semantic_bounded"])
+def test_a_query_ends_with_the_error_of_a_document(spark, failing, tmp_path, name):
+    rows = [(1, "s1", "A b. C d."), (2, "s1", "A poison. C d."), (3, "s1", " "), (4, "s1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.where("doc_id <> 2").write.parquet(f"{tmp_path}/good/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/all/documents.parquet")
+    assert {r.doc_id for r in QUERIES[name](spark, f"{tmp_path}/good").collect()} == {1}
+    with pytest.raises(PythonException, match="ValueError: bad units"):
+        QUERIES[name](spark, f"{tmp_path}/all").collect()
+
+
+def test_errors_are_kept_where_they_are_asked_for(spark, failing):
+    docs = spark.createDataFrame([(1, "A b. C d."), (2, "A poison. C d."), (3, " "), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.chunks, r.chunk_error) for r in semantic.semantic_chunks(docs, errors=True).collect()}
+    assert got == {1: (["A b. C d."], None), 2: (None, "ValueError: bad units"), 3: ([], None), 4: (None, None)}
+
+
+def test_an_own_encoder_may_end_the_job(spark):
+    def broken(_):
+        raise ValueError("no")
+
+    with pytest.raises(PythonException, match="ValueError: no"):
+        semantic_chunks(spark, "A. B.", assign=semantic.chunk_starts(broken, errors=False))
+
+
 def test_vector_encoder_distances():
     def encode(texts):
         return np.array([[t.count("a"), t.count("b")] for t in texts], dtype=float)
